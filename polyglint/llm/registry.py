@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, packing, secrets, simple8b
+from . import decontam, lines, packing, quality, secrets, simhash, simple8b
 from .common import table
 
 
@@ -29,13 +29,25 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op7(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op8(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.op9(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op10(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_secret_scan, op5_token_files, op6_line_dedup, op8_packing)}
+    return {f.__name__: f for f in (op4_secret_scan, op5_token_files, op6_line_dedup, op7_quality_rules, op8_packing, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": lines.SQL}
+    return {"op6_line_dedup": lines.SQL, "op9_decontamination": decontam.SQL}
