@@ -3,7 +3,7 @@ r"""Quality rules as weak supervision: op7. DataFrame operations only.
 Each rule votes good (1) or bad (-1) on a document, or abstains (0). There are at most 3 ** len(RULES) patterns of
 votes, whatever the corpus; their counts over all documents are what expectation-maximisation needs. It estimates each
 rule's chance of each vote on good and on bad documents and the share of good ones; a document's posterior
-probability of being good, a sum of log odds, then decides in place of an all-must-pass filter.
+probability of being good then decides in place of an all-must-pass filter.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def rules() -> dict[str, Column]:
         "symbols": _vote(_per("n_symbols", "n_words") <= 0.02, _per("n_symbols", "n_words") > 0.25),
         "lines": _vote(_per("n_dup_lines", "n_lines") <= 0.05, _per("n_dup_lines", "n_lines") > 0.3),
         "word_length": _vote(_per("word_chars", "n_words").between(3.5, 9.5), ~_per("word_chars", "n_words").between(2.5, 14)),
-        "letters": _vote(_per("n_other", "word_chars") <= 0.12, _per("n_other", "word_chars") > 0.3),
+        "letters": _vote(_per("n_other", "word_chars") <= 0.08, _per("n_other", "word_chars") > 0.3),
         "variety": _vote(_per("n_distinct", "n_words") >= 0.4, (_per("n_distinct", "n_words") < 0.15) & (F.col("n_words") < 5000)),
     }
 
@@ -93,53 +93,65 @@ def with_votes(m: DataFrame) -> DataFrame:
     return m.withColumn("base_failed", failed).withColumns({f"v_{k}": v for k, v in rules().items()})
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, prior: float = 0.85, accuracy: float = 0.8, strength: float = 50.0) -> tuple[float, list[dict[int, float]]]:
-    """Expectation-maximisation over counted vote patterns; the log odds of good, of no vote and of each rule's votes.
+#: Ways of being bad, and the rules that should see each; a good document is class 0.
+CLASSES = ((), ("length",), ("repeats", "lines", "variety"), ("symbols", "letters"), ("word_length",))
 
-    It starts from, and is held by `strength` documents' worth of, the belief that most documents are good and that
-    rules are mostly right: this fixes which class is which, and decides where there are no documents.
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, prior: float = 0.85, accuracy: float = 0.8) -> list[tuple[float, list[dict[int, float]]]]:
+    """Expectation-maximisation over counted vote patterns; for each class, log share and log chances of each rule's votes.
+
+    Bad documents fail in different ways: a document full of symbols does not repeat itself. So there is a latent class
+    for each way, in which its own rules are accurate and the others vote as on good documents; one class for all would
+    let rules that see nothing outvote the one that does. To abstain is no evidence. EM starts from, and is held by a fiftieth of all documents'
+    weight of, the belief that most documents are good and rules mostly right; this fixes which class is which.
     """
-    names = range(len(patterns[0][0])) if patterns else range(0)
+    names = list(rules())
     total = sum(n for _, n in patterns)
-    said = [{v: sum(n for p, n in patterns if p[k] == v) / max(total, 1) for v in (-1, 0, 1)} for k in names]
-    weight = strength + 0.02 * total
+    weight = 50 + 0.02 * total
 
-    def belief(k: int, good: bool) -> dict[int, float]:
-        votes = 1 - said[k][0]
-        right, wrong = votes * accuracy + 1e-3, votes * (1 - accuracy) + 1e-3
-        out = {1: right if good else wrong, -1: wrong if good else right, 0: said[k][0] + 1e-3}
-        whole = sum(out.values())
-        return {v: x / whole for v, x in out.items()}
+    def belief(k: int, own: tuple[str, ...]) -> dict[int, float]:
+        bad = accuracy if names[k] in own else (1 - accuracy) / len(names)
+        return {-1: bad, 1: 1 - bad}
 
-    share, table = prior, {g: [belief(k, g) for k in names] for g in (True, False)}
+    first = [[belief(k, own) for k in range(len(names))] for own in CLASSES]
+    begin = [prior] + [(1 - prior) / (len(CLASSES) - 1)] * (len(CLASSES) - 1)
+    share, table = begin, first
     for _ in range(rounds):
-        mass, votes = {True: prior * weight, False: (1 - prior) * weight}, {g: [{v: weight * x for v, x in belief(k, g).items()} for k in names] for g in (True, False)}
+        mass = [x * weight for x in begin]
+        votes = [[{v: m * x for v, x in t.items()} for t in tables] for m, tables in zip(mass, first, strict=True)]
         for p, n in patterns:
-            odds = math.log(share / (1 - share)) + sum(math.log(table[True][k][v] / table[False][k][v]) for k, v in enumerate(p))
-            good = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-            for g, x in ((True, n * good), (False, n * (1 - good))):
-                mass[g] += x
-                for k, v in enumerate(p):
-                    votes[g][k][v] += x
-        share = mass[True] / (mass[True] + mass[False])
-        table = {g: [{v: x / sum(votes[g][k].values()) for v, x in votes[g][k].items()} for k in names] for g in (True, False)}
-    return math.log(share / (1 - share)), [{v: math.log(table[True][k][v] / table[False][k][v]) for v in (-1, 0, 1)} for k in names]
-
-
-def posterior(base: float, odds: list[dict[int, float]]) -> Column:
+            like = [math.log(s) + sum(math.log(t[v]) for t, v in zip(tables, p, strict=True) if v) for s, tables in zip(share, table, strict=True)]
+            top = max(like)
+            parts = [math.exp(x - top) for x in like]
+            whole = sum(parts)
+            for c, x in enumerate(parts):
+                mass[c] += n * x / whole
+                for t, v in zip(votes[c], p, strict=True):
+                    if v:
+                        t[v] += n * x / whole
+        share = [m / sum(mass) for m in mass]
+        table = [[{v: x / sum(t.values()) for v, x in t.items()} for t in tables] for tables in votes]
+    return [(math.log(s), [{v: math.log(x) for v, x in t.items()} for t in tables]) for s, tables in zip(share, table, strict=True)]
+
+
+def posterior(model: list[tuple[float, list[dict[int, float]]]]) -> Column:
     """The probability of being good, from the vote columns."""
-    total = F.lit(base)
-    for k, w in zip(rules(), odds, strict=True):
-        total = total + F.when(F.col(f"v_{k}") == 1, F.lit(w[1])).when(F.col(f"v_{k}") == -1, F.lit(w[-1])).otherwise(F.lit(w[0]))
-    return 1 / (1 + F.exp(-total))
+
+    def score(share: float, tables: list[dict[int, float]]) -> Column:
+        total = F.lit(share)
+        for k, t in zip(rules(), tables, strict=True):
+            total = total + F.when(F.col(f"v_{k}") == 1, F.lit(t[1])).when(F.col(f"v_{k}") == -1, F.lit(t[-1])).otherwise(F.lit(0.0))
+        return total
+
+    good, *bad = [score(*c) for c in model]
+    return 1 / (1 + sum((F.exp(b - good) for b in bad), F.lit(0.0)))
 
 
 def judge(spark: SparkSession, voted: DataFrame, threshold: float = 0.5) -> DataFrame:
     """voted: with base_failed and the votes. Adds p_good and kept. Bounded: the driver gets at most 3 ** rules counts."""
     names = [f"v_{k}" for k in rules()]
     patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*names).count().collect()]
-    base, odds = estimate(sorted(patterns)) if patterns else (0.0, [{-1: 0.0, 0: 0.0, 1: 0.0}] * len(names))
-    p = F.round(posterior(base, odds), 9)
+    p = F.round(posterior(estimate(sorted(patterns))), 9)
     return voted.withColumn("p_good", p).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
