@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, packing, quality, secrets, simhash, simple8b
+from . import decontam, lines, packing, privacy, quality, secrets, simhash, simple8b
 from .common import table
 
 
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.op3(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op4(spark, table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_secret_scan, op5_token_files, op6_line_dedup, op7_quality_rules, op8_packing, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op3_private_terms, op4_secret_scan, op5_token_files, op6_line_dedup, op7_quality_rules, op8_packing, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
