@@ -48,13 +48,16 @@ def probes(spark: SparkSession, texts: DataFrame, wins: DataFrame, most: int) ->
     return out, out.count()
 
 
-def find(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = SIZE, most: int = MOST) -> DataFrame:
-    """doc_id, text_key, n_words, hits (array of start, 0-based, and length), items (sorted ids) for every row of docs.
+def keyed(docs: DataFrame) -> DataFrame:
+    return inputs(docs).select("doc_id", F.md5("text").alias("text_key"), "text")
 
-    Null or empty texts have no words; equal rows get equal results; an empty benchmark leaves everything clean.
+
+def occurrences(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = SIZE, most: int = MOST) -> DataFrame:
+    """doc_id, text_key, hits (array of start, 0-based, and length), items (sorted ids) for documents with any hit.
+
+    Null or empty texts have no words; equal rows are one document; an empty benchmark hits nothing.
     """
-    texts = inputs(docs)
-    texts = texts.select("doc_id", F.md5("text").alias("text_key"), "text")
+    texts = keyed(docs)
     wins = saved(spark, windows(items, size=size), "windows")
     probe, n = probes(spark, texts, wins, most)
     words = texts.select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
@@ -87,10 +90,13 @@ def find(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = SIZ
     found = F.filter("probes", lambda p: (p["back"] <= start) & (F.slice("near", F.greatest(start - p["back"], F.lit(0)) + 1, F.size(p["win"])) == p["win"]))
     matched = joined.select("doc_id", "text_key", "i", found.alias("found")).filter(F.size("found") > 0)
     spans = matched.select("doc_id", "text_key", F.transform("found", lambda p: F.struct((F.col("i") - p["back"]).alias("start"), F.size(p["win"]).alias("length"))).alias("hits"), F.flatten(F.transform("found", lambda p: p["items"])).alias("items"))
-    per_doc = spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    base = words.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"))
-    joined = base.alias("b").join(per_doc.alias("h"), F.expr("b.doc_id <=> h.doc_id AND b.text_key = h.text_key"), "left")
-    return joined.select("b.doc_id", "b.text_key", "n_words", "hits", "items")
+    return spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
+def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = SIZE, most: int = MOST) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no window of the benchmark."""
+    hit = occurrences(spark, docs, items, size, most).select(F.col("doc_id").alias("hit_id"), "text_key")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == hit["text_key"]), "left_anti")
 
 
 def hit_words(hits: Column) -> Column:
@@ -104,8 +110,11 @@ def hit_words(hits: Column) -> Column:
 
 
 def op9(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = SIZE, most: int = MOST) -> DataFrame:
+    base = keyed(docs).select("doc_id", "text_key", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    found = occurrences(spark, docs, items, size, most)
+    joined = base.alias("b").join(found.alias("h"), F.expr("b.doc_id <=> h.doc_id AND b.text_key = h.text_key"), "left").select("b.doc_id", "n_words", "hits", "items")
     n_hit = F.coalesce(hit_words(F.col("hits")), F.lit(0).cast("long"))
-    return find(spark, docs, items, size, most).select(
+    return joined.select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),

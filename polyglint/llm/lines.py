@@ -26,9 +26,10 @@ def dropped_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     return per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs).select("key", "keeper")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, kept (the remaining text), n_lines, n_dropped."""
-    texts = inputs(docs, id_col, text_col).withColumn("lines", F.split("text", "\n", -1))
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kept (the remaining text), n_lines, n_dropped, and carried: a struct of the columns in carry."""
+    texts = inputs(docs).withColumn("lines", F.split("text", "\n", -1))
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
 
     def key(line: Column) -> Column:
         return F.btrim(line, F.lit(SPACE_CHARS))
@@ -39,7 +40,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     frequent = dropped_keys(long, min_docs)
     gone = long.join(frequent, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
-    joined = texts.select("doc_id", "text").join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    joined = whole.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     # only documents that lose a line take their lines apart again
     lines = F.split("text", "\n", -1)
     left = F.filter(lines, lambda x: ~((F.char_length(x) >= min_chars) & F.array_contains(F.col("gone"), digest(ascii_lower(key(x))))))
@@ -47,6 +48,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     out = joined.withColumn("left", F.when(hit, left))
     return out.select(
         "doc_id",
+        "carried",
         F.when(hit, F.array_join("left", "\n")).otherwise(F.col("text")).alias("kept"),
         F.size(lines).cast("long").alias("n_lines"),
         F.when(hit, (F.size(lines) - F.size("left")).cast("long")).otherwise(F.lit(0).cast("long")).alias("n_dropped"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lines, packing, privacy, quality, secrets, simhash, simple8b
+from . import decontam, langid, lines, packing, privacy, quality, secrets, simhash, simple8b, suffixdedup
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op1(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.op2(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.op3(spark, table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_codes, op3_private_terms, op4_secret_scan, op5_token_files, op6_line_dedup, op7_quality_rules, op8_packing, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_codes, op2_suffix_dedup, op3_private_terms, op4_secret_scan, op5_token_files, op6_line_dedup, op7_quality_rules, op8_packing, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
