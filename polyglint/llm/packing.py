@@ -132,9 +132,9 @@ def op8(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, t
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .tokens import WordEncoder
+        from .tokens import encoder
 
-        enc, end = WordEncoder(tokenizer, keeps_space=True), int(end_id).to_bytes(4, "little")
+        enc, end = encoder(tokenizer, True), int(end_id).to_bytes(4, "little")
         high = TaskContext.get().partitionId() << 32
         next_seq = next_step = 0
         held: list[tuple] = []  # doc_id, start, ids, tokens of the document
@@ -159,8 +159,8 @@ def op8(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, t
 
         size = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pandas(), strict=True):
-                ids = enc.encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.stream(batch.column(1).to_pandas()), strict=True):
+                ids = ids + end
                 held.append((doc_id, 0, ids, len(ids) // 4))
                 size += len(ids) // 4
                 if size >= buffer_ids:

@@ -129,9 +129,9 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_i
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .tokens import WordEncoder
+        from .tokens import encoder
 
-        enc, part = WordEncoder(tokenizer, keeps_space=False), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, False), TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
         doc_ids, lengths, chunks, held, first, k = [], [], [], 0, 0, 0
         types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
@@ -142,8 +142,8 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_i
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pandas(), strict=True):
-                ids = enc.encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.stream(batch.column(1).to_pandas()), strict=True):
+                ids = ids + end
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) // 4)
                 chunks.append(ids)

@@ -4,56 +4,131 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterable
+from functools import cache
 
-#: White space other than blank and newline, and control characters on whose class regex engines differ.
-_ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
+#: White space other than blank and newline, controls on whose class regex engines differ, and letters that
+#: normalisation or lower-casing may change in more than one way.
+_ODD = re.compile("[\x00\t\x0b-\r\x1c-\x1f\x85\xa0İŉɐ-\U0010ffff]")
+_SPACES = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
+#: Letters that Unicode composition leaves alone and lower-casing maps one to one.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ɏ"
+_WORD = re.compile(f" ?[{_LETTERS}]+")
+#: A comma or full stop at a word's end that doesn't follow a letter or digit.
+_LOOSE = re.compile(f"[^{_LETTERS}0-9][,.](?=[ \n]|$)|^[,.]")
 
 
 class WordEncoder:
-    """encode(text) gives the same ids as the tokenizer, as little-endian uint32 bytes.
+    """encode(texts) gives the same ids as the tokenizer, as little-endian uint32 bytes.
 
-    Both supported tokenizers split a text where a non-space is followed by white space, and no merge crosses that
-    place; so ids of the parts, cached, can be joined. Texts with unusual white space go to the tokenizer whole.
-    The cache is emptied at max_words entries: memory stays bounded whatever the vocabulary.
+    Both supported tokenizers split a text where a non-space is followed by white space, and between a letter or digit
+    and a closing comma or full stop; no merge crosses such a place, so cached ids of the parts can be joined.
+    Texts with unusual white space go to the tokenizer whole. The cache has two generations of max_words each: memory
+    stays bounded whatever the vocabulary, and frequent words stay known.
     """
 
-    def __init__(self, path: str, keeps_space: bool, max_words: int = 300_000):
+    def __init__(self, path: str, keeps_space: bool, max_words: int = 120_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        import numpy as np
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        # the same model, given whole words: what would be split or normalised otherwise is not sent there
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next" if keeps_space else "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tok.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if keeps_space else t.endswith("</w>"))]] = True
         self.keeps_space, self.max_words = keeps_space, max_words
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def parts(self, text: str) -> list[str] | None:
-        """None: the text has to be encoded whole."""
+        """Keys of the cache; None: the text has to be encoded whole."""
         if _ODD.search(text):
-            return None
+            if _SPACES.search(text) or "\x00" in text:
+                return None
+            plain = False
+        else:
+            plain = not _LOOSE.search(text)
         if not self.keeps_space:
+            if plain:
+                text = text.lower().replace(", ", " , ").replace(". ", " . ").replace(",\n", " ,\n").replace(".\n", " .\n")
             return text.split()
         if "  " in text or "\n " in text:
             return None
+        # a part stands for a blank and itself, after \x00 for itself alone
+        if plain:
+            text = text.replace(", ", " \x00, ").replace(". ", " \x00. ")
         first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-
-    def encode(self, text: str) -> bytes:
-        parts = self.parts(text)
-        if parts is None:
-            return self._ids([text])[0]
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in parts])
-        except KeyError:
-            pass
-        if len(cache) > self.max_words:
-            cache.clear()
-        new = [w for w in dict.fromkeys(parts) if w not in cache]
-        own = dict(zip(new, self._ids(new), strict=True))
-        cache.update((w, x) for w, x in own.items() if len(w) <= 40)
-        return b"".join([cache[w] if w in cache else own[w] for w in parts])
+        return ["\x00" + first, *rest] if first else rest
+
+    def _text(self, part: str) -> str:
+        return part if not self.keeps_space else part[1:] if part[:1] == "\x00" else " " + part
+
+    def _learn(self, parts: list[str], group: int = 40) -> dict[str, bytes]:
+        """Plain words are encoded in groups, and told apart by the tokens that can only begin or end a word."""
+        import numpy as np
+
+        plain = [p for p in parts if p[:1] != "\x00" and _WORD.fullmatch(p)]
+        known = set(plain)
+        rest = [p for p in parts if p not in known]
+        out = dict(zip(rest, self._ids([self._text(p) for p in rest]), strict=True))
+        groups = [plain[k : k + group] for k in range(0, len(plain), group)]
+        joined = [" " + " ".join(g) if self.keeps_space else " ".join(g).lower() for g in groups]
+        for g, e in zip(groups, self.bare.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) == len(g):
+                data, cuts = ids.tobytes(), [4 * x for x in ([*at.tolist(), len(ids)] if self.keeps_space else [0, *(at + 1).tolist()])]
+                out.update((w, data[a:b]) for w, a, b in zip(g, cuts, cuts[1:], strict=False))
+            else:
+                out.update(zip(g, self._ids([self._text(p) for p in g]), strict=True))
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.parts(t) for t in texts]
+        flat = [p for c in cut if c is not None for p in c]
+        found = list(map(self.young.get, flat))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        if gaps:
+            missing = list(dict.fromkeys([flat[i] for i in gaps]))
+            own = {p: x for p in missing if (x := self.old.get(p)) is not None}
+            own.update(self._learn([p for p in missing if p not in own]))
+            for i in gaps:
+                found[i] = own[flat[i]]
+            if len(self.young) + len(own) > self.max_words:
+                self.old, self.young = self.young, {}
+            self.young.update((p, x) for p, x in own.items() if len(p) <= 40)
+        out, at = [], 0
+        for text, c in zip(texts, cut, strict=True):
+            if c is None:
+                out += self._ids([text])
+            else:
+                out.append(b"".join(found[at : at + len(c)]))
+                at += len(c)
+        return out
+
+    def stream(self, texts: Iterable[str], size: int = 100, chars: int = 1_000_000) -> Iterable[bytes]:
+        """encode() over any number of texts, a bounded number at a time."""
+        held, n = [], 0
+        for t in texts:
+            held.append(t)
+            n += len(t)
+            if len(held) == size or n >= chars:
+                yield from self.encode(held)
+                held, n = [], 0
+        if held:
+            yield from self.encode(held)
+
+
+@cache
+def encoder(path: str, keeps_space: bool) -> WordEncoder:
+    """One for each worker process: its cache serves all the tasks that the process runs."""
+    return WordEncoder(path, keeps_space)
