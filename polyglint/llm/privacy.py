@@ -30,6 +30,8 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried at all.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 TERM = r"[\p{L}][\p{L}\p{M}]{2,}"
+#: Rows of a table that may be broadcast.
+MOST = 100_000
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
@@ -79,31 +81,47 @@ def _named(kind: str) -> Column:
     return F.transform(kind, lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
 
 
-def revealing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, disclosure: float, removal: float, min_contexts: int) -> DataFrame:
-    """term, kind. found: entities (array) and text of the documents that have an entity."""
+def revealing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, disclosure: float, removal: float, min_contexts: int) -> DataFrame | None:
+    """term, kind; None if there are none. found: doc_key, text_key, entities and text of documents that have an entity.
+
+    Only entities of at least min_contexts different texts can have that much evidence, so terms are paired with no
+    others. All that is counted is combined before it is shuffled; the terms that are looked up in the corpus are
+    broadcast while they number MOST at most, and joined by shuffling beyond that.
+    """
+    texts = found.groupBy("text_key").agg(F.first("entities").alias("entities"))
+    often = saved(spark, texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_contexts), "entities")
+    if often.isEmpty():
+        return None
+    pairs = found.select("doc_key", F.explode("entities").alias("entity")).join(often.select("entity"), "entity")
+    held = pairs.groupBy("doc_key").agg(F.collect_set("entity").alias("entities"))
     words = F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))
-    held = found.select("doc_key", "entities", words.alias("words"))
-    places = held.select("doc_key", "entities", F.explode(F.array_distinct(F.transform("words", lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get("words", i - 1), F.get("words", i + 1)).alias("around"))))).alias("t"))
-    meets = places.select("doc_key", F.explode("entities").alias("entity"), "t.term", "t.around")
-    meets = meets.filter(~F.contains("entity", F.col("term")))
+    held = saved(spark, found.select("doc_key", "text_key", words.alias("words")).join(held, "doc_key"), "held")
+    one = held.dropDuplicates(["text_key"])
+    places = one.select("text_key", "entities", F.explode(F.array_distinct(F.transform("words", lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get("words", i - 1), F.get("words", i + 1)).alias("around"))))).alias("t"))
+    meets = places.select("text_key", F.explode("entities").alias("entity"), "t.term", "t.around").filter(~F.contains("entity", F.col("term")))
     contexts = meets.groupBy("entity", "term", "around").agg(F.lit(1).alias("x")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_contexts")).filter(F.col("n_contexts") >= min_contexts)
     contexts = saved(spark, contexts, "contexts")
     if contexts.isEmpty():
-        return spark.createDataFrame([], "term string, kind string")
-    pairs = meets.join(contexts, ["entity", "term"]).groupBy("entity", "term").agg(F.count_distinct("doc_key").alias("n_both"), F.first("n_contexts").alias("n_contexts"))
-    pairs = saved(spark, pairs.filter(2 * F.col("n_contexts") >= F.col("n_both")), "pairs")
+        return None
+    both = held.select(F.explode("entities").alias("entity"), F.array_distinct("words").alias("terms")).select("entity", F.explode("terms").alias("term"))
+    both = both.join(_small(contexts), ["entity", "term"]).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_contexts").alias("n_contexts"))
+    pairs = saved(spark, both.filter((2 * F.col("n_contexts") >= F.col("n_both")) & (F.col("n_both") >= min_contexts)), "pairs")
     if pairs.isEmpty():
-        return spark.createDataFrame([], "term string, kind string")
+        return None
     n_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = pairs.select("term").distinct()
-    n_term = docs.select(F.explode(F.array_distinct(words)).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.count()
+    terms = saved(spark, pairs.select("term").distinct(), "candidates")
+    n_term = docs.select(F.explode(F.array_distinct(words)).alias("term")).join(_small(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     rated = pairs.join(n_entity, "entity").join(n_term, "term")
-    ic = F.greatest(F.log2(F.lit(float(total)) / F.col("n_entity")), F.lit(1e-9))
+    ic = F.greatest(F.log2(F.lit(float(docs.count())) / F.col("n_entity")), F.lit(1e-9))
     rated = rated.withColumn("share", 1 + F.log2(F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))) / ic)
     rated = rated.filter((F.col("share") >= disclosure) & (ic > 1))
-    out = rated.groupBy("term").agg(F.when(F.max("share") >= removal, "reveal").otherwise("term").alias("kind"))
-    return saved(spark, out, "terms")
+    out = saved(spark, rated.groupBy("term").agg(F.when(F.max("share") >= removal, "reveal").otherwise("term").alias("kind")), "terms")
+    return None if out.isEmpty() else out
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """To be broadcast if it has MOST rows at most, which is checked."""
+    return F.broadcast(df) if df.count() <= MOST else df
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, disclosure: float = 0.9, removal: float = 0.97, min_contexts: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,13 +134,13 @@ def sanitise(spark: SparkSession, docs: DataFrame, disclosure: float = 0.9, remo
     any_ = sum((F.size(k) for k in KINDS), F.lit(0)) > 0
     entities = F.array_distinct(F.concat(*[_values(k) for k in KINDS]))
     based = saved(spark, based.select("doc_id", "text_key", *KINDS, F.when(any_, entities).alias("entities"), F.when(any_, F.col("text")).alias("text")), "spans")
-    found = based.filter(F.col("entities").isNotNull()).select("entities", "text", F.xxhash64("doc_id", "text_key").alias("doc_key"))
+    found = based.filter(F.col("entities").isNotNull()).select("entities", "text", "text_key", F.xxhash64("doc_id", "text_key").alias("doc_key"))
     terms = revealing_terms(spark, texts, found, disclosure, removal, min_contexts)
     based = based.drop("text", "entities")
-    if terms.isEmpty():
+    if terms is None:
         return based.withColumn("extra", F.array().cast("array<struct<s:int,kind:string,e:int>>"))
     words = texts.select("doc_id", F.md5("text").alias("text_key"), "text")
-    hits = words.select("doc_id", "text_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(terms, "term")
+    hits = words.select("doc_id", "text_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(_small(terms), "term")
     hits = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("term", "kind")).alias("terms"))
     at = words.alias("w").join(hits.alias("h"), F.expr("w.doc_id <=> h.doc_id AND w.text_key = h.text_key")).select("w.doc_id", "w.text_key", "text", "terms")
     kind_of = lambda v: F.get(F.filter("terms", lambda t: t["term"] == F.lower(v)), F.lit(0))["kind"]

@@ -1,15 +1,582 @@
-"""Named queries over the driver's tables and their DuckDB twins."""
+"""Named queries over the driver's tables, each with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.range(1)
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .. import dims
+from ..functions import text as X
+from ..operators import checks as C
+from ..operators import relational as R
+from . import derived as D
 
-def queries() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
+# Pieces of the twins. Patterns are those of functions.text; RE2 reads them alike.
+TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+LETTERS = r"(length({0}) - length(regexp_replace({0}, '\p{{L}}', '', 'g')))"
+TAGS = "list_sort(list_transform(regexp_extract_all({0}, '" + X.TAG + "', 1), lambda x: lower(x)))"
+LINKS = (
+    "list_concat(list_filter(list_transform(regexp_extract_all({0}, '" + X.URL.replace("{", "{{").replace("}", "}}") + r"'), lambda x: regexp_replace(x, '[.,;:)\]!?]+$', '')), lambda x: length(x) > 8), regexp_extract_all({0}, '"
+    + X.EMAIL.replace("{", "{{").replace("}", "}}")
+    + "'))"
+)
+KEYLIKE = r"(NOT regexp_matches({0}, '[\s\p{{Z}}]') AND contains({0}, '.') AND NOT contains({0}, '://'))"
+S, T = TRIM.format("source"), TRIM.format("translation")
+FILLED = f"({T} <> '')"
 
-def oracle_sql() -> dict:
-    return {}
+
+def query(name: str, sql: str | None = None, **parts: str):
+    """Registers a query; sql may name derived relations of its own engine as _name."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            ctes = {k: v for k, v in TWINS.items() if f"_{k}" in sql}
+            shared = ", ".join(f"_{k} AS ({v})" for k, v in ctes.items())
+            _SQL[name] = sql if not ctes else f"WITH {shared}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {shared} {sql}"
+        return f
+
+    return add
+
+
+TWINS = {
+    "fmt": D.plain(D.U_FMT),
+    "conv": D.plain(D.U_CONV),
+    "pages": D.plain(D.U_PAGES),
+    "locked": D.plain(D.LOCKED),
+    "lines": D.plain(D.LINES["duckdb"]),
+}
+
+
+def _rel(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return D.relation(spark, d, {"fmt": D.U_FMT, "conv": D.U_CONV, "pages": D.U_PAGES, "locked": D.LOCKED, "lines": D.LINES["spark"]}[name])
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ---- checks ----------------------------------------------------------------------------------------------------------
+
+FLAT = r"list_sort(regexp_extract_all({0}, '%[0-9]+\$[sd]|\{{\{{[a-z]+\}}\}}|\{{[a-z]+\}}'))"
+CHECKS = {
+    "c12_empty": ("fmt", "empty", f"{T} = '' AND {S} <> ''"),
+    "c7_markup": ("fmt", "markup", f"{FILLED} AND {TAGS.format('source')} <> {TAGS.format('translation')}"),
+    "c7_page_markup": ("pages", "markup", f"{FILLED} AND {TAGS.format('source')} <> {TAGS.format('translation')}"),
+    "c16_whitespace": (
+        "fmt",
+        "whitespace",
+        rf"{FILLED} AND {S} <> '' AND (regexp_extract(source, '^[\s\p{{Z}}]*') <> regexp_extract(translation, '^[\s\p{{Z}}]*') OR regexp_extract(source, '[\s\p{{Z}}]*$') <> regexp_extract(translation, '[\s\p{{Z}}]*$'))",
+    ),
+    "c17_punctuation": ("conv", "punctuation", rf"{FILLED} AND regexp_matches(source, '[:.!?…][\s\p{{Z}}]*$') AND {LETTERS.format('source')} >= 4 AND regexp_matches(translation, '[\p{{L}}\p{{N}}][\s\p{{Z}}]*$')"),
+    "c15_length": ("fmt", "length", f"{FILLED} AND NOT {KEYLIKE.format(S)} AND ((length({T}) > length({S}) * 2.5 + 8 AND length({S}) >= 4) OR length({S}) > length({T}) * 2.5 + 8)"),
+    "c15_turn_length": ("conv", "length", f"{FILLED} AND NOT {KEYLIKE.format(S)} AND ((length({T}) > length({S}) * 2.5 + 8 AND length({S}) >= 4) OR length({S}) > length({T}) * 2.5 + 8)"),
+    "c21_encoding": ("fmt", "encoding", f"{FILLED} AND regexp_matches(translation, '{X.MOJIBAKE}')"),
+    "c23_link": (
+        "fmt",
+        "link",
+        f"{FILLED} AND NOT {KEYLIKE.format('source')} AND (len(list_filter({LINKS.format('source')}, lambda x: NOT list_contains({LINKS.format('translation')}, x))) > 0 OR len(list_filter({LINKS.format('translation')}, lambda x: NOT list_contains({LINKS.format('source')}, x))) > 0)",
+    ),
+    "c24_brackets": (
+        "fmt",
+        "brackets",
+        f"{FILLED} AND NOT {KEYLIKE.format('source')} AND ("
+        + " OR ".join(
+            f"(length(source) - length(replace(source, '{o}', '')) = length(source) - length(replace(source, '{c}', '')) AND length(translation) - length(replace(translation, '{o}', '')) <> length(translation) - length(replace(translation, '{c}', '')))" for o, c in dims.BRACKETS
+        )
+        + ")",
+    ),
+    "c25_entities": ("fmt", "entities", f"{FILLED} AND regexp_matches(translation, '{X.DOUBLE_ESCAPED}')"),
+    "c25_page_entities": ("pages", "entities", f"{FILLED} AND regexp_matches(translation, '{X.DOUBLE_ESCAPED}')"),
+    "c22_invisible": ("fmt_zw", "invisible", "contains(translation, chr(8203))"),
+    "c13_identical": ("fmt", "identical", rf"{FILLED} AND {S} = {T} AND locale <> 'en'"),
+}
+
+
+def _check(name: str, rel: str, code: str, where: str) -> None:
+    zw = rel == "fmt_zw"
+    shown = "key, locale"
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        units = _rel(spark, d, "fmt" if zw else rel)
+        if zw:
+            units = units.withColumn("translation", F.when(F.crc32(F.col("key").cast("binary")) % 3 == 0, F.concat("translation", F.lit("​x"))).otherwise(F.col("translation")))
+        return units.filter(C.simple_checks()[code]).select("key", "locale")
+
+    if zw:
+        _QUERIES[name] = run
+    else:
+        query(name, f"SELECT {shown} FROM _{rel} WHERE {where}")(run)
+
+
+for _n, (_r, _c, _w) in CHECKS.items():
+    _check(_n, _r, _c, _w)
+
+MISMATCH = f"{FLAT.format('source')} <> {FLAT.format('translation')}"
+
+
+@query("c3_placeholders", f"SELECT key, locale FROM _fmt WHERE {FILLED} AND {MISMATCH}")
+def c3(spark, d):
+    return C.placeholder_findings(spark, _rel(spark, d, "fmt")).select("key", "locale")
+
+
+@query("f7_placeholder_repairs")
+def f7(spark, d):
+    return C.placeholder_findings(spark, _rel(spark, d, "fmt")).filter("fix is not null").select("key", "locale", "fix", "message")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Which translations break their placeholders or markup, by locale and code."""
+    units = _rel(spark, d, "fmt")
+    both = C.placeholder_findings(spark, units).select("locale", "code", "severity").union(units.filter(C.simple_checks()["markup"]).select("locale", F.lit("markup"), F.lit("error")))
+    return both.groupBy("locale", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+query(
+    "q0_broken_by_locale",
+    f"""SELECT locale, code, 'error' AS severity, count(*) AS n FROM (
+    SELECT locale, 'placeholders' AS code FROM _fmt WHERE {FILLED} AND {MISMATCH}
+    UNION ALL SELECT locale, 'markup' FROM _fmt WHERE {FILLED} AND {TAGS.format("source")} <> {TAGS.format("translation")}) GROUP BY ALL""",
+)(flagship)
+
+
+@query("a1_all_findings", None)
+def a1_all(spark, d):
+    return C.simple_findings(_rel(spark, d, "fmt")).groupBy("locale", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c14_fragment")
+def c14(spark, d):
+    units = _rel(spark, d, "fmt").filter("locale = 'ja'").withColumn("translation", F.concat(F.lit("ようこそありがとうございましたまたお願いします "), F.split("source", " ")[1]))
+    return C.fragment_findings(units.withColumn("source", F.lower("source")))
+
+
+@query("c4_unnumbered_arguments", r"SELECT key FROM (SELECT key, replace(source, '1$', '') || ' %d' AS t FROM _fmt) WHERE len(regexp_extract_all(regexp_replace(replace(t, '%%', ''), '%[0-9]', '', 'g'), '%[A-Za-z.-]')) >= 2")
+def c4(spark, d):
+    t = F.concat(F.replace("source", F.lit("1$"), F.lit("")), F.lit(" %d"))
+    return _rel(spark, d, "fmt").filter(X.unnumbered_arguments(t)).select("key")
+
+
+@query(
+    "c8_android_escape",
+    r"""SELECT key, CASE WHEN p_mod = 1 THEN 'error' WHEN p_mod = 2 THEN 'error' ELSE 'warning' END AS severity
+    FROM (SELECT 'part.' || CAST(p_partkey AS VARCHAR) AS key, p_partkey % 5 AS p_mod FROM part) WHERE p_mod IN (1, 2, 3)""",
+)
+def c8(spark, d):
+    m = F.col("p_partkey") % 5
+    t = F.when(m == 1, F.concat(F.lit("it's "), "p_name")).when(m == 2, F.concat(F.lit("@ "), "p_name")).when(m == 3, F.concat(F.lit('say " '), "p_name")).when(m == 4, F.concat(F.lit("it\\'s "), "p_name")).otherwise(F.concat(F.lit('"it\'s '), "p_name", F.lit('"')))
+    rows = _table(spark, d, "part").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("key"), X.android_escape(t).alias("severity"))
+    return rows.filter("severity is not null")
+
+
+# ---- change tracking -------------------------------------------------------------------------------------------------
+
+STATUS_SQL = """
+base AS (SELECT key, locale, source, translation, doc_id, substr(sha256(source), 1, 32) AS hs, substr(sha256(coalesce(translation, '')), 1, 32) AS ht FROM _locked),
+j AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 11 IN (1, 2) THEN 'old' ELSE hs END AS source_hash,
+        CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 'other' ELSE ht END AS hash,
+        CASE WHEN doc_id % 13 < 6 THEN hs END AS review_hash, coalesce(translation <> '', false) AS has FROM base),
+st AS (SELECT key, locale, CASE WHEN source_hash IS NULL THEN CASE WHEN has THEN 'edited' ELSE 'new' END
+        WHEN hash IS NULL AND NOT has THEN CASE WHEN review_hash = hs THEN 'needs-review' ELSE 'new' END
+        WHEN NOT has THEN 'untranslated' WHEN hash IS NULL THEN 'edited' WHEN hash <> ht THEN 'edited'
+        WHEN source_hash <> hs THEN 'stale' ELSE 'up-to-date' END AS state FROM j)
+"""
+STATUS_SQL = "WITH _locked AS (" + TWINS["locked"] + ")," + STATUS_SQL
+
+
+def _status(spark: SparkSession, d: str) -> DataFrame:
+    u = _rel(spark, d, "locked")
+    hs, ht = X.content_hash(F.col("source")), X.content_hash(F.coalesce("translation", F.lit("")))
+    m = F.col("doc_id")
+    keys = u.filter(m % 11 != 0).select("key", F.when((m % 11).isin(1, 2), "old").otherwise(hs).alias("source_hash"))
+    locales = u.filter(m % 5 != 0).select("key", "locale", F.when(m % 5 == 1, "other").otherwise(ht).alias("hash"))
+    reviews = u.filter(m % 13 < 6).select("key", "locale", hs.alias("review_hash"))
+    return R.status(u.select("key", "locale", "source", "translation"), keys, locales, reviews)
+
+
+def _with_status(name: str, tail: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    _QUERIES[name] = lambda spark, d: f(_status(spark, d))
+    _SQL[name] = STATUS_SQL + tail
+
+
+_with_status("j3_status", "SELECT key, locale, state FROM st", lambda s: s.select("key", "locale", "state"))
+_with_status("a3_state_counts", "SELECT locale, state, count(*) AS n FROM st GROUP BY ALL", R.state_counts)
+_with_status("a2_coverage", "SELECT locale, count(*) AS total, CAST(greatest(count(*) - count(*) FILTER (state IN ('new', 'untranslated', 'needs-review')), 0) AS BIGINT) AS done FROM st GROUP BY ALL", R.coverage)
+_with_status("t2_work", "SELECT locale, count(*) AS n FROM st WHERE state IN ('new', 'stale', 'untranslated', 'needs-review') GROUP BY ALL", lambda s: R.work(s, True).groupBy("locale").agg(F.count(F.lit(1)).alias("n")))
+_with_status(
+    "o2_worst_coverage",
+    "SELECT locale, CAST(floor(100 * done / greatest(total, 1)) AS BIGINT) AS percent FROM (SELECT locale, count(*) AS total, count(*) FILTER (state NOT IN ('new', 'untranslated', 'needs-review')) AS done FROM st GROUP BY ALL) ORDER BY percent, locale LIMIT 6",
+    lambda s: R.coverage(s).select("locale", F.floor(100 * F.col("done") / F.greatest("total", F.lit(1))).alias("percent")).orderBy("percent", "locale").limit(6),
+)
+
+
+@query(
+    "t9_lock_upsert",
+    "SELECT key, locale, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS hash FROM _locked WHERE doc_id % 4 <> 3 AND (doc_id % 2 = 0 OR doc_id % 3 = 0)",
+)
+def t9(spark, d):
+    u = _rel(spark, d, "locked")
+    m = F.col("doc_id")
+    return R.record(u.filter(m % 2 == 0).select("key", "locale", F.lit("old").alias("hash")), u.filter(m % 3 == 0).select("key", "locale", F.lit("new").alias("hash")), u.filter(m % 4 != 3))
+
+
+# ---- joins -----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "j4_orphans",
+    """WITH t AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS file, 'k' || CAST(o_orderkey % 900 AS VARCHAR) || CASE WHEN o_orderkey % 3 = 0 THEN '_few' ELSE '' END AS key FROM orders),
+    s AS (SELECT DISTINCT 'k' || CAST(c_custkey % 700 AS VARCHAR) || CASE WHEN c_custkey % 2 = 0 THEN '_other' ELSE '' END AS key FROM customer)
+    SELECT DISTINCT file, key FROM t WHERE key NOT IN (SELECT key FROM s)
+    AND regexp_extract(key, '^(.*)_(?:zero|one|two|few|many|other)$', 1) NOT IN (SELECT regexp_replace(key, '_other$', '') FROM s WHERE key LIKE '%\\_other' ESCAPE '\\')""",
+)
+def j4(spark, d):
+    o, c = _table(spark, d, "orders"), _table(spark, d, "customer")
+    t = o.select((F.col("o_custkey") % 40).cast("string").alias("file"), F.concat(F.lit("k"), (F.col("o_orderkey") % 900).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "_few").otherwise("")).alias("key")).distinct()
+    s = c.select(F.concat(F.lit("k"), (F.col("c_custkey") % 700).cast("string"), F.when(F.col("c_custkey") % 2 == 0, "_other").otherwise("")).alias("key")).distinct()
+    return R.orphans(t, s)
+
+
+FOUND_SQL = f"""f AS (SELECT 'f' || CAST(length(key) AS VARCHAR) AS file, key, locale, 'length' AS code FROM _fmt WHERE {CHECKS["c15_length"][2]}
+    UNION ALL SELECT 'f' || CAST(length(key) AS VARCHAR), key, locale, 'whitespace' FROM _fmt WHERE {CHECKS["c16_whitespace"][2]}),
+    a AS (SELECT * FROM f WHERE length(file || key || code) % 3 <> 0), b AS (SELECT * FROM f WHERE length(key || locale || code) % 2 = 0)"""
+FOUND_SQL = "WITH _fmt AS (" + TWINS["fmt"] + ")," + FOUND_SQL
+
+
+def _findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = C.simple_findings(_rel(spark, d, "fmt")).filter(F.col("code").isin("length", "whitespace")).select(F.concat(F.lit("f"), F.length("key").cast("string")).alias("file"), "key", "locale", "code")
+    return rows.filter(F.length(F.concat("file", "key", "code")) % 3 != 0), rows.filter(F.length(F.concat("key", "locale", "code")) % 2 == 0)
+
+
+def _with_findings(name: str, tail: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    _QUERIES[name] = lambda spark, d: f(*_findings(spark, d))
+    _SQL[name] = FOUND_SQL + tail
+
+
+_ON = "a.file = b.file AND a.key = b.key AND a.locale = b.locale AND a.code = b.code"
+_with_findings("j5_baseline_new", f"SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_ON})", lambda a, b: R.against_baseline(a, b)[0])
+_with_findings("j5_baseline_stale", f"SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE {_ON})", lambda a, b: R.against_baseline(a, b)[1])
+_with_findings("a19_baseline_rows", "SELECT DISTINCT file, key, locale, code FROM a ORDER BY ALL", lambda a, b: a.distinct().orderBy("file", "key", "locale", "code"))
+_with_findings(
+    "w1_first_per_code",
+    "SELECT file, key, locale, code, rank, hidden FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY file, locale, key) AS rank, CAST(greatest(count(*) OVER (PARTITION BY code) - 20, 0) AS BIGINT) AS hidden FROM a) WHERE rank <= 20",
+    lambda a, b: R.first_per_code(a),
+)
+_with_findings("a4_severity_totals", "SELECT count(*) FILTER (code = 'markup') AS errors, count(*) FILTER (code <> 'markup') AS warnings FROM a", lambda a, b: a.withColumn("severity", C.severity(F.col("code"))).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings")))
+_with_findings("a17_keys_by_locale", "SELECT locale, string_agg(DISTINCT key, ',' ORDER BY key) AS keys FROM a GROUP BY locale", lambda a, b: a.groupBy("locale").agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("keys")))
+_with_findings(
+    "a13_first_fix",
+    "SELECT key, locale, code FROM (SELECT *, row_number() OVER (PARTITION BY key, locale ORDER BY file, code) AS r FROM a WHERE code = 'whitespace') WHERE r = 1",
+    lambda a, b: R.first_fix(a.withColumn("fix", F.when(F.col("code") == "whitespace", F.lit("trim")))).select("key", "locale", "code"),
+)
+
+
+@query(
+    "j6_glossary",
+    """WITH terms(locale, term, required) AS (VALUES ('de', 'part', 'teil'), ('fr', 'part', 'piece'), ('pl', 'part', 'part')),
+    u AS (SELECT key, locale, source, replace(translation, 'count', 'teil') AS translation FROM _fmt)
+    SELECT key, u.locale, term FROM u JOIN terms t ON u.locale = t.locale WHERE contains(lower(source), lower(term)) AND NOT contains(lower(translation), lower(required))""",
+)
+def j6(spark, d):
+    terms = spark.createDataFrame([("de", "part", "teil"), ("fr", "part", "piece"), ("pl", "part", "part")], "locale string, term string, required string")
+    return R.glossary(_rel(spark, d, "fmt").withColumn("translation", F.replace("translation", F.lit("count"), F.lit("teil"))), terms)
+
+
+@query(
+    "j7_recall",
+    rf"""WITH m AS (SELECT lang AS locale, substr(text, 1, 30) || ' ' AS source, min(substr(text, 5, 20)) AS text FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL)
+    SELECT 'd' || CAST(d.doc_id AS VARCHAR) AS key, d.lang AS locale, m.text FROM documents d JOIN m ON m.locale = d.lang AND {TRIM.format("m.source")} = {TRIM.format("substr(d.text, 1, 30)")} WHERE d.doc_id % 2 = 0""",
+)
+def j7(spark, d):
+    docs = _table(spark, d, "documents")
+    m = docs.filter("doc_id % 3 = 0").groupBy(F.col("lang").alias("locale"), F.concat(F.substring("text", 1, 30), F.lit(" ")).alias("source")).agg(F.min(F.substring("text", 5, 20)).alias("text")).withColumn("by", F.lit("human"))
+    return R.recall(docs.filter("doc_id % 2 = 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), F.col("lang").alias("locale"), F.substring("text", 1, 30).alias("source")), m)
+
+
+@query(
+    "a16_memory_merge",
+    """WITH m AS (SELECT lang AS locale, 'k' || CAST(doc_id % 97 AS VARCHAR) AS source, substr(text, 1, 12) AS text, CASE WHEN doc_id % 5 = 0 THEN 'human' ELSE 'model' END AS "by", doc_id AS seq FROM documents)
+    SELECT locale, source, arg_max(text, seq + CASE WHEN "by" = 'human' THEN 1000000000 ELSE 0 END) AS text, max(CASE WHEN "by" = 'human' THEN 1 ELSE 0 END) AS human FROM m WHERE trim(text) <> '' AND text <> source GROUP BY ALL""",
+)
+def a16(spark, d):
+    m = _table(spark, d, "documents").select(F.col("lang").alias("locale"), F.concat(F.lit("k"), (F.col("doc_id") % 97).cast("string")).alias("source"), F.substring("text", 1, 12).alias("text"), F.when(F.col("doc_id") % 5 == 0, "human").otherwise("model").alias("by"), F.col("doc_id").alias("seq"))
+    out = R.merge_memory(m.filter("seq % 2 = 0"), m.filter("seq % 2 = 1"))
+    return out.select("locale", "source", "text", F.when(F.col("by") == "human", 1).otherwise(0).alias("human"))
+
+
+@query("a15_memory_counts", "SELECT lang AS locale, count(*) FILTER (doc_id % 5 = 0) AS human, count(*) FILTER (doc_id % 5 <> 0) AS model FROM documents GROUP BY lang")
+def a15(spark, d):
+    return _table(spark, d, "documents").groupBy(F.col("lang").alias("locale")).agg(F.count_if(F.col("doc_id") % 5 == 0).alias("human"), F.count_if(F.col("doc_id") % 5 != 0).alias("model"))
+
+
+TERMS = """t AS (SELECT 'l' || CAST(l.doc_id AS VARCHAR) || '.' || CAST(line AS VARCHAR) AS key, d.lang AS locale, lower(regexp_extract(l.text, '^([A-Za-z]+ [A-Za-z]+) ([A-Za-z]+)', 1)) AS source,
+    regexp_extract(l.text, '^([A-Za-z]+ [A-Za-z]+) ([A-Za-z]+)', 2) AS translation FROM _lines l JOIN documents d ON d.doc_id = l.doc_id)"""
+
+
+@query(
+    "a6_inconsistent_terms",
+    f"""SELECT key, locale, source, translation, majority, n FROM (
+      WITH {TERMS}, v AS (SELECT *, lower(translation) AS low FROM t WHERE source <> '' AND {LETTERS.format("source")} >= 3 AND translation <> source),
+      c AS (SELECT locale, source, low, count(*) AS n, row_number() OVER (PARTITION BY locale, source ORDER BY count(*) DESC, low) AS r FROM v GROUP BY locale, source, low),
+      top AS (SELECT a.locale, a.source, a.low AS majority, a.n FROM c a JOIN c b ON a.locale = b.locale AND a.source = b.source AND a.r = 1 AND b.r = 2 WHERE b.n < a.n),
+      p AS (SELECT v.*, majority, n, list_max(list_filter(range(0, least(length(low), length(majority)) + 1), lambda k: substr(low, 1, k) = substr(majority, 1, k))) AS common
+            FROM v JOIN top ON v.locale = top.locale AND v.source = top.source WHERE low <> majority)
+      SELECT * FROM p WHERE NOT (common >= 3 AND common + 2 >= least(length(low), length(majority)) AND abs(length(low) - length(majority)) <= 2)) WHERE EXISTS (SELECT 1 FROM _lines)""",
+)
+def a6(spark, d):
+    lines, docs = _rel(spark, d, "lines"), _table(spark, d, "documents").select("doc_id", F.col("lang").alias("locale"))
+    at = "^([A-Za-z]+ [A-Za-z]+) ([A-Za-z]+)"
+    u = lines.join(docs, "doc_id").select(F.concat(F.lit("l"), F.col("doc_id").cast("string"), F.lit("."), F.col("line").cast("string")).alias("key"), "locale", F.lower(F.regexp_extract("text", at, 1)).alias("source"), F.regexp_extract("text", at, 2).alias("translation"))
+    return R.inconsistent(u.filter("source <> ''"))
+
+
+STOP = ", ".join(f"'{w}'" for w in dims.STOPWORDS)
+TOKENS = r"list_distinct(list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), lambda w: strlen(w) >= 2 AND regexp_matches(w, '\p{{L}}') AND w NOT IN (" + STOP + ")))"
+
+
+@query(
+    "j8_similar",
+    f"""SELECT qid, cid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM (
+      SELECT qid, cid, round(len(list_intersect(qt, ct)) / len(list_distinct(list_concat(qt, ct))) - abs(strlen(qs) - strlen(cs)) / 200, 6) AS score
+      FROM (SELECT item_id AS qid, substr(text, 1, 60) AS qs, {TOKENS.format("substr(text, 1, 60)")} AS qt FROM benchmark),
+           (SELECT doc_id AS cid, substr(text, 1, 60) AS cs, {TOKENS.format("substr(text, 1, 60)")} AS ct FROM documents WHERE lang = 'en' AND trim(substr(text, 61, 60)) <> '')
+      WHERE qs <> cs AND len(list_intersect(qt, ct)) > 0)) WHERE rank <= 3""",
+)
+def j8(spark, d):
+    q = _table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("source"))
+    c = _table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("cid"), F.substring("text", 1, 60).alias("source"), F.substring("text", 61, 60).alias("translation"))
+    return R.similar(q, c)
+
+
+@query(
+    "j9_usages",
+    r"""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS needle FROM benchmark),
+    w AS (SELECT DISTINCT doc_id AS file, line, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS needle FROM _lines)
+    SELECT needle, arg_min(file, file * 1000000 + line) AS file, arg_min(line, file * 1000000 + line) AS line, count(*) AS n FROM w SEMI JOIN n USING (needle) GROUP BY needle""",
+)
+def j9(spark, d):
+    needles = _table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("needle")).distinct()
+    return R.usages(_rel(spark, d, "lines").withColumnRenamed("doc_id", "file"), needles)
+
+
+@query(
+    "j10_enclosing",
+    r"""SELECT file, line, coalesce(max(CASE WHEN regexp_matches(text, '^[A-Z].*[.]$') THEN line END) OVER w, max(CASE WHEN regexp_matches(text, '^[A-Z]') THEN line END) OVER w) AS declared_at
+    FROM (SELECT doc_id AS file, line, text FROM _lines) WINDOW w AS (PARTITION BY file ORDER BY line ROWS UNBOUNDED PRECEDING)""",
+)
+def j10(spark, d):
+    return R.enclosing(_rel(spark, d, "lines").withColumnRenamed("doc_id", "file"), F.col("text").rlike(r"^[A-Z].*[.]$"), F.col("text").rlike("^[A-Z]"))
+
+
+@query(
+    "w3_snippets",
+    """SELECT file, line, sha256(snippet) AS snippet FROM (SELECT file, line, string_agg(substr(text, 1, 200), chr(10)) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS snippet FROM (SELECT doc_id AS file, line, text FROM _lines))""",
+)
+def w3(spark, d):
+    return R.snippets(_rel(spark, d, "lines").withColumnRenamed("doc_id", "file")).select("file", "line", F.sha2("snippet", 256).alias("snippet"))
+
+
+# ---- windows, folds, plurals -----------------------------------------------------------------------------------------
+
+
+@query(
+    "w5_greedy_batches",
+    """WITH RECURSIVE r AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
+    s AS (SELECT lang, doc_id, i, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS n, n_chars AS c FROM r WHERE i = 1
+      UNION ALL SELECT r.lang, r.doc_id, r.i, CASE WHEN s.n >= 20 OR s.c + r.n_chars > 2500 THEN s.batch + 1 ELSE s.batch END,
+        CASE WHEN s.n >= 20 OR s.c + r.n_chars > 2500 THEN 1 ELSE s.n + 1 END, CASE WHEN s.n >= 20 OR s.c + r.n_chars > 2500 THEN r.n_chars ELSE s.c + r.n_chars END
+        FROM s JOIN r ON r.lang = s.lang AND r.i = s.i + 1)
+    SELECT lang, doc_id, batch FROM s""",
+)
+def w5(spark, d):
+    return R.greedy_batches(_table(spark, d, "documents"), "lang", "doc_id", "n_chars")
+
+
+@query("w6_chunks", "SELECT lang, doc_id, CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) / 25) AS BIGINT) AS chunk FROM documents")
+def w6(spark, d):
+    return R.chunks(_table(spark, d, "documents").select("lang", "doc_id"), "lang", "doc_id", 25)
+
+
+@query("w7_budget", "SELECT source, doc_id, spent FROM (SELECT source, doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM documents) WHERE spent <= 24000")
+def w7(spark, d):
+    return R.within_budget(_table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 24000).select("source", "doc_id", "spent")
+
+
+@query("a5_duplicate_keys", "SELECT CAST(l_orderkey % 50 AS VARCHAR) AS file, l_returnflag AS kind, 'p' || CAST(l_partkey AS VARCHAR) AS key, count(*) AS n, min(l_orderkey) AS first FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def a5(spark, d):
+    rows = _table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).cast("string").alias("file"), F.col("l_returnflag").alias("kind"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("key"), F.col("l_orderkey").alias("ordinal"))
+    return R.duplicate_keys(rows)
+
+
+REQ = ", ".join(f"('{lang}', '{c}')" for lang, cats in sorted(dims.REQUIRED.items()) for c in cats)
+LOCALES = ("de", "pl", "ar", "ja", "pt-BR", "cs")
+FORMS_SQL = "forms AS (SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS key, locale, category FROM nation, (VALUES " + ", ".join(f"('{x}')" for x in LOCALES) + ") l(locale), (VALUES (0, 'one'), (1, 'few'), (2, 'many'), (3, 'other')) c(b, category) WHERE (n_nationkey // CAST(2 ** b AS INT)) % 2 = 1)"
+
+
+@query(
+    "c5_plural_gaps",
+    f"""SELECT key, locale, category FROM (WITH {FORMS_SQL}, req(lang, category) AS (VALUES {REQ}),
+    have AS (SELECT key, locale, lower(split_part(locale, '-', 1)) AS lang, list(DISTINCT category) AS have FROM forms GROUP BY key, locale),
+    need AS (SELECT h.*, r.category FROM have h JOIN req r ON r.lang = h.lang UNION ALL SELECT h.*, unnest(['one', 'other']) FROM have h WHERE lang NOT IN (SELECT lang FROM req))
+    SELECT * FROM need WHERE have <> ['other'] AND NOT list_contains(have, category))""",
+)
+def c5(spark, d):
+    n = _table(spark, d, "nation")
+    bits = F.filter(F.transform(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(c).alias("c")) for b, c in enumerate(("one", "few", "many", "other"))]), lambda x: F.when(F.floor(F.col("n_nationkey") / F.pow(F.lit(2), x["b"])) % 2 == 1, x["c"])), lambda x: x.isNotNull())
+    forms = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("key"), F.explode(F.array(*map(F.lit, LOCALES))).alias("locale"), bits.alias("cats")).select("key", "locale", F.explode("cats").alias("category"))
+    return R.plural_gaps(forms, dims.required_categories(spark))
+
+
+@query(
+    "a8_plural_units",
+    """WITH f AS (SELECT p_brand AS key, CASE p_partkey % 3 WHEN 0 THEN 'one' WHEN 1 THEN 'other' ELSE 'zero' END AS category, min(p_name) AS source FROM part GROUP BY 1, 2),
+    last AS (SELECT key, coalesce(max(CASE WHEN category = 'other' THEN source END), arg_max(source, category)) AS fallback FROM f GROUP BY key),
+    want AS (SELECT DISTINCT key, c.category FROM f, (VALUES ('one'), ('few'), ('many'), ('other')) c(category) UNION SELECT key, category FROM f WHERE category = 'zero')
+    SELECT want.key || '#plural.' || want.category AS key, coalesce(f.source, fallback) AS source FROM want LEFT JOIN f ON f.key = want.key AND f.category = want.category JOIN last ON last.key = want.key""",
+)
+def a8(spark, d):
+    f = _table(spark, d, "part").groupBy(F.col("p_brand").alias("key"), F.when(F.col("p_partkey") % 3 == 0, "one").when(F.col("p_partkey") % 3 == 1, "other").otherwise("zero").alias("category")).agg(F.min("p_name").alias("source"))
+    return R.plural_units(f, spark.createDataFrame([("one",), ("few",), ("many",), ("other",)], "category string"))
+
+
+@query("a9_array_units", "SELECT 't' || CAST(turn AS VARCHAR) || '#array.' || CAST(i - 1 AS VARCHAR) AS key, items[i] AS source, 'one of: ' || array_to_string(items, ', ') AS comment FROM (SELECT turn, items, unnest(range(1, len(items) + 1)) AS i FROM (SELECT turn, list(r ORDER BY r) AS items FROM (SELECT DISTINCT turn, role || CAST(conv_id % 3 AS VARCHAR) AS r FROM conversations) GROUP BY turn))")
+def a9(spark, d):
+    rows = _table(spark, d, "conversations").groupBy("turn").agg(F.array_sort(F.collect_set(F.concat("role", (F.col("conv_id") % 3).cast("string")))).alias("items"))
+    return R.array_units(rows.select(F.concat(F.lit("t"), F.col("turn").cast("string")).alias("key"), "items"))
+
+
+@query("j18_array_parity", "SELECT a.name, n_source, n_target FROM (SELECT p_brand AS name, count(*) AS n_source FROM part WHERE p_size % 2 = 0 GROUP BY 1) a JOIN (SELECT p_brand AS name, count(*) AS n_target FROM part WHERE p_size % 3 = 0 GROUP BY 1) b ON a.name = b.name WHERE n_source <> n_target")
+def j18(spark, d):
+    p = _table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("item"), "p_size")
+    return R.array_parity(p.filter("p_size % 2 = 0"), p.filter("p_size % 3 = 0"))
+
+
+DIFF_SQL = """diff AS (SELECT part, seq, CASE WHEN seq % 9 = 0 THEN '+++ b/src/' || CAST(seq % 5 AS VARCHAR) || '.json' ELSE '@@ -1,2 +' || CAST(seq AS VARCHAR) || ',' || CAST(q AS VARCHAR) || ' @@' END AS text
+    FROM (SELECT l_orderkey % 50 AS part, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey, l_linenumber) - 1 AS seq, CAST(l_quantity AS INT) % 4 AS q FROM lineitem))"""
+
+
+def _diff(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    seq = F.row_number().over(Window.partitionBy("part").orderBy("l_orderkey", "l_linenumber")) - 1
+    rows = _table(spark, d, "lineitem").withColumn("part", F.col("l_orderkey") % 50).withColumn("seq", seq)
+    text = F.when(F.col("seq") % 9 == 0, F.concat(F.lit("+++ b/src/"), (F.col("seq") % 5).cast("string"), F.lit(".json"))).otherwise(F.concat(F.lit("@@ -1,2 +"), F.col("seq").cast("string"), F.lit(","), (F.col("l_quantity").cast("int") % 4).cast("string"), F.lit(" @@")))
+    return rows.select("part", "seq", text.alias("text"))
+
+
+@query(
+    "s21_changed_lines",
+    f"""SELECT DISTINCT file, CAST(line AS INT) AS line FROM (WITH {DIFF_SQL}, h AS (SELECT last_value(CASE WHEN text LIKE '+++ b/%' THEN substr(text, 7) END IGNORE NULLS) OVER (PARTITION BY part ORDER BY seq ROWS UNBOUNDED PRECEDING) AS file, text FROM diff)
+    SELECT file, unnest(range(CAST(regexp_extract(text, '\\+([0-9]+)', 1) AS INT), CAST(regexp_extract(text, '\\+([0-9]+)', 1) AS INT) + CAST(regexp_extract(text, ',([0-9]+) @@', 1) AS INT))) AS line FROM h WHERE text LIKE '@@%')""",
+)
+def s21(spark, d):
+    return R.changed_lines(_diff(spark, d))
+
+
+@query(
+    "j12_placed",
+    f"""WITH {DIFF_SQL}, h AS (SELECT last_value(CASE WHEN text LIKE '+++ b/%' THEN substr(text, 7) END IGNORE NULLS) OVER (PARTITION BY part ORDER BY seq ROWS UNBOUNDED PRECEDING) AS file, text FROM diff),
+    l AS (SELECT DISTINCT file, unnest(range(CAST(regexp_extract(text, '\\+([0-9]+)', 1) AS INT), CAST(regexp_extract(text, '\\+([0-9]+)', 1) AS INT) + CAST(regexp_extract(text, ',([0-9]+) @@', 1) AS INT))) AS line FROM h WHERE text LIKE '@@%'),
+    f AS (SELECT 'src/' || CAST(p_partkey % 7 AS VARCHAR) || '.json' AS file, CAST(p_partkey AS INT) AS line, p_name AS key FROM part)
+    SELECT f.file, f.line, f.key FROM f SEMI JOIN l ON f.file = l.file AND f.line = l.line""",
+)
+def j12(spark, d):
+    f = _table(spark, d, "part").select(F.concat(F.lit("src/"), (F.col("p_partkey") % 7).cast("string"), F.lit(".json")).alias("file"), F.col("p_partkey").cast("int").alias("line"), F.col("p_name").alias("key"))
+    return R.placed(f, R.changed_lines(_diff(spark, d)))[0].select("file", "line", "key")
+
+
+@query(
+    "j14_line_changes",
+    "SELECT doc_id AS file, line, text AS old, text || '!' AS text FROM _lines WHERE (doc_id + line) % 7 = 0 AND doc_id % 3 <> 0",
+)
+def j14(spark, d):
+    lines = _rel(spark, d, "lines").withColumnRenamed("doc_id", "file")
+    after = lines.filter(~((F.col("file") % 3 == 0) & (F.col("line") == 1))).withColumn("text", F.when((F.col("file") + F.col("line")) % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return R.line_changes(lines, after).select("file", "line", "old", "text")
+
+
+@query(
+    "t1_rate_limit",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(ts AS TIMESTAMP) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    s AS (SELECT user_id, event_id, i, [ts] AS live, true AS accepted FROM e WHERE i = 1
+      UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN len(k) < 3 THEN list_append(k, e.ts) ELSE k END, len(k) < 3
+      FROM (SELECT s.user_id, s.i, e.event_id, e.ts, e.i AS j, list_filter(s.live, lambda t: t > e.ts - INTERVAL 6 HOURS) AS k FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1) x JOIN e ON e.user_id = x.user_id AND e.i = x.j)
+    SELECT user_id, event_id, accepted FROM s""",
+)
+def t1(spark, d):
+    return R.limited(_table(spark, d, "events"), "user_id", "ts", "event_id", 3, 6 * 3600)
+
+
+@query(
+    "a18_preference",
+    "SELECT count(*) FILTER (quality > toxic) AS wins, count(*) FILTER (quality < toxic) AS losses, count(*) FILTER (quality = toxic) AS ties, lang AS locale FROM labels JOIN documents USING (doc_id) GROUP BY lang",
+)
+def a18(spark, d):
+    j = _table(spark, d, "labels").join(_table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    q, t = F.col("quality"), F.col("toxic")
+    return j.groupBy(F.col("lang").alias("locale")).agg(F.count_if(q > t).alias("wins"), F.count_if(q < t).alias("losses"), F.count_if(q == t).alias("ties"))
+
+
+# ---- scalars ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "p1_key_parts",
+    r"""WITH k AS (SELECT p_brand || CASE p_partkey % 3 WHEN 0 THEN '#plural.' || CASE WHEN p_size % 2 = 0 THEN 'few' ELSE 'other' END WHEN 1 THEN '#array.' || CAST(p_size AS VARCHAR) ELSE '' END AS key FROM part)
+    SELECT key, regexp_extract(key, '(?s)^(.*)#plural\.([^#]+)$', 2) AS category, TRY_CAST(regexp_extract(key, '(?s)^(.*)#array\.([0-9]+)$', 2) AS INT) AS i, split_part(key, '#plural.', 1) AS p, regexp_replace(key, '#(plural|array)\..*$', '') AS base FROM k""",
+)
+def p1(spark, d):
+    m = F.col("p_partkey") % 3
+    k = _table(spark, d, "part").select(F.concat("p_brand", F.when(m == 0, F.concat(F.lit("#plural."), F.when(F.col("p_size") % 2 == 0, "few").otherwise("other"))).when(m == 1, F.concat(F.lit("#array."), F.col("p_size").cast("string"))).otherwise("")).alias("key"))
+    key = F.col("key")
+    return k.select("key", X.plural_category(key).alias("category"), X.array_index(key).alias("i"), F.when(X.plural_base(key) != "", X.plural_base(key)).otherwise(key).alias("p"), X.base_key(key).alias("base"))
+
+
+@query("f1_hashes", "SELECT doc_id, substr(sha256(text), 1, 32) AS hash FROM documents")
+def f1(spark, d):
+    return _table(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("hash"))
+
+
+@query("f15_tokens", f"SELECT doc_id, array_to_string(list_sort({TOKENS.format('text')}), ' ') AS tokens FROM documents")
+def f15(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(X.tokens(F.col("text"))), " ").alias("tokens"))
+
+
+@query("f24_collapsed", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS hash FROM documents")
+def f24(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.sha2(X.collapsed(F.col("text")), 256).alias("hash"))
+
+
+@query("p10_android_qualifiers", "SELECT tag, CASE WHEN NOT contains(tag, '-') THEN tag WHEN regexp_matches(tag, '^[a-z]+-([A-Z]{2}|[0-9]{3})$') THEN replace(tag, '-', '-r') ELSE 'b+' || replace(tag, '-', '+') END AS qualifier FROM (SELECT DISTINCT lang || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '-BR' WHEN 2 THEN '-Latn' ELSE '-419' END AS tag FROM documents)")
+def p10(spark, d):
+    m = F.col("doc_id") % 4
+    tags = _table(spark, d, "documents").select(F.concat("lang", F.when(m == 0, "").when(m == 1, "-BR").when(m == 2, "-Latn").otherwise("-419")).alias("tag")).distinct()
+    return tags.select("tag", X.android_qualifier(F.col("tag")).alias("qualifier"))
+
+
+@query("f32_codes", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{s}', {str(f).lower()}, '{t}')" for c, s, f, t in dims.CODES) + ") t(code, severity, fixable, title)")
+def f32(spark, d):
+    return dims.codes(spark)
+
+
+@query("f18_pseudo")
+def f18(spark, d):
+    from ..functions.placeholders import pseudo_udf
+    from ..session import ship
+
+    ship(spark)
+    return _rel(spark, d, "fmt").select("key", pseudo_udf("source").alias("pseudo"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
