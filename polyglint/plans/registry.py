@@ -458,13 +458,13 @@ def j18(spark, d):
 
 
 DIFF_SQL = """diff AS (SELECT part, seq, CASE WHEN seq % 9 = 0 THEN '+++ b/src/' || CAST(seq % 5 AS VARCHAR) || '.json' ELSE '@@ -1,2 +' || CAST(seq AS VARCHAR) || ',' || CAST(q AS VARCHAR) || ' @@' END AS text
-    FROM (SELECT l_orderkey % 50 AS part, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey, l_linenumber) - 1 AS seq, CAST(l_quantity AS INT) % 4 AS q FROM lineitem))"""
+    FROM (SELECT l_orderkey % 50 AS part, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS seq, CAST(l_quantity AS INT) % 4 AS q FROM lineitem))"""
 
 
 def _diff(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    seq = F.row_number().over(Window.partitionBy("part").orderBy("l_orderkey", "l_linenumber")) - 1
+    seq = F.row_number().over(Window.partitionBy("part").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")) - 1
     rows = _table(spark, d, "lineitem").withColumn("part", F.col("l_orderkey") % 50).withColumn("seq", seq)
     text = F.when(F.col("seq") % 9 == 0, F.concat(F.lit("+++ b/src/"), (F.col("seq") % 5).cast("string"), F.lit(".json"))).otherwise(F.concat(F.lit("@@ -1,2 +"), F.col("seq").cast("string"), F.lit(","), (F.col("l_quantity").cast("int") % 4).cast("string"), F.lit(" @@")))
     return rows.select("part", "seq", text.alias("text"))
