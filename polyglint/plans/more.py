@@ -160,7 +160,12 @@ def report(name, tail, f):
 
 
 report("k12_json_report", """SELECT '{"file":"' || file || '",' || CASE WHEN line IS NULL THEN '' ELSE '"line":' || CAST(line AS VARCHAR) || ',' END || '"key":"' || key || '","locale":"' || locale || '","code":"' || code || '","severity":"' || severity || '","message":"' || message || '"}' AS json FROM g""", render.json_report)
-report("k13_sarif", None, render.sarif_results)
+report(
+    "k13_sarif",
+    """SELECT '{"ruleId":"' || code || '","level":"' || severity || '","message":{"text":"[' || locale || '] ' || key || ' ' || message || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || file || '"},"region":{"startLine":' || CAST(coalesce(line, 1) AS VARCHAR)
+    || '}}}],"partialFingerprints":{"findingKey":"' || file || ':' || key || ':' || locale || ':' || code || '"}}' AS json FROM g""",
+    render.sarif_results,
+)
 report("k14_annotations", "SELECT '::' || severity || ' file=' || file || CASE WHEN line IS NULL THEN '' ELSE ',line=' || CAST(line AS VARCHAR) END || ',title=' || code || ' ' || locale || '::' || key || ': ' || replace(message, '%', '%25') AS line FROM g", render.annotations)
 report(
     "k15_review_comments",
