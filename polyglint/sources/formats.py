@@ -234,6 +234,17 @@ def encode_android(text: str, cdata: bool = False) -> str:
     return f"<![CDATA[{out}]]>" if cdata else re.sub(r"&(?![A-Za-z#0-9]+;)", "&amp;", out).replace("<", "&lt;")
 
 
+def escape_problem(raw: str) -> str | None:
+    """error or warning: a reference that is none, a bare apostrophe, an odd number of bare double quotes."""
+    value = raw.strip()
+    if re.match(r"[@?]", value) and not re.fullmatch(r"[@?][A-Za-z0-9_.+:]+(?:/[A-Za-z0-9_.]*)?", value):
+        return "error"
+    if "<![CDATA[" in value or len(value) > 1 and value[0] == value[-1] == '"':
+        return None
+    bare = re.sub(r"\\.|<[^>]*>", "", value, flags=re.DOTALL)
+    return "error" if "'" in bare else "warning" if bare.count('"') % 2 else None
+
+
 def parse_android(text: str) -> list[Entry]:
     out: list[Entry] = []
     place: dict[int, int] = {}
@@ -243,6 +254,8 @@ def parse_android(text: str) -> list[Entry]:
         if own is None or own["name"] not in ("string", "plurals", "string-array") or e["name"] in ("plurals", "string-array"):
             continue
         flags = [f for f in ("translatable", "formatted") if own["attrs"].get(f) == "false"]
+        if problem := escape_problem(e["raw"]):
+            flags.append(f"escape-{problem}")
         n = place[id(own)] = place.get(id(own), -1) + 1
         array = own["name"] == "string-array"
         out.append(Entry(own["attrs"].get("name", ""), decode_android(e["raw"]), len(out), own["name"], None, e["attrs"].get("quantity") if own["name"] == "plurals" else None, n if array else None, own["comment"], None, e["start"], e["end"], e["line"], flags))
