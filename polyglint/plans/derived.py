@@ -29,13 +29,16 @@ SELECT 'part.' || CAST(p_partkey AS STRING) AS key,
 FROM {part}
 """
 U_CONV = """
-SELECT CAST(u.conv_id AS STRING) || '.' || CAST(u.turn AS STRING) AS key, 'ja' AS locale, u.text AS source, a.text AS translation
+SELECT CAST(u.conv_id AS STRING) || '.' || CAST(u.turn AS STRING) AS key, 'ja' AS locale, u.text AS source,
+       CASE WHEN u.conv_id % 2 = 0 THEN regexp_replace(a.text, '[.!?]+$', '') ELSE a.text END AS translation
 FROM {conversations} u JOIN {conversations} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
 WHERE u.role = 'user'
 """
 U_PAGES = """
 SELECT CAST(page_id AS STRING) AS key, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS locale,
-       regexp_extract(html, '<title>([^<]*)</title>', 1) AS source, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS translation
+       regexp_extract(html, '<title>([^<]*)</title>', 1) AS source,
+       CASE page_id % 5 WHEN 0 THEN replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&amp;amp;') || ' &amp;lt;'
+         WHEN 1 THEN '<i>' || regexp_extract(html, '<h1>([^<]*)</h1>', 1) || '</i>' ELSE regexp_extract(html, '<h1>([^<]*)</h1>', 1) END AS translation
 FROM {pages}
 """
 LOCKED = """

@@ -249,13 +249,13 @@ def j4(spark, d):
 
 FOUND_SQL = f"""f AS (SELECT 'f' || CAST(length(key) AS VARCHAR) AS file, key, locale, 'length' AS code FROM _fmt WHERE {CHECKS["c15_length"][2]}
     UNION ALL SELECT 'f' || CAST(length(key) AS VARCHAR), key, locale, 'whitespace' FROM _fmt WHERE {CHECKS["c16_whitespace"][2]}),
-    a AS (SELECT * FROM f WHERE length(file || key || code) % 3 <> 0), b AS (SELECT * FROM f WHERE length(key || locale || code) % 2 = 0)"""
+    a AS (SELECT * FROM f WHERE key NOT LIKE '%3'), b AS (SELECT * FROM f WHERE key LIKE '%3' OR key LIKE '%5')"""
 FOUND_SQL = "WITH _fmt AS (" + TWINS["fmt"] + ")," + FOUND_SQL
 
 
 def _findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = C.simple_findings(_rel(spark, d, "fmt")).filter(F.col("code").isin("length", "whitespace")).select(F.concat(F.lit("f"), F.length("key").cast("string")).alias("file"), "key", "locale", "code")
-    return rows.filter(F.length(F.concat("file", "key", "code")) % 3 != 0), rows.filter(F.length(F.concat("key", "locale", "code")) % 2 == 0)
+    return rows.filter("key not like '%3'"), rows.filter("key like '%3' or key like '%5'")
 
 
 def _with_findings(name: str, tail: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
@@ -283,13 +283,13 @@ _with_findings(
 
 @query(
     "j6_glossary",
-    """WITH terms(locale, term, required) AS (VALUES ('de', 'part', 'teil'), ('fr', 'part', 'piece'), ('pl', 'part', 'part')),
-    u AS (SELECT key, locale, source, replace(translation, 'count', 'teil') AS translation FROM _fmt)
+    """WITH terms(locale, term, required) AS (VALUES ('de', 'bolt', 'bolzen'), ('fr', 'Ring', 'anneau'), ('pl', 'rod', 'rod')),
+    u AS (SELECT key, locale, source, replace(translation, 'large bolt', 'Bolzen') AS translation FROM _fmt)
     SELECT key, u.locale, term FROM u JOIN terms t ON u.locale = t.locale WHERE contains(lower(source), lower(term)) AND NOT contains(lower(translation), lower(required))""",
 )
 def j6(spark, d):
-    terms = spark.createDataFrame([("de", "part", "teil"), ("fr", "part", "piece"), ("pl", "part", "part")], "locale string, term string, required string")
-    return R.glossary(_rel(spark, d, "fmt").withColumn("translation", F.replace("translation", F.lit("count"), F.lit("teil"))), terms)
+    terms = spark.createDataFrame([("de", "bolt", "bolzen"), ("fr", "Ring", "anneau"), ("pl", "rod", "rod")], "locale string, term string, required string")
+    return R.glossary(_rel(spark, d, "fmt").withColumn("translation", F.replace("translation", F.lit("large bolt"), F.lit("Bolzen"))), terms)
 
 
 @query(
