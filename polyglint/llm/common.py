@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +40,21 @@ def saved(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
     """Writes df into the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def dropped(spark: SparkSession, *tables: DataFrame, shuffles: bool = True) -> None:
+    """Deletes tables that saved() wrote and nothing reads any more, and lets Spark drop shuffle files of finished jobs,
+    which it does after its driver has collected garbage."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._saved_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for _ in range(2 if shuffles else 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000, mb: int = 32) -> None:

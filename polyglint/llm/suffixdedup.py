@@ -20,14 +20,13 @@ another text are ordered by a hash of the text. A null doc_id comes before all o
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, inputs, saved
+from .common import arrow_batches, dropped, inputs, saved
 
 LENGTH, KGRAM = 100, 32
 GROUP = 30_000
@@ -129,10 +128,13 @@ def _pieces(batch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return inputs(docs).select("doc_id", F.hash("text").alias("tie"), "text")
+    """tie tells apart texts that share a doc_id; it is 0 where ids are unique, which is checked."""
+    rows = inputs(docs)
+    repeated = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return rows.select("doc_id", (F.hash("text") if repeated else F.lit(0)).alias("tie"), "text")
 
 
-def all_runs(docs: DataFrame, contents: bool) -> DataFrame:
+def all_runs(texts: DataFrame, contents: bool) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -148,7 +150,7 @@ def all_runs(docs: DataFrame, contents: bool) -> DataFrame:
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    return _texts(docs).mapInArrow(run, "h long, c long, doc_id long, tie int, start int, n int" if contents else "h long")
+    return texts.mapInArrow(run, "h long, c long, doc_id long, tie int, start int, n int" if contents else "h long")
 
 
 def repeated_windows(contents: list[bytes], order: np.ndarray) -> list[np.ndarray]:
@@ -268,37 +270,36 @@ def _by_digest(bodies: DataFrame) -> DataFrame:
     return later.groupBy("h", "c").agg(F.collect_list("off").alias("offs")).select("h", "c", "offs", F.transform("offs", lambda x: F.lit(1)).alias("lens"))
 
 
-def _freed(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of phases that are over; it does so when its driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def ranges(spark: SparkSession, docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, tie, gone: byte ranges (s, e) that repeat earlier bytes, for documents that have any."""
+def ranges(spark: SparkSession, texts: DataFrame, group: int = GROUP) -> DataFrame:
+    """texts: see _texts. doc_id, tie, gone: byte ranges (s, e) that repeat earlier bytes, for documents that have any."""
     arrow_batches(spark)
-    texts = _texts(docs)
-    often = saved(spark, all_runs(docs, contents=False).groupBy("h").count().filter("count > 1").select("h"), "minimizers")
-    _freed(spark)
-    found = saved(spark, all_runs(docs, contents=True).join(often, "h", "left_semi"), "runs")
-    _freed(spark)
+    often = saved(spark, all_runs(texts, contents=False).groupBy("h").count().filter("count > 1").select("h"), "minimizers")
+    dropped(spark)
+    found = saved(spark, all_runs(texts, contents=True).join(often, "h", "left_semi"), "runs")
+    dropped(spark, often)
     first = F.min(F.struct("doc_id", "tie", "start")).alias("first")
     contents = saved(spark, found.groupBy("h", "c").agg(first, F.first("n").alias("n")), "contents")
+    dropped(spark)
     groups = contents.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = contents.join(groups, "h").select("h", "c", "first.*", "n", "members")
+    shared = saved(spark, contents.join(groups, "h").select("h", "c", "first.*", "n", "members"), "shared")
     bodies = saved(spark, _bodies(texts, shared.filter(F.col("members") <= group)), "bodies")
-    _freed(spark)
-    flags = _by_suffix_array(bodies)
+    dropped(spark)
+    parts = [saved(spark, _by_suffix_array(bodies), "flags")]
+    dropped(spark, bodies)
     large = shared.filter(F.col("members") > group)
     if not large.isEmpty():
-        flags = flags.union(_by_digest(saved(spark, _bodies(texts, large), "bodies")))
-    flags = saved(spark, flags, "flags")
-    _freed(spark)
+        bodies = saved(spark, _bodies(texts, large), "bodies")
+        parts.append(saved(spark, _by_digest(bodies), "flags"))
+        dropped(spark, bodies)
+    dropped(spark, shared)
+    flags = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     copies = found.join(contents.select("h", "c", "first"), ["h", "c"]).filter(~F.struct("doc_id", "tie", "start").eqNullSafe(F.col("first")))
     copies = copies.select("doc_id", "tie", F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n") + (LENGTH - 1)).alias("e")).alias("r"))
     part = contents.join(flags, ["h", "c"]).select("first.doc_id", "first.tie", F.explode(F.arrays_zip("offs", "lens")).alias("x"), "first.start")
     part = part.select("doc_id", "tie", F.struct((F.col("start") + F.col("x.offs")).alias("s"), (F.col("start") + F.col("x.offs") + F.col("x.lens") + (LENGTH - 1)).alias("e")).alias("r"))
-    return saved(spark, copies.union(part).groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set("r")).alias("gone")), "ranges")
+    out = saved(spark, copies.union(part).groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set("r")).alias("gone")), "ranges")
+    dropped(spark, found, contents, *parts)
+    return out
 
 
 def merged(gone: list[dict] | None) -> list[tuple[int, int]]:
@@ -313,8 +314,9 @@ def merged(gone: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def op2(spark: SparkSession, docs: DataFrame, group: int = GROUP) -> DataFrame:
-    gone = ranges(spark, docs, group)
-    joined = _texts(docs).alias("t").join(gone.alias("g"), F.expr("t.doc_id <=> g.doc_id AND t.tie = g.tie"), "left").select("t.doc_id", "text", "gone")
+    texts = _texts(docs)
+    gone = ranges(spark, texts, group)
+    joined = texts.alias("t").join(gone.alias("g"), F.expr("t.doc_id <=> g.doc_id AND t.tie = g.tie"), "left").select("t.doc_id", "text", "gone")
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
