@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import dropped, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
     edges = saved(spark, edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
+        last = edges
         edges = saved(spark, _small_star(_large_star(edges).distinct()).distinct(), "edges")
+        dropped(spark, last, shuffles=False)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 999_983)).first())
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
