@@ -109,16 +109,31 @@ def revealing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, disc
     if pairs.isEmpty():
         return None
     n_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = saved(spark, pairs.select("term").distinct(), "candidates")
-    n_term = docs.select(F.explode(F.array_distinct(words)).alias("term")).join(_small(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    rated = pairs.join(n_entity, "entity").join(n_term, "term")
     ic = F.greatest(F.log2(F.lit(float(docs.count())) / F.col("n_entity")), F.lit(1e-9))
-    rated = rated.withColumn("share", 1 + F.log2(F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))) / ic)
-    rated = rated.filter((F.col("share") >= disclosure) & (ic > 1))
+
+    def rate(pairs: DataFrame, n_term: DataFrame) -> DataFrame:
+        share = 1 + F.log2(F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))) / ic
+        return pairs.join(n_term, "term").withColumn("share", share).filter((F.col("share") >= disclosure) & (ic > 1))
+
+    # a term stands in as many documents at least as it does in those with an entity: what fails by that count alone, as
+    # common words do, isn't looked up in the corpus
+    pairs = pairs.join(n_entity, "entity")
+    there = _documents_with(found.select(words.alias("words")), saved(spark, pairs.select("term").distinct(), "candidates"))
+    pairs = saved(spark, rate(pairs, there).drop("n_term", "share"), "pairs")
+    if pairs.isEmpty():
+        return None
+    terms = saved(spark, pairs.select("term").distinct(), "candidates")
+    rated = rate(pairs, _documents_with(docs.select(words.alias("words")), terms))
     out = saved(spark, rated.groupBy("term").agg(F.when(F.max("share") >= removal, "reveal").otherwise("term").alias("kind")), "terms")
     return None if out.isEmpty() else out
 
 
+def _documents_with(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n_term: how many rows' words hold each of the terms."""
+    each = rows.select(F.explode(F.array_distinct("words")).alias("term"))
+    return each.join(_small(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """To be broadcast if it has MOST rows at most, which is checked."""
     return F.broadcast(df) if df.count() <= MOST else df
