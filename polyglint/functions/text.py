@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,8 +107,9 @@ def link(s: Column, t: Column) -> Column:
 
 
 def brackets(s: Column, t: Column) -> Column:
-    broken = [(count_of(s, o) == count_of(s, c)) & (count_of(t, o) != count_of(t, c)) for o, c in BRACKETS]
-    return ~is_key(s) & reduce(lambda x, y: x | y, broken)
+    pairs = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(c).alias("c")) for o, c in BRACKETS])
+    n = lambda text, mark: F.length(text) - F.length(F.replace(text, mark))
+    return ~is_key(s) & F.exists(pairs, lambda p: (n(s, p["o"]) == n(s, p["c"])) & (n(t, p["o"]) != n(t, p["c"])))
 
 
 def entities(t: Column) -> Column:
