@@ -28,6 +28,20 @@ FILES = "part int, segment long, first long, doc_ids array<long>, lengths array<
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+_LOW_WIDTHS = np.maximum(np.ceil(np.log2(np.arange(1 << 16) + 1)), 1).astype(np.uint8)
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id, 1 at least; 61 for all that need more than 60."""
+    out = _LOW_WIDTHS[(ids & np.uint64(0xFFFF)).astype(np.uint16)]
+    for k in (16, 32, 48):
+        high = ids >> np.uint64(k)
+        if not high.any():
+            break
+        out = np.where(high > 0, _LOW_WIDTHS[(high & np.uint64(0xFFFF)).astype(np.uint16)] + np.uint8(k), out)
+    return np.minimum(out, np.uint8(61))
+
+
 def encode(ids: np.ndarray) -> bytes:
     """ids: any unsigned integers below 2**64."""
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
@@ -35,46 +49,44 @@ def encode(ids: np.ndarray) -> bytes:
     blocks = -(-n // BLOCK)
     grid = np.zeros(blocks * BLOCK, np.uint64)
     grid[:n] = ids
-    top = int(ids.max()).bit_length() if n else 1
-    width = np.zeros(blocks * BLOCK, np.uint8)
-    for b in range(min(top, 61)):
-        width += grid >= np.uint64(1 << b)
-    width = np.pad(width.reshape(blocks, BLOCK), ((0, 0), (0, 60)))
-    # the selector that packs most ids from each place: window maxima of the widths, longer windows from shorter ones
-    best = np.where(width[:, :BLOCK] > 60, np.uint8(0), np.uint8(14))
+    width = np.pad(_widths(grid).reshape(blocks, BLOCK), ((0, 0), (0, 60)))
+    # the selector that packs most ids from each place, by window maxima of the widths; what fits in a longer window also
+    # fits in a shorter one, so the number of selectors that fit tells the best
+    best = np.full((blocks, BLOCK), 14, np.uint8)
     seen = width[:, : BLOCK + 59].copy()  # maximum of the `have` widths from each place
     have = 1
-    for s in reversed(USED):
+    for s in range(13, 0, -1):
         while have < COUNTS[s]:
-            np.maximum(seen[:, : seen.shape[1] - 1], width[:, have : have + seen.shape[1] - 1], out=seen[:, : seen.shape[1] - 1])
-            seen = seen[:, :-1]
+            seen = np.maximum(seen[:, :-1], width[:, have : have + seen.shape[1] - 1])
             have += 1
-        best[(seen[:, :BLOCK] <= WIDTHS[s])] = s
+        best -= seen[:, :BLOCK] <= WIDTHS[s]
+    best[width[:, :BLOCK] > 60] = 0
     step = COUNTS[best]
     # all blocks walk from word to word together
     at, alive = np.zeros(blocks, np.int64), np.arange(blocks)
-    heads_b, heads_p = [], []
+    head = np.zeros((blocks, BLOCK), bool)
     while len(alive):
         p = at[alive]
-        heads_b.append(alive)
-        heads_p.append(p)
-        at[alive] = p + step[alive, p]
-        alive = alive[at[alive] < BLOCK]
-    b, p = (np.concatenate(heads_b), np.concatenate(heads_p)) if blocks else (np.zeros(0, np.int64),) * 2
-    order = np.lexsort((p, b))
-    b, p = b[order], p[order]
+        head[alive, p] = True
+        p = p + step[alive, p]
+        at[alive] = p
+        alive = alive[p < BLOCK]
+    b, p = np.nonzero(head)
     real = b * BLOCK + p < max(n, 1)
     b, p = b[real], p[real]
     sel = best[b, p].astype(np.int64) if len(b) else np.zeros(0, np.int64)
-    words = sel.astype(np.uint64) << np.uint64(60)
-    long = np.concatenate([grid, np.zeros(60, np.uint64)])
+    words = np.zeros(len(sel), np.uint64)
+    wide = np.zeros((blocks, BLOCK + 60), np.uint64)  # zeros stand behind each block
+    wide[:, :BLOCK] = grid.reshape(blocks, BLOCK)
+    wide = wide.ravel()
+    place = b * (BLOCK + 60) + p
     for s in USED:
         w = np.flatnonzero(sel == s)
         if len(w):
-            base, room = b[w] * BLOCK + p[w], BLOCK - p[w]
+            at, word = place[w], np.full(len(w), s << 60, np.uint64)
             for j in range(COUNTS[s]):
-                v = long[base + j] if s == 14 else np.where(j < room, long[base + j], np.uint64(0))
-                words[w] |= v << np.uint64(j * WIDTHS[s])
+                word |= wide[at + j] << np.uint64(j * WIDTHS[s])
+            words[w] = word
     out = np.flatnonzero(sel == 0)
     escapes = grid[b[out] * BLOCK + p[out]]
     words[out] = np.arange(len(out), dtype=np.uint64)
@@ -104,17 +116,17 @@ def decode(payload: bytes, first_block: int = 0, n_blocks: int | None = None) ->
     before = np.cumsum(count) - count
     of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
     place = before - before[starts][of]  # in the block
-    out = np.zeros(len(starts) * BLOCK + 60, np.uint64)
+    out = np.zeros(len(starts) * (BLOCK + 60), np.uint64)  # what a block's last word holds beyond it falls behind it
+    at = of * (BLOCK + 60) + place
     for s in USED:
         w = np.flatnonzero(sel == s)
-        mask = np.uint64((1 << int(WIDTHS[s])) - 1)
-        for j in range(COUNTS[s]):
-            if len(w):
-                k = w[place[w] + j < BLOCK]
-                out[of[k] * BLOCK + place[k] + j] = (words[k] >> np.uint64(j * WIDTHS[s])) & mask
+        if len(w):
+            mask, word, to = np.uint64((1 << int(WIDTHS[s])) - 1), words[w], at[w]
+            for j in range(COUNTS[s]):
+                out[to + j] = (word >> np.uint64(j * WIDTHS[s])) & mask
     w = np.flatnonzero(sel == 0)
-    out[of[w] * BLOCK + place[w]] = escapes[words[w].astype(np.int64)]
-    return out[:size]
+    out[at[w]] = escapes[words[w].astype(np.int64)]
+    return out.reshape(-1, BLOCK + 60)[:, :BLOCK].ravel()[:size]
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segment_ids: int = 1 << 18) -> None:
@@ -141,17 +153,16 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_i
             row = (part, k, first, doc_ids, lengths, encode(np.frombuffer(b"".join(chunks), "<u4")))
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.stream(batch.column(1).to_pandas()), strict=True):
-                ids = ids + end
-                doc_ids.append(doc_id)
-                lengths.append(len(ids) // 4)
-                chunks.append(ids)
-                held += len(ids) // 4
-                if held >= segment_ids:
-                    yield flush()
-                    first, k = first + held, k + 1
-                    doc_ids, lengths, chunks, held = [], [], [], 0
+        for doc_id, ids in enc.stream(batches):
+            ids = ids + end
+            doc_ids.append(doc_id)
+            lengths.append(len(ids) // 4)
+            chunks.append(ids)
+            held += len(ids) // 4
+            if held >= segment_ids:
+                yield flush()
+                first, k = first + held, k + 1
+                doc_ids, lengths, chunks, held = [], [], [], 0
         if doc_ids:
             yield flush()
 
