@@ -158,14 +158,13 @@ def op8(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, t
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
         size = 0
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.stream(batch.column(1).to_pandas()), strict=True):
-                ids = ids + end
-                held.append((doc_id, 0, ids, len(ids) // 4))
-                size += len(ids) // 4
-                if size >= buffer_ids:
-                    yield flush(False)
-                    size = sum(len(h[2]) // 4 for h in held)
+        for doc_id, ids in enc.stream(batches):
+            ids = ids + end
+            held.append((doc_id, 0, ids, len(ids) // 4))
+            size += len(ids) // 4
+            if size >= buffer_ids:
+                yield flush(False)
+                size = sum(len(h[2]) // 4 for h in held)
         yield flush(True)
 
     return inputs(docs).mapInArrow(run, PIECES)
