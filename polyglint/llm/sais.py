@@ -111,19 +111,16 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def _double(names: np.ndarray, depth: int) -> np.ndarray:
     """Places in suffix order: by doubling the compared length until ranks differ, or depth names are compared."""
-    rank, k, n = names, 1, len(names)
-    order = np.argsort(rank, kind="stable")
-    while k < depth and rank[order[-1]] < n - 1:
-        behind = np.zeros(n, np.int64)
-        behind[:-k] = rank[k:] + 1
-        key = rank * (n + 1) + behind
-        order = np.argsort(key, kind="stable")
+    rank, k, n = names.astype(np.int64), 1, len(names)
+    order = np.argsort(rank)
+    while k < depth and k < n and rank[order[-1]] < n - 1:
+        key = rank * (n + 1)
+        key[:-k] += rank[k:] + 1
+        order = np.argsort(key)
         ranked = key[order]
-        new = np.zeros(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-        rank, k = new, 2 * k
-        if k >= n:
-            break
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
+        k *= 2
     return order
 
 
@@ -146,18 +143,27 @@ def suffix_array(t: np.ndarray, size: int, depth: int = 1 << 62) -> np.ndarray:
     return _induce(t, s, order, size)
 
 
+def _packed(t: np.ndarray, beyond: int) -> np.ndarray:
+    """At each place, four characters from there on in 16 bits each, the first one lowest."""
+    x = np.concatenate([t.astype(np.uint64), np.full(3, beyond, np.uint64)])
+    n = len(t)
+    return x[:n] | x[1 : n + 1] << np.uint64(16) | x[2 : n + 2] << np.uint64(32) | x[3 : n + 3] << np.uint64(48)
+
+
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """Permuted: by text place, the common prefix with the suffix before it in the array, up to `most`.
 
     Known lengths bound their right neighbours' (PLCP[i + 1] >= PLCP[i] - 1): places are done in strides, and each
-    starts from what the nearest done place on its left leaves over.
+    starts from what the nearest done place on its left leaves over. Four characters are compared at a time.
     """
     n = len(t)
-    before = np.full(n, -1)
+    before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     out = np.zeros(n, np.int64)
-    padded = np.concatenate([t, np.full(most, -1, t.dtype)])
-    far = np.concatenate([t, np.full(most, -2, t.dtype)])
+    # behind the text the two sides differ
+    here = np.concatenate([_packed(t, 0xFFFF), np.full(most + 4, (1 << 64) - 1, np.uint64)])
+    there = np.concatenate([_packed(t, 0xFFFE), np.full(most + 4, (1 << 64) - 2, np.uint64)])
+    low = np.uint64(0xFFFF)
     for stride, from_ in ((16, None), (4, 16), (1, 4)):
         places = np.arange(0, n, stride)
         if from_:
@@ -165,10 +171,21 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
             known = np.maximum(out[places - places % from_] - places % from_, 0)
         else:
             known = np.zeros(len(places), np.int64)
-        has = before[places] >= 0
-        places, known = places[has], known[has]
+        other = before[places]
+        has = other >= 0
+        places, other, known = places[has], other[has], known[has]
         while len(places):
-            equal = (padded[places + known] == far[before[places] + known]) & (known < most)
-            out[places[~equal]] = known[~equal]
-            places, known = places[equal], known[equal] + 1
+            x = here[places + known] ^ there[other + known]
+            same = x == 0
+            stop = ~same
+            d = x[stop]
+            more = ((d & low) == 0).astype(np.int64)
+            more += more * ((d >> np.uint64(16) & low) == 0)
+            more += (more == 2) * ((d >> np.uint64(32) & low) == 0)
+            out[places[stop]] = np.minimum(known[stop] + more, most)
+            places, other, known = places[same], other[same], known[same] + 4
+            full = known >= most
+            if full.any():
+                out[places[full]] = most
+                places, other, known = places[~full], other[~full], known[~full]
     return out
