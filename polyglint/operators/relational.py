@@ -123,9 +123,10 @@ def similar(queries: DataFrame, candidates: DataFrame, k: int = 3) -> DataFrame:
     c = c.select("cid", F.col("source").alias("cs"), X.tokens(F.col("source")).alias("ct"))
     pairs = q.select("qid", F.explode("qt").alias("token")).join(c.select("cid", F.explode("ct").alias("token")), "token").select("qid", "cid").distinct()
     rated = pairs.join(q, "qid").join(c, "cid").filter("qs <> cs")
-    rated = rated.select("qid", "cid", F.round(X.similarity(F.col("qs"), F.col("cs"), F.col("qt"), F.col("ct")), 6).alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    return rated.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    rated = rated.select("qid", "cid", F.round(X.similarity(F.col("qs"), F.col("cs"), F.col("qt"), F.col("ct")) * 1_000_000).cast("long").alias("millionths"))
+    w = Window.partitionBy("qid").orderBy(F.desc("millionths"), "cid")  # whole numbers: ties are ties
+    best = rated.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return best.select("qid", "cid", (F.col("millionths") / 1_000_000).alias("score"), "rank")
 
 
 def usages(lines: DataFrame, needles: DataFrame) -> DataFrame:

@@ -346,10 +346,10 @@ TOKENS = r"list_distinct(list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{
 
 @query(
     "j8_similar",
-    f"""SELECT qid, cid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM (
-      SELECT qid, cid, round(len(list_intersect(qt, ct)) / len(list_distinct(list_concat(qt, ct))) - abs(strlen(qs) - strlen(cs)) / 200, 6) AS score
+    f"""SELECT qid, cid, m / 1000000 AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY m DESC, cid) AS rank FROM (
+      SELECT qid, cid, CAST(round((len(list_intersect(qt, ct)) / len(list_distinct(list_concat(qt, ct))) - abs(strlen(qs) - strlen(cs)) / 200) * 1000000) AS BIGINT) AS m
       FROM (SELECT item_id AS qid, substr(text, 1, 60) AS qs, {TOKENS.format("substr(text, 1, 60)")} AS qt FROM benchmark),
-           (SELECT doc_id AS cid, substr(text, 1, 60) AS cs, {TOKENS.format("substr(text, 1, 60)")} AS ct FROM documents WHERE lang = 'en' AND trim(substr(text, 61, 60)) <> '')
+           (SELECT doc_id AS cid, substr(text, 1, 60) AS cs, {TOKENS.format("substr(text, 1, 60)")} AS ct FROM documents WHERE lang = 'en' AND {TRIM.format("substr(text, 61, 60)")} <> '' AND lower({TRIM.format("substr(text, 1, 60)")}) <> lower({TRIM.format("substr(text, 61, 60)")}))
       WHERE qs <> cs AND len(list_intersect(qt, ct)) > 0)) WHERE rank <= 3""",
 )
 def j8(spark, d):
