@@ -482,3 +482,48 @@ def test_pipeline(spark, tmp_path, items):
     least = {order[k]: order[r] for k, r in enumerate(groups([fps[i] for i in order]))}
     assert {r.doc_id for r in out} == {i for i in order if least[i] == i and i != 11}
     assert [n for n, _ in C.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "benchmark_decontamination", "packing"]
+
+
+def test_near_copies_are_those_of_similar_shingle_sets(spark, monkeypatch):
+    from polyglint.llm import nearcopies
+
+    r = np.random.default_rng(5)
+    texts = [None, "", "one two", "One  two"]
+    for k in range(24):
+        words = [f"v{x}" for x in r.integers(0, 4000, 160)]
+        texts.append(" ".join(words))
+        for edits in (2, 4, 6, 9):
+            other = list(words)
+            for x in r.integers(0, 160, edits):
+                other[x] = f"e{k}x{x}"
+            texts.append("common words stand in all of these texts " + " ".join(other))
+
+    def plain(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+    sets, label = [plain(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    want = {frozenset(i for i, x in enumerate(label) if x == k) for k in set(label)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (100_000, 0):
+        monkeypatch.setattr(nearcopies, "MOST", most)
+        got = defaultdict(set)
+        for row in nearcopies.near_copies(spark, docs).collect():
+            got[row.component].add(row.doc_id)
+        assert {frozenset(v) for v in got.values()} == want
+
+
+def test_near_dedup_drops_texts_that_fingerprints_keep(spark):
+    import corpus_pipeline as C
+
+    base = [f"w{j}" for j in range(200)]
+    near = [f"x{j}" if j in (20, 90, 160) else w for j, w in enumerate(base)]
+    rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(near), "en", "s", 1), (3, " ".join(base[:100]), "en", "s", 1)]
+    a, b = (simhash.fingerprint(simhash.shingle_hashes(r[1])) for r in rows[:2])
+    assert (a ^ b).bit_count() > simhash.RADIUS
+    out = C.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert {r.doc_id for r in out} == {1, 3}
