@@ -7,7 +7,8 @@ PMI(t; e) / IC(e) = 1 + log p(e | t) / IC(e), which is 1 where t occurs only wit
 threshold become spans wherever they stand, also in documents without the entity: `term` (to be generalised), or
 `reveal` (to be removed) at or over the removal threshold.
 
-Copies are no evidence: of the places where t meets e, at least min_contexts and half must have different neighbours.
+Copies are no evidence: of the places where t meets e, half at least must have different neighbours. Little support
+lowers the estimate: p(e | t) counts as though t stood in min_contexts contexts at least, those not seen being without e.
 """
 
 from __future__ import annotations
@@ -82,43 +83,41 @@ def _named(kind: str) -> Column:
 
 
 def revealing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, disclosure: float, removal: float, min_contexts: int) -> DataFrame | None:
-    """term, kind; None if there are none. found: doc_key, text_key, entities and text of documents that have an entity.
+    """term, kind; None if there are none. found: text_key, entities and text of documents that have an entity.
 
-    Only entities of at least min_contexts different texts can have that much evidence, so terms are paired with no
-    others. All that is counted is combined before it is shuffled; the terms that are looked up in the corpus are
-    broadcast while they number MOST at most, and joined by shuffling beyond that.
+    Every entity is paired with the terms of its texts, however few they are: fewer than min_contexts contexts only lower
+    the estimate of p(e | t). A term of too many documents for an entity's count is left out before it is paired. All that
+    is counted is combined before it is shuffled; the terms that are looked up in the corpus are broadcast while they
+    number MOST at most, and joined by shuffling beyond that.
     """
-    texts = found.groupBy("text_key").agg(F.first("entities").alias("entities"))
-    often = saved(spark, texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_contexts), "entities")
-    if often.isEmpty():
-        return None
-    pairs = found.select("doc_key", F.explode("entities").alias("entity")).join(often.select("entity"), "entity")
-    held = pairs.groupBy("doc_key").agg(F.collect_set("entity").alias("entities"))
     words = F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))
-    held = saved(spark, found.select("doc_key", "text_key", words.alias("words")).join(held, "doc_key"), "held")
-    one = held.dropDuplicates(["text_key"])
-    places = one.select("text_key", "entities", F.explode(F.array_distinct(F.transform("words", lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get("words", i - 1), F.get("words", i + 1)).alias("around"))))).alias("t"))
-    meets = places.select("text_key", F.explode("entities").alias("entity"), "t.term", "t.around").filter(~F.contains("entity", F.col("term")))
-    contexts = meets.groupBy("entity", "term", "around").agg(F.lit(1).alias("x")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_contexts")).filter(F.col("n_contexts") >= min_contexts)
-    contexts = saved(spark, contexts, "contexts")
-    if contexts.isEmpty():
-        return None
-    both = held.select(F.explode("entities").alias("entity"), F.array_distinct("words").alias("terms")).select("entity", F.explode("terms").alias("term"))
-    both = both.join(_small(contexts), ["entity", "term"]).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_contexts").alias("n_contexts"))
-    pairs = saved(spark, both.filter((2 * F.col("n_contexts") >= F.col("n_both")) & (F.col("n_both") >= min_contexts)), "pairs")
-    if pairs.isEmpty():
-        return None
     n_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    ic = F.greatest(F.log2(F.lit(float(docs.count())) / F.col("n_entity")), F.lit(1e-9))
+    n_entity = n_entity.withColumn("ic", F.greatest(F.log2(F.lit(float(docs.count())) / F.col("n_entity")), F.lit(1e-9))).filter("ic > 1")
+    # share >= disclosure needs n_term <= n_entity * 2 ** ((1 - disclosure) * ic)
+    n_entity = saved(spark, n_entity.withColumn("most", F.col("n_entity") * F.pow(F.lit(2.0), (1 - disclosure) * F.col("ic")) + 1e-6), "entities")
+    if n_entity.isEmpty():
+        return None
+    there = found.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    there = saved(spark, there.filter(F.col("n_term") <= n_entity.agg(F.max("most")).first()[0]), "there")
+    around = F.transform("words", lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get("words", i - 1), F.get("words", i + 1)).alias("around")))
+    one = found.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), F.first("entities").alias("entities"))
+    one = saved(spark, one.select("text_key", "copies", "entities", words.alias("words")).select("text_key", "copies", "entities", F.array_sort(F.array_distinct(around)).alias("places")), "held")
+    limits = one.select("text_key", F.explode("entities").alias("entity")).join(_small(n_entity.select("entity", "most")), "entity")
+    limits = limits.groupBy("text_key").agg(F.collect_list(F.struct("entity", "most")).alias("held"), F.max("most").alias("limit"))
+    first = F.transform("places", lambda x, i: F.struct(x["term"].alias("term"), x["around"].alias("around"), (~x["term"].eqNullSafe(F.get("places", i - 1)["term"])).alias("first")))
+    places = one.select("text_key", "copies", F.explode(first).alias("t")).select("text_key", "copies", "t.*").join(_small(there), "term").join(limits, "text_key").filter("n_term <= limit")
+    meets = places.select("copies", "term", "around", "first", "n_term", F.explode("held").alias("h")).filter((F.col("n_term") <= F.col("h.most")) & ~F.contains("h.entity", F.col("term")))
+    each = meets.groupBy(F.col("h.entity").alias("entity"), "term", "around").agg(F.sum(F.when(F.col("first"), F.col("copies")).otherwise(0)).alias("n"))
+    both = each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_contexts"), F.sum("n").alias("n_both"))
+    pairs = both.filter(2 * F.col("n_contexts") >= F.col("n_both")).join(n_entity, "entity")
+    support = F.least(F.col("n_contexts") / float(min_contexts), F.lit(1.0))
 
     def rate(pairs: DataFrame, n_term: DataFrame) -> DataFrame:
-        share = 1 + F.log2(F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))) / ic
-        return pairs.join(n_term, "term").withColumn("share", share).filter((F.col("share") >= disclosure) & (ic > 1))
+        share = 1 + F.log2(support * F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))) / F.col("ic")
+        return pairs.join(n_term, "term").withColumn("share", share).filter(F.col("share") >= disclosure)
 
     # a term stands in as many documents at least as it does in those with an entity: what fails by that count alone, as
     # common words do, isn't looked up in the corpus
-    pairs = pairs.join(n_entity, "entity")
-    there = _documents_with(found.select(words.alias("words")), saved(spark, pairs.select("term").distinct(), "candidates"))
     pairs = saved(spark, rate(pairs, there).drop("n_term", "share"), "pairs")
     if pairs.isEmpty():
         return None
@@ -131,7 +130,9 @@ def revealing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, disc
 def _documents_with(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n_term: how many rows' words hold each of the terms."""
     each = rows.select(F.explode(F.array_distinct("words")).alias("term"))
-    return each.join(_small(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    if terms.count() > MOST:  # counts are combined before they are shuffled
+        return each.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term", "left_semi")
+    return each.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -149,7 +150,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, disclosure: float = 0.9, remo
     any_ = sum((F.size(k) for k in KINDS), F.lit(0)) > 0
     entities = F.array_distinct(F.concat(*[_values(k) for k in KINDS]))
     based = saved(spark, based.select("doc_id", "text_key", *KINDS, F.when(any_, entities).alias("entities"), F.when(any_, F.col("text")).alias("text")), "spans")
-    found = based.filter(F.col("entities").isNotNull()).select("entities", "text", "text_key", F.xxhash64("doc_id", "text_key").alias("doc_key"))
+    found = based.filter(F.col("entities").isNotNull()).select("entities", "text", "text_key")
     terms = revealing_terms(spark, texts, found, disclosure, removal, min_contexts)
     based = based.drop("text", "entities")
     if terms is None:

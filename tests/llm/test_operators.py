@@ -192,6 +192,16 @@ def test_copies_reveal_nothing(spark):
     assert {r.spans for r in privacy.op3(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {"email:22:40", ""}
 
 
+def test_terms_of_entities_in_one_or_two_texts(spark):
+    fill = [f"common words stand here {'abcd'[i % 4]}" for i in range(300)]
+    told = ["common Quendrix words stand here jo@x.example.com", "words common Quendrix here stand jo@x.example.com"]
+    rows = list(enumerate([*fill, *told, "here Quendrix stand", "common words Solo here al@y.example.com"]))
+    rows[302] = (302, "here stand common")
+    got = by_id(privacy.op3(spark, spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[300].spans == "email:33:49,term:7:15" and got[301].spans == "email:33:49,term:13:21"
+    assert got[303].spans == "email:23:39"
+
+
 # ---- 4 secrets -------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
