@@ -202,6 +202,13 @@ def test_terms_of_entities_in_one_or_two_texts(spark):
     assert got[303].spans == "email:23:39"
 
 
+def test_terms_of_one_long_text(spark):
+    fill = [f"common words stand here {'abcd'[i % 4]}" for i in range(300)]
+    text = "common Quendrix words here Quendrix stand words Quendrix common jo@x.example.com"
+    got = by_id(privacy.op3(spark, spark.createDataFrame(list(enumerate([*fill, text])), "doc_id long, text string")))
+    assert got[300].spans == "email:64:80,reveal:7:15,reveal:27:35,reveal:48:56"
+
+
 # ---- 4 secrets -------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
