@@ -39,7 +39,7 @@ class WordEncoder:
 
     Both supported tokenizers split a text where a non-space is followed by white space, and between a letter or digit
     and a closing comma or full stop; no merge crosses such a place, so cached ids of the parts can be joined.
-    Texts with unusual white space go to the tokenizer whole. The cache has two generations of max_words each: memory
+    Texts with unusual white space or a literal added token go to the tokenizer whole. The cache has two generations of max_words each: memory
     stays bounded whatever the vocabulary, and frequent words stay known.
     """
 
@@ -49,7 +49,11 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # for parts, which are lower-cased and might spell an added token that their text does not
+        self.split = Tokenizer.from_file(path)
+        self.split.encode_special_tokens = True
+        #: A text that holds one of these, literally, goes to the tokenizer whole, which gives its single id.
+        self.added = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
         # the same model, given whole words: what would be split or normalised otherwise is not sent there
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = None
@@ -61,12 +65,15 @@ class WordEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.split.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _holds_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
 
     def spread(self, text: str) -> str | None:
         """A text of usual characters as the keys of its parts, with blanks between them; None for any other text."""
-        if not text or not _usual(text) or _LOOSE.search(text):
+        if not text or not _usual(text) or _LOOSE.search(text) or self._holds_added(text):
             return None
         if not self.keeps_space:
             return text.lower().replace(", ", " , ").replace(". ", " . ").replace(",\n", " ,\n").replace(".\n", " .\n")
@@ -78,7 +85,7 @@ class WordEncoder:
 
     def parts(self, text: str) -> list[str] | None:
         """Keys of the parts of any other text; None: it has to be encoded whole."""
-        if _SPACES.search(text) or "\x00" in text:
+        if _SPACES.search(text) or "\x00" in text or self._holds_added(text):
             return None
         if not self.keeps_space:
             return text.split()
@@ -163,7 +170,7 @@ class WordEncoder:
             if s is not None:
                 out.append(next(usual))
             elif (own := self.parts(text)) is None:
-                out += self._ids([text])
+                out.append(array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes())
             else:
                 out.append(b"".join(self._known(own)))
         return out
