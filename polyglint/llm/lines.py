@@ -4,7 +4,8 @@ A text is split at \n. A line's key is the line without white space at its ends,
 min_chars code points that occur in at least min_docs documents lose all their lines but those of the largest doc_id.
 
 Only 16-byte digests of long keys are shuffled, each once a document, and counted with map-side combination; texts move
-once, for reassembly. Null or empty text: one empty line. A null doc_id counts as one document, smaller than any other.
+once, for reassembly. Hot keys never meet in one task: the MOST keys of the most documents are broadcast (40 bytes each),
+and only the lines of rarer keys, if there are any, are shuffled to them. Null or empty text: one empty line. A null doc_id counts as one document, smaller than any other.
 Rows that repeat a doc_id are one document for the count, and each keeps or drops its own lines.
 """
 
@@ -13,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, inputs
+from .common import SPACE_CHARS, ascii_lower, inputs, saved
+
+#: Keys that are broadcast at most.
+MOST = 200_000
 
 
 def digest(line: Column) -> Column:
@@ -21,12 +25,22 @@ def digest(line: Column) -> Column:
 
 
 def dropped_keys(lines: DataFrame, min_docs: int) -> DataFrame:
-    """lines: doc_id, key. Keys in at least min_docs documents, and the largest document that has each."""
+    """lines: doc_id, key. Keys in at least min_docs documents, their number, and the largest document that has each."""
     per_doc = lines.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
-    return per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs).select("key", "keeper")
+    return per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
+
+
+def _with_keeper(lines: DataFrame, frequent: DataFrame, most: int) -> DataFrame:
+    """lines joined with frequent keys by broadcasting those of the most documents; the rest, being rare, by shuffling."""
+    keys = frequent.select("key", "keeper")
+    if frequent.count() <= most:
+        return lines.join(F.broadcast(keys), "key")
+    hot = saved(lines.sparkSession, frequent.orderBy(F.desc("n_docs"), "key").limit(most).select("key", "keeper"), "hot-lines")
+    cold = lines.join(F.broadcast(hot), "key", "left_anti").join(keys, "key")
+    return lines.join(F.broadcast(hot), "key").unionByName(cold)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: tuple[str, ...] = (), most: int = MOST) -> DataFrame:
     """doc_id, kept (the remaining text), n_lines, n_dropped, and carried: a struct of the columns in carry."""
     texts = inputs(docs).withColumn("lines", F.split("text", "\n", -1))
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
@@ -37,8 +51,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry:
     long = texts.select("doc_id", F.explode(F.array_distinct(F.filter("lines", lambda x: F.char_length(x) >= min_chars))).alias("line"))
     long = long.select("doc_id", key(F.col("line")).alias("line")).filter(F.char_length("line") >= min_chars)
     long = long.select("doc_id", digest(ascii_lower(F.col("line"))).alias("key"))
-    frequent = dropped_keys(long, min_docs)
-    gone = long.join(frequent, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    long = saved(docs.sparkSession, long, "long-lines")
+    frequent = saved(docs.sparkSession, dropped_keys(long, min_docs), "frequent-lines")
+    gone = _with_keeper(long, frequent, most).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
     joined = whole.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     # only documents that lose a line take their lines apart again
