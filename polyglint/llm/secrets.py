@@ -3,6 +3,9 @@
 An Aho-Corasick automaton over the keywords runs once over each text (ASCII lower-cased: code points keep their places).
 Only at its hits are anchored regular expressions tried; formats that embed a checksum or a decodable header are
 validated. Runs of hexadecimal digits have no keyword; one scan finds those that are long enough.
+A web token is tried once in a run of its characters, at the first `eyJ` there, so that long runs take linear time.
+
+Null and empty texts have no spans; rows that repeat an id are scanned each for itself.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CODE_HOST = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 PACKAGE_HOST = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-WEB_TOKEN = re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})")
+WEB_TOKEN = re.compile(r"(eyJ[A-Za-z0-9_-]{8,}+)\.(eyJ[A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]{16,}+)")
+WEB_RUN = re.compile(r"[A-Za-z0-9_-]*+")
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}?-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
@@ -96,6 +100,8 @@ def scan(text: str, words) -> list[tuple[str, int, int]]:
                     free = m.end()
                 elif kind in BASE:
                     free = m.end()
+            if kind == "web_token" and at >= free:
+                free = WEB_RUN.match(text, at).end()
     return sorted(found, key=lambda x: (x[1], ORDER[x[0]]))
 
 
