@@ -66,6 +66,32 @@ STOPWORDS = "the a an to of and or in on at for is are be this that these those
 # Bracket pairs, and the marks that end a sentence.
 BRACKETS = (("(", ")"), ("[", "]"), ("「", "」"), ("『", "』"), ("（", "）"), ("【", "】"))
 
+# The country whose flag stands for a language without a region.
+FLAG_OF = dict(
+    x.split(":")
+    for x in (
+        "en:GB de:DE fr:FR es:ES it:IT pt:PT nl:NL ja:JP ko:KR zh:CN ru:RU uk:UA be:BY pl:PL cs:CZ sk:SK hu:HU ro:RO bg:BG el:GR tr:TR ar:SA he:IL iw:IL "
+        "fa:IR hi:IN bn:BD th:TH vi:VN id:ID in:ID ms:MY sv:SE da:DK fi:FI nb:NO nn:NO no:NO is:IS et:EE lv:LV lt:LT sl:SI hr:HR sr:RS bs:BA mk:MK sq:AL "
+        "ca:ES eu:ES gl:ES ga:IE cy:GB af:ZA sw:KE am:ET ka:GE hy:AM az:AZ kk:KZ uz:UZ mn:MN ur:PK ta:IN te:IN ml:IN kn:IN mr:IN gu:IN pa:IN ne:NP si:LK "
+        "my:MM km:KH lo:LA fil:PH tl:PH"
+    ).split()
+)
+# Language names, and what a region or script adds to them.
+LANGUAGE_NAMES = dict(
+    x.split(":")
+    for x in (
+        "en:English de:German fr:French es:Spanish it:Italian pt:Portuguese nl:Dutch sv:Swedish da:Danish nb:Norwegian no:Norwegian fi:Finnish pl:Polish "
+        "cs:Czech sk:Slovak hu:Hungarian ro:Romanian bg:Bulgarian el:Greek tr:Turkish ru:Russian uk:Ukrainian he:Hebrew iw:Hebrew ar:Arabic fa:Persian "
+        "hi:Hindi bn:Bengali th:Thai vi:Vietnamese id:Indonesian in:Indonesian ms:Malay ja:Japanese ko:Korean zh:Chinese ca:Catalan hr:Croatian sr:Serbian "
+        "sl:Slovenian lt:Lithuanian lv:Latvian et:Estonian ta:Tamil te:Telugu ur:Urdu sw:Swahili af:Afrikaans fil:Filipino tl:Filipino ga:Irish eu:Basque "
+        "gl:Galician is:Icelandic"
+    ).split()
+)
+QUALIFIERS = {
+    "zh-hans": "Simplified", "zh-cn": "Simplified", "zh-hant": "Traditional", "zh-tw": "Traditional", "zh-hk": "Traditional", "pt-br": "Brazil", "pt-pt": "Portugal",
+    "en-gb": "UK", "en-us": "US", "es-mx": "Mexico", "es-419": "Latin America", "fr-ca": "Canada", "nl-be": "Belgium",
+}
+
 STATES = ("new", "edited", "stale", "needs-review", "untranslated", "up-to-date")
 FORMATS = ("xcstrings", "android", "json", "arb", "po", "resx", "strings")
 

@@ -48,6 +48,9 @@ class Placeholder:
         return self.raw if self.name is None else self.raw.replace(self.name, name, 1)
 
 
+BRACE, STARTS = regex.compile("[{}]"), regex.compile("[%{$]")
+
+
 def _icu(body: str) -> tuple[list[Placeholder], list[str], bool]:
     """Of `key {text} key {text} ...`: placeholders in the texts, keys, and whether it is well formed."""
     found, keys, at = [], [], 0
@@ -58,34 +61,48 @@ def _icu(body: str) -> tuple[list[Placeholder], list[str], bool]:
     return found, keys, not body[at:].strip()
 
 
-def _brace(text: str, at: int) -> tuple[list[Placeholder], int]:
-    head, whole = BRACE_NAME.match(text, at), BRACES.match(text, at)
-    if not head or not whole:
+def _partners(text: str) -> dict[int, int]:
+    """Of each open brace that is closed, the place behind its partner; one pass."""
+    open_, out = [], {}
+    for m in BRACE.finditer(text):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
+
+
+def _brace(text: str, at: int, partners: dict[int, int]) -> tuple[list[Placeholder], int]:
+    end = partners.get(at)
+    head = BRACE_NAME.match(text, at, end) if end else None
+    if not head:
         return [], at + 1
-    wide = len(head["open"]) == 2
-    if wide and not whole[0].endswith("}}"):
+    whole, wide = text[at:end], len(head["open"]) == 2
+    if wide and not whole.endswith("}}"):
         return [], at + 1
-    rest = whole[0][head.end() - at : -2 if wide else -1].strip()
+    rest = whole[head.end() - at : -2 if wide else -1].strip()
     name = head["name"]
     free = name if (not rest or rest.startswith(",")) and not name.isdecimal() else None
-    out = [Placeholder(f"{{{{{name}}}}}" if wide else f"{{{name}}}", whole[0], free)]
+    out = [Placeholder(f"{{{{{name}}}}}" if wide else f"{{{name}}}", whole, free)]
     if icu := ICU.match(rest):
-        out.append(Placeholder(f"{{{name}}}/{icu['kind']}", whole[0], free))
+        out.append(Placeholder(f"{{{name}}}/{icu['kind']}", whole, free))
         inner, keys, well = _icu(rest[icu.end() :])
         out += inner
         if not well or "other" not in keys:
-            out.append(Placeholder(MALFORMED, whole[0]))
-    return out, whole.end()
+            out.append(Placeholder(MALFORMED, whole))
+    return out, end
 
 
 def extract(text: str) -> list[Placeholder]:
     """In order. Unnumbered printf arguments take the next number."""
     out: list[Placeholder] = []
     at, unnumbered = 0, 1
-    while (start := min((i for c in "%{$" if (i := text.find(c, at)) >= 0), default=-1)) >= 0:
+    partners = _partners(text) if "{" in text else {}
+    while m := STARTS.search(text, at):
+        start = m.start()
         at = start + 1
         if text[start] == "{":
-            found, at = _brace(text, start)
+            found, at = _brace(text, start, partners)
             out += found
         elif text[start] == "$":
             if m := DOLLAR.match(text, start):
@@ -215,21 +232,30 @@ def missing_categories(locale: str, present: list[str]) -> list[str]:
     return [c for c in REQUIRED.get(regex.split("[-_]", locale)[0].lower(), DEFAULT_REQUIRED) if c not in present]
 
 
+def _without_braces(text: str) -> str:
+    out, at = [], 0
+    for a, z in sorted(_partners(text).items()):
+        if a >= at:
+            out.append(text[at:a])
+            at = z
+    return "".join(out) + text[at:]
+
+
 def prose(text: str) -> str:
     """Text without placeholders, tags and URLs."""
     text = regex.sub(r"<[^>]*>|(?:www\.|[A-Za-z0-9+.-]+://)[^\s)\"']*", "", text)
-    text = BRACES.sub("", text)
+    text = _without_braces(text)
     return DOLLAR.sub("", regex.sub(r"%#@[^@]*@|%[^A-Za-z@%]*[hlqLzjt]*[A-Za-z@%]", "", text))
 
 
 # Accents for pseudo-localisation, letter for letter.
 PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ACCENTED = "áƀçđéƒğĥíĵķĺɱñóþʠŕšţúṽŵẋýžÁƁÇĐÉƑĞĤÍĴĶĹṀÑÓÞǪŔŠŢÚṼŴẊÝŽ"
+ACCENTED = "áƀçðéƒĝĥíĵķļɱñöþǫŕšţüṽŵẋýžÁƁÇÐÉƑĜĤÍĴĶĻṀÑÖÞǪŔŠŢÜṼŴẊÝŽ"
 KEPT = regex.compile(rf"{BRACES.pattern}|{PRINTF.pattern}|<[^>]*>|&[A-Za-z#0-9]+;|{DOLLAR.pattern.replace('(?P<name>', '(?:')}", regex.VERBOSE)
 
 
 def pseudo(text: str) -> str:
-    """Accented text of the same placeholders, a third longer and in brackets."""
+    """Accented text of the same placeholders in brackets, longer by a blank and a third of its letters."""
     table = str.maketrans(PLAIN, ACCENTED)
     out, at, n = [], 0, 0
     for m in KEPT.finditer(text):
@@ -239,7 +265,7 @@ def pseudo(text: str) -> str:
         at = m.end()
     n += sum(map(str.isalpha, text[at:]))
     out.append(text[at:].translate(table))
-    return f"[{''.join(out)}{'~' * -(-n // 3)}]"
+    return f"[{''.join(out)}{' ' if n else ''}{'~' * -(-n // 3)}]"
 
 
 # ---- Arrow wrappers --------------------------------------------------------------------------------------------------

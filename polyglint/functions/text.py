@@ -218,3 +218,38 @@ def collapsed(c: Column) -> Column:
 def count_optional(locale: Column, category: Column) -> Column:
     """A plural form that names an exact count may leave the count out, unless its language's `one` covers 21 too."""
     return category.isin("zero", "one", "two") & ~language(locale).isin(sorted(COUNT_MANDATORY))
+
+
+def _looked_up(values: dict[str, str], c: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[c]
+
+
+def flag(locale: Column) -> Column:
+    """The flag of a locale's region, else of the country that stands for its language, else a globe."""
+    from .. import dims
+
+    parts = F.split(locale, "[-_]")
+    region = F.get(F.filter(F.slice(parts, 2, F.size(parts)), lambda p: p.rlike("^[A-Za-z]{2}$")), F.lit(0))
+    country = F.coalesce(F.upper(region), _looked_up(dims.FLAG_OF, F.lower(parts[0])))
+    letter = {chr(65 + k): chr(0x1F1E6 + k) for k in range(26)}
+    return F.when(country.isNull(), "🌐").otherwise(F.concat(_looked_up(letter, F.substr(country, F.lit(1), F.lit(1))), _looked_up(letter, F.substr(country, F.lit(2), F.lit(1)))))
+
+
+def locale_name(tag: Column) -> Column:
+    """A language's name, with what the region adds, and the tag; a tag of no known language is its own name."""
+    from .. import dims
+
+    parts = F.split(F.lower(tag), "[-_]")
+    name, last = _looked_up(dims.LANGUAGE_NAMES, parts[0]), F.element_at(parts, -1)
+    more = F.when(F.size(parts) > 1, _looked_up(dims.QUALIFIERS, F.concat_ws("-", parts[0], last)))
+    return F.when(name.isNull(), tag).otherwise(F.concat(name, F.when(more.isNotNull(), F.concat(F.lit(" ("), more, F.lit(")"))).otherwise(""), F.lit(" ("), tag, F.lit(")")))
+
+
+def latin_letters(c: Column) -> Column:
+    """How many letters of the Latin script up to U+024F a text has."""
+    return F.length(c) - F.length(F.regexp_replace(c, "[A-Za-zÀ-ɏ]", ""))
+
+
+def lost_links(source: Column, translation: Column) -> Column:
+    """Links of the source that the translation lacks, each once."""
+    return F.array_except(links(source), links(translation))

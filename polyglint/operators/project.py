@@ -59,22 +59,54 @@ def glob(pattern: str) -> str:
     return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
 
 
-def unskipped(units: DataFrame, skip: list[str], tool: str) -> DataFrame:
-    """Without keys that a comment directive or a glob on the base key skips."""
+def skipped(units: DataFrame, skip: list[str], tool: str) -> Column:
+    """Whether a comment directive, or a glob on the base key or on `file set:base key`, skips a unit."""
     base = X.base_key(F.col("key"))
-    out = units.filter(~F.coalesce(X.skip_directive(F.col("comment"), tool), F.lit(False)))
+    out = F.coalesce(X.skip_directive(F.col("comment"), tool), F.lit(False))
     for p in skip:
-        out = out.filter(~base.rlike(glob(p)))
+        out = out | base.rlike(glob(p))
+        if "file_set" in units.columns:
+            out = out | F.concat_ws(":", "file_set", base).rlike(glob(p))
     return out
 
 
-def unignored(findings: DataFrame, units: DataFrame, rules: dict[str, list[str]], tool: str) -> DataFrame:
-    """Without findings whose code the key's comment, or a glob for that code, ignores."""
+def unskipped(units: DataFrame, skip: list[str], tool: str) -> DataFrame:
+    return units.filter(~skipped(units, skip, tool))
+
+
+def skipped_keys(units: DataFrame, skip: list[str], tool: str) -> DataFrame:
+    """The distinct base keys that unskipped() takes out."""
+    return units.filter(skipped(units, skip, tool)).select(X.base_key(F.col("key")).alias("key")).distinct()
+
+
+def applicable(units: DataFrame, locales: DataFrame) -> DataFrame:
+    """Every unit with each locale that it is for. units: locales is null (all) or an array; locales: locale, of a small
+    dimension, which is broadcast."""
+    pairs = units.crossJoin(F.broadcast(locales.withColumnRenamed("locale", "to_locale")))
+    own = pairs.filter(F.col("locales").isNull() | F.array_contains("locales", F.col("to_locale")))
+    return own.drop("locales").withColumnRenamed("to_locale", "locale")
+
+
+def chosen(units: DataFrame, wanted: list[str], targets: list[str]) -> DataFrame:
+    """Units of the wanted locales, all of which must be targets."""
+    unknown = sorted(set(wanted) - set(targets))
+    if unknown:
+        raise ValueError(f"not a target locale: {', '.join(unknown)}")
+    return units.filter(F.col("locale").isin(wanted)) if wanted else units
+
+
+def unignored(findings: DataFrame, units: DataFrame, rules: dict[str, list[str]], tool: str, prefixed: bool = False) -> DataFrame:
+    """Without findings whose code the key's comment, or a glob for that code, ignores. prefixed: a glob may leave out the
+    file set that keys begin with."""
     said = units.select("key", F.explode(X.ignore_directive(F.coalesce("comment", F.lit("")), tool)).alias("code")).distinct()
     out = findings.join(said, ["key", "code"], "left_anti")
     for code, patterns in rules.items():
         for p in patterns:
-            out = out.filter(~((F.col("code") == code) & X.base_key(F.col("key")).rlike(glob(p))))
+            at = glob(p)
+            hit = X.base_key(F.col("key")).rlike(at)
+            if prefixed:
+                hit = hit | X.base_key(F.col("key")).rlike("^[^:]*:" + at[1:])
+            out = out.filter(~(F.coalesce(F.col("code") == code, F.lit(False)) & F.coalesce(hit, F.lit(False))))
     return out
 
 

@@ -46,6 +46,11 @@ def coverage(states: DataFrame) -> DataFrame:
     return states.groupBy("locale").agg(F.count(F.lit(1)).alias("total"), F.greatest(F.count(F.lit(1)) - F.count_if(open_), F.lit(0)).cast("long").alias("done"))
 
 
+def unit_coverage(units: DataFrame) -> DataFrame:
+    """Of each locale the units there are, and those that have a value."""
+    return units.groupBy("locale").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(F.col("translation"), F.lit("")) != "").alias("done"))
+
+
 def work(states: DataFrame, with_reviews: bool = False) -> DataFrame:
     """What an incremental run still has to do."""
     return states.filter(F.col("state").isin("new", "stale", "untranslated", *(["needs-review"] if with_reviews else [])))
@@ -82,9 +87,18 @@ def glossary(units: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def recall(wanted: DataFrame, memory: DataFrame) -> DataFrame:
-    """wanted: key, locale, source. Human translations of the same trimmed source."""
-    m = memory.filter("by = 'human'").select("locale", X.trimmed(F.col("source")).alias("trimmed"), "text")
-    return wanted.withColumn("trimmed", X.trimmed(F.col("source"))).join(m, ["locale", "trimmed"]).select("key", "locale", "text")
+    """wanted: key, locale, source. Human translations of the same trimmed source, if their placeholders agree; of several
+    texts for one source the least."""
+    from ..functions.placeholders import mismatch_udf
+    from ..session import ship
+
+    ship(wanted.sparkSession)
+    m = memory.filter("by = 'human'").select("locale", X.trimmed(F.col("source")).alias("trimmed"), "text").groupBy("locale", "trimmed").agg(F.min("text").alias("text"))
+    both = wanted.withColumn("trimmed", X.trimmed(F.col("source"))).join(m, ["locale", "trimmed"])
+    odd = both.filter(F.col("source").rlike("[%{$]") | F.col("text").rlike("[%{$]"))
+    plain = both.filter(~(F.col("source").rlike("[%{$]") | F.col("text").rlike("[%{$]")))
+    safe = odd.filter(mismatch_udf("source", "text", "locale", F.lit(None).cast("string")).isNull())
+    return plain.unionByName(safe).select("key", "locale", "text")
 
 
 def merge_memory(memory: DataFrame, learned: DataFrame) -> DataFrame:
@@ -143,12 +157,20 @@ def enclosing(lines: DataFrame, strong: Column, weak: Column) -> DataFrame:
     return lines.select("file", "line", F.coalesce(at(strong), at(weak)).alias("declared_at"))
 
 
+def clipped(text: Column, most: int) -> Column:
+    """At most so many bytes of UTF-8, no character cut."""
+    longest = F.array_max(F.filter(F.sequence(F.lit(most // 4), F.lit(most)), lambda k: F.octet_length(F.substr(text, F.lit(1), k)) <= most))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substr(text, F.lit(1), longest))
+
+
 def snippets(lines: DataFrame, radius: int = 6, clip: int = 200) -> DataFrame:
-    """Lines around each line, without their common indent."""
+    """Lines around each line, each cut to `clip` bytes, without their common indent."""
     w = Window.partitionBy("file").orderBy("line").rowsBetween(-radius, radius)
-    indent = F.when(X.trimmed(F.col("text")) != "", F.length(F.regexp_extract("text", "^ *", 0)))
-    rows = lines.select("file", "line", F.collect_list("text").over(w).alias("near"), F.coalesce(F.min(indent).over(w), F.lit(0)).alias("indent"))
-    return rows.select("file", "line", F.array_join(F.transform("near", lambda x: F.substr(x, F.col("indent") + 1, F.lit(clip))), "\n").alias("snippet"))
+    own = lines.select("file", "line", clipped(F.col("text"), clip).alias("text"))
+    indent = F.when(X.trimmed(F.col("text")) != "", F.length(F.regexp_extract("text", r"^\s*", 0)))
+    rows = own.select("file", "line", F.collect_list("text").over(w).alias("near"), F.coalesce(F.min(indent).over(w), F.lit(0)).alias("indent"))
+    short = lambda x: F.when(F.length(x) >= F.col("indent"), F.substr(x, F.col("indent") + 1)).otherwise(F.ltrim(x))
+    return rows.select("file", "line", F.array_join(F.transform("near", short), "\n").alias("snippet"))
 
 
 # ---- batches, budgets, ranks -----------------------------------------------------------------------------------------
@@ -262,3 +284,91 @@ def limited(events: DataFrame, key: str, time: str, order: str, most: int, windo
 
     folded = events.groupBy(key).agg(F.aggregate(items, zero, step)["out"].alias("out"))
     return folded.select(key, F.explode("out").alias("x")).select(key, F.col("x.o").alias(order), F.col("x.ok").alias("accepted"))
+
+
+# ---- small aggregates ------------------------------------------------------------------------------------------------
+
+
+def severity_totals(findings: DataFrame) -> DataFrame:
+    return findings.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+
+
+def retained(findings: DataFrame, locales: list[str]) -> DataFrame:
+    """Findings of some locales, and those of none."""
+    return findings.filter(F.col("locale").isin(locales) | F.col("locale").isNull())
+
+
+def findings_per_line(findings: DataFrame) -> DataFrame:
+    return findings.filter("line is not null").groupBy("file", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def keys_by_locale(rows: DataFrame) -> DataFrame:
+    """locale, keys: sorted, each once."""
+    return rows.select("locale", "key").distinct().groupBy("locale").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+
+
+def baseline_rows(findings: DataFrame) -> DataFrame:
+    """What a baseline file holds, in its order."""
+    return findings.select("file", "key", "locale", "code").distinct().orderBy("file", "key", "locale", "code")
+
+
+def in_report_order(findings: DataFrame) -> DataFrame:
+    """With place: where a finding stands among those of its file."""
+    w = Window.partitionBy("file").orderBy("locale", "key", "code")
+    return findings.withColumn("place", F.row_number().over(w).cast("long")).orderBy("file", "place")
+
+
+def in_category_order(rows: DataFrame) -> DataFrame:
+    """Rows with a plural category, and its rank among the categories; unknown ones come last."""
+    from .. import dims
+
+    rank = F.create_map(*[F.lit(x) for k, c in enumerate(dims.CATEGORY_ORDER) for x in (c, k)])[F.col("category")]
+    return rows.withColumn("rank", F.coalesce(rank, F.lit(len(dims.CATEGORY_ORDER)))).orderBy("rank")
+
+
+def plural_groups(keys: DataFrame) -> DataFrame:
+    """base, n of keys whose suffixes are plural categories: `other` and another at least."""
+    at = r"(?s)^(.*)_(zero|one|two|few|many|other)$"
+    own = keys.select(F.regexp_extract("key", at, 1).alias("base"), F.regexp_extract("key", at, 2).alias("category")).filter("category <> ''").distinct()
+    groups = own.groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("category") == "other").alias("other"))
+    return groups.filter("other = 1 and n > 1").select("base", "n")
+
+
+def placeholder_counts(rows: DataFrame, text: str) -> DataFrame:
+    """key, token, n: the placeholders of a column by the whole grammar."""
+    from ..functions.placeholders import extract_udf
+    from ..session import ship
+
+    ship(rows.sparkSession)
+    return rows.select("key", F.explode(extract_udf(F.col(text))).alias("token")).groupBy("key", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lost_placeholders(units: DataFrame) -> DataFrame:
+    """key, token, lost: how many more of a placeholder the source has."""
+    t = placeholder_counts(units, "translation").withColumnRenamed("n", "m")
+    both = placeholder_counts(units, "source").join(t, ["key", "token"], "left")
+    return both.select("key", "token", (F.col("n") - F.coalesce("m", F.lit(0))).alias("lost")).filter("lost > 0")
+
+
+def memory_counts(memory: DataFrame) -> DataFrame:
+    return memory.groupBy("locale").agg(F.count_if(F.col("by") == "human").alias("human"), F.count_if(F.col("by") == "model").alias("model"))
+
+
+def forget(memory: DataFrame, locale: str | None = None) -> DataFrame:
+    """The memory without a locale, or without all."""
+    return memory.filter(F.lit(False) if locale is None else F.col("locale") != locale)
+
+
+def unedited(flagged: DataFrame, edited: DataFrame, on: list[str]) -> DataFrame:
+    """What is flagged and no human has edited."""
+    return flagged.join(edited.select(*on).distinct(), on, "left_anti")
+
+
+def preference(pairs: DataFrame) -> DataFrame:
+    """pairs: locale, a, b (outputs), first and second (a blind judge's votes, A, B or TIE; second with the two swapped).
+    A win counts only if both votes name the same output; equal outputs tie unasked; pairs that lack one count as missing."""
+    a, b = X.trimmed(F.col("a")), X.trimmed(F.col("b"))
+    said = F.when((F.col("first") == "A") & (F.col("second") == "B"), "win").when((F.col("first") == "B") & (F.col("second") == "A"), "loss").otherwise("tie")
+    verdict = F.when(F.coalesce(a, F.lit("")).isin("") | F.coalesce(b, F.lit("")).isin(""), "missing").when(a == b, "same").otherwise(said)
+    v = pairs.select("locale", verdict.alias("v"))
+    return v.groupBy("locale").agg(F.count_if(F.col("v") == "win").alias("wins"), F.count_if(F.col("v") == "loss").alias("losses"), F.count_if(F.col("v").isin("tie", "same")).alias("ties"), F.count_if(F.col("v") == "same").alias("identical"))

@@ -35,7 +35,8 @@ class Report:
 
 
 def _file_level(entries: DataFrame, source_locale: str) -> list[DataFrame]:
-    ok = entries.filter("error is null and kind <> 'header'").withColumn("locale", F.coalesce("locale", catalog.locale_of(F.col("path")), F.lit(source_locale)))
+    """entries: placed in file sets, keys unique over sets."""
+    ok = entries.filter("error is null and kind <> 'header'").withColumn("locale", F.coalesce("locale", F.lit(source_locale)))
     single = ok.filter("category is null and index is null")
     twice = R.duplicate_keys(single.select(F.concat_ws("\u0001", "path", "locale").alias("file"), "kind", "key", "ordinal")).select(F.split("file", "\u0001")[0].alias("path"), F.split("file", "\u0001")[1].alias("locale"), "key", F.lit("duplicate").alias("code"), F.lit("error").alias("severity"), F.concat(F.lit("appears "), F.col("n").cast("string"), F.lit(" times")).alias("message"))
     kinds = ok.select("path", "format", "key", "locale").distinct()
@@ -54,27 +55,38 @@ def _file_level(entries: DataFrame, source_locale: str) -> list[DataFrame]:
     return [twice, lost, uneven, plural, escape, many, catalog.flagged_findings(entries), catalog.gettext_header_findings(entries), catalog.syntax_findings(entries)]
 
 
-def check(spark: SparkSession, root: str, config: Config, baseline: DataFrame | None = None) -> Report:
-    """All findings below a folder, located, without skipped and ignored ones, in report order; and coverage."""
+def check(spark: SparkSession, root: str, config: Config, baseline: DataFrame | None = None, glossary: DataFrame | None = None) -> Report:
+    """All findings below a folder, located, without skipped and ignored ones, in report order; and coverage.
+
+    The configuration's [[files]] say which files belong together, or else their layouts do; keys of a project of several
+    file sets are `file set:key`. glossary: locale, term, required.
+    """
     entries = catalog.scan(spark, catalog.files(spark, root)).persist()
-    units = J.unskipped(catalog.units(entries, config.source_locale), config.skip, config.tool)
-    if config.target_locales:
-        units = units.filter(F.col("locale").isin(config.target_locales))
+    placed = catalog.attached(entries, config.files)
+    if not config.files:
+        placed = catalog.named(placed, root, config.source_locale)
+    many = (len(config.files) if config.files else placed.filter("error is null").select("file_set").distinct().count()) > 1
+    units = J.unskipped(catalog.units(placed, config.source_locale, config.target_locales), config.skip, config.tool)
+    if many:
+        units = catalog.prefixed(units)
+        placed = catalog.prefixed(placed.filter("error is null")).unionByName(placed.filter("error is not null"))
+    units = units.drop("file_set")
     done = units.filter("translation is not null")
     votes = R.inconsistent(done).select("key", "locale", F.lit("inconsistent").alias("code"), F.lit("warning").alias("severity"), F.concat(F.lit("elsewhere `"), "majority", F.lit("`")).alias("message"))
     own = [C.simple_findings(done, config.source_locale, config.length_ratio), C.placeholder_findings(spark, done), C.icu_plural_findings(spark, done), C.fragment_findings(done), J.too_long(done, config.tool), votes]
+    if glossary is not None:
+        own.append(R.glossary(done, glossary).select("key", "locale", F.lit("glossary").alias("code"), F.lit("warning").alias("severity"), F.concat(F.lit("`"), "term", F.lit("` has a fixed rendering")).alias("message")))
     out = None
-    for part in [*own, *_file_level(entries, config.source_locale)]:
+    for part in [*own, *_file_level(placed, config.source_locale)]:
         out = _shaped(part) if out is None else out.unionByName(_shaped(part))
-    out = J.unignored(out, units, config.ignore, config.tool)
-    lines = entries.filter("error is null").select(F.coalesce("locale", catalog.locale_of(F.col("path"))).alias("l_locale"), F.col("key").alias("l_key"), F.col("path").alias("l_path"), F.col("line").alias("l_line"))
+    out = J.unignored(out, units, config.ignore, config.tool, many)
+    lines = placed.filter("error is null").select(F.coalesce("locale", F.lit(config.source_locale)).alias("l_locale"), F.col("key").alias("l_key"), F.col("path").alias("l_path"), F.col("line").alias("l_line"))
     lines = lines.groupBy("l_locale", "l_key").agg(F.min(F.struct("l_path", "l_line")).alias("at"))
     out = out.join(lines, (X.base_key(F.col("key")) == F.col("l_key")) & (F.col("locale") == F.col("l_locale")), "left")
     out = out.withColumn("path", F.coalesce("path", "at.l_path")).withColumn("line", F.coalesce("line", "at.l_line")).select(*COLUMNS)
     if baseline is not None:
         out = R.against_baseline(out.withColumnRenamed("path", "file"), baseline)[0].withColumnRenamed("file", "path")
-    coverage = units.groupBy("locale").agg(F.count(F.lit(1)).alias("total"), F.count("translation").alias("done"))
-    return Report(out.orderBy("path", "locale", "key", "code"), coverage, entries, units)
+    return Report(out.orderBy("path", "locale", "key", "code"), R.unit_coverage(units), entries, units)
 
 
 @dataclass

@@ -42,8 +42,8 @@ SELECT CAST(page_id AS STRING) AS key, regexp_extract(html, '<html lang="([a-z]+
 FROM {pages}
 """
 LOCKED = """
-SELECT 'doc.' || CAST(doc_id AS STRING) AS key, lang AS locale, substr(text, 1, 40) AS source,
-       CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN NULL ELSE substr(text, 11, 40) END AS translation, doc_id
+SELECT 'doc.' || CAST(doc_id AS STRING) AS key, lang AS locale, text AS source,
+       CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN NULL ELSE substr(text, 11) END AS translation, doc_id
 FROM {documents}
 """
 LINES = {

@@ -43,9 +43,9 @@ def s16(spark, d):
     return J.template_locales(paths, "app/{locale}/x.json")
 
 
-@query("p13_source_pick", "SELECT source AS path, arg_min(lang, CASE WHEN lang = 'es' THEN 0 WHEN lang = 'en' THEN 1 ELSE 3 END) AS source_locale FROM documents WHERE doc_id % 3 = 0 GROUP BY source")
+@query("p13_source_pick", "SELECT source AS path, arg_min(lang, CASE WHEN lang = 'es' THEN 0 WHEN lang = 'en' THEN 1 ELSE 3 END) AS source_locale FROM documents GROUP BY source")
 def p13(spark, d):
-    return J.source_pick(_table(spark, d, "documents").filter("doc_id % 3 = 0").select(F.col("source").alias("path"), F.col("lang").alias("locale")).distinct(), "es")
+    return J.source_pick(_table(spark, d, "documents").select(F.col("source").alias("path"), F.col("lang").alias("locale")).distinct(), "es")
 
 
 @query("c2_unlisted_locales", "SELECT DISTINCT lang AS locale FROM documents WHERE lang NOT IN ('en', 'de')")
@@ -55,14 +55,14 @@ def c2(spark, d):
 
 @query(
     "j11_located",
-    """WITH k AS (SELECT CAST(l_suppkey % 5 AS VARCHAR) AS file, 'a.' || CAST(l_partkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR) AS key, CAST(l_orderkey AS INT) AS line FROM lineitem WHERE l_orderkey % 3 = 0),
+    """WITH k AS (SELECT CAST(l_suppkey % 5 AS VARCHAR) AS file, 'a.' || CAST(l_partkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR) AS key, CAST(l_orderkey AS INT) AS line FROM lineitem),
     f AS (SELECT CAST(p_size % 5 AS VARCHAR) AS file, 'a.' || CAST(p_partkey AS VARCHAR) || '.' || CAST(p_size % 9 AS VARCHAR) AS key FROM part)
     SELECT f.file, f.key, coalesce(e.line, n.near) AS line FROM f LEFT JOIN (SELECT file, key, min(line) AS line FROM k GROUP BY ALL) e ON e.file = f.file AND e.key = f.key
     LEFT JOIN (SELECT file, split_part(key, '.', 3) AS seg, min(line) AS near FROM k GROUP BY ALL) n ON n.file = f.file AND n.seg = split_part(f.key, '.', 3)""",
 )
 def j11(spark, d):
     s = lambda c: F.col(c).cast("string")
-    k = _table(spark, d, "lineitem").filter("l_orderkey % 3 = 0").select((F.col("l_suppkey") % 5).cast("string").alias("file"), F.concat(F.lit("a."), s("l_partkey"), F.lit("."), s("l_linenumber")).alias("key"), F.col("l_orderkey").cast("int").alias("line"))
+    k = _table(spark, d, "lineitem").select((F.col("l_suppkey") % 5).cast("string").alias("file"), F.concat(F.lit("a."), s("l_partkey"), F.lit("."), s("l_linenumber")).alias("key"), F.col("l_orderkey").cast("int").alias("line"))
     f = _table(spark, d, "part").select((F.col("p_size") % 5).cast("string").alias("file"), F.concat(F.lit("a."), s("p_partkey"), F.lit("."), (F.col("p_size") % 9).cast("string")).alias("key"))
     return J.located(f, k).select("file", "key", "line")
 
@@ -87,13 +87,13 @@ def _suffixed(c, n):
 
 @query(
     "j15_plural_group_gaps",
-    f"""WITH s AS (SELECT DISTINCT {SUFFIX.format("c_custkey", 7)} AS key FROM customer), t AS (SELECT DISTINCT {SUFFIX.format("p_partkey", 11)} AS key FROM part WHERE p_partkey % 2 = 0),
+    f"""WITH s AS (SELECT DISTINCT {SUFFIX.format("c_custkey", 7)} AS key FROM customer), t AS (SELECT DISTINCT {SUFFIX.format("p_partkey", 11)} AS key FROM part),
     g AS (SELECT split_part(key, '_', 1) AS base FROM s GROUP BY 1 HAVING bool_or(key LIKE '%other') AND count(*) > 1)
     SELECT base, c AS category FROM g, (VALUES ('one'), ('few'), ('many'), ('other')) v(c) WHERE base IN (SELECT split_part(key, '_', 1) FROM t) AND base || '_' || c NOT IN (SELECT key FROM t)""",
 )
 def j15(spark, d):
     s = _table(spark, d, "customer").select(_suffixed(F.col("c_custkey"), 7)).distinct()
-    t = _table(spark, d, "part").filter("p_partkey % 2 = 0").select(_suffixed(F.col("p_partkey"), 11)).distinct()
+    t = _table(spark, d, "part").select(_suffixed(F.col("p_partkey"), 11)).distinct()
     return J.plural_group_gaps(s, t, ["one", "few", "many", "other"])
 
 
@@ -174,8 +174,8 @@ report(
 )
 report("k11_text_report", "SELECT code, r AS at, file || ' ' || locale || ' ' || key AS line FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY file, locale, key) AS r FROM g) WHERE r <= 20 UNION ALL SELECT code, 21, '... and ' || CAST(count(*) - 20 AS VARCHAR) || ' more' FROM g GROUP BY code HAVING count(*) > 20", render.text_report)
 report("j13_unsaid", "SELECT DISTINCT file, line FROM g WHERE line IS NOT NULL AND line % 2 = 1 ORDER BY ALL", lambda f: render.unsaid(f.filter("line is not null").select("file", "line").distinct(), f.filter("line % 2 = 0").select("file", "line")))
-report("a12_findings_per_line", "SELECT file, line, count(*) AS n FROM g WHERE line IS NOT NULL GROUP BY ALL", lambda f: f.filter("line is not null").groupBy("file", "line").agg(F.count(F.lit(1)).alias("n")))
-report("o1_finding_order", "SELECT file, locale, key, code FROM g ORDER BY ALL", lambda f: f.select("file", "locale", "key", "code").orderBy("file", "locale", "key", "code"))
+report("a12_findings_per_line", "SELECT file, line, count(*) AS n FROM g WHERE line IS NOT NULL GROUP BY ALL", R.findings_per_line)
+report("o1_finding_order", "SELECT DISTINCT file, locale, key, code, dense_rank() OVER (PARTITION BY file ORDER BY locale, key, code) AS place FROM g", lambda f: R.in_report_order(f.select("file", "locale", "key", "code").distinct()))
 
 G._with_status("k16_coverage_markdown", "SELECT '| ' || locale || ' | ' || CAST(done AS VARCHAR) || '/' || CAST(total AS VARCHAR) || ' | ' || CAST(CAST(floor(100 * done / greatest(total, 1)) AS BIGINT) AS VARCHAR) || '% |' AS line FROM (SELECT locale, count(*) AS total, count(*) FILTER (state NOT IN ('new', 'untranslated', 'needs-review')) AS done FROM st GROUP BY ALL)", lambda s: render.coverage_markdown(R.coverage(s)))
 G._with_status("k17_status_pivot", "SELECT locale, " + ", ".join(f"count(*) FILTER (state = '{s}') AS \"{s}\"" for s in dims.STATES) + " FROM st GROUP BY locale", lambda s: s.groupBy("locale").pivot("state", list(dims.STATES)).count().na.fill(0))
@@ -223,4 +223,4 @@ def m3(spark, d):
 
 @query("j19_unedited", "SELECT l.doc_id FROM labels l WHERE toxic = 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src0')")
 def j19(spark, d):
-    return _table(spark, d, "labels").filter("toxic = 1").join(_table(spark, d, "documents").filter("source = 'src0'"), "doc_id", "left_anti").select("doc_id")
+    return R.unedited(_table(spark, d, "labels").filter("toxic = 1"), _table(spark, d, "documents").filter("source = 'src0'"), ["doc_id"]).select("doc_id")

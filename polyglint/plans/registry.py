@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as X
-from ..functions.placeholders import ACCENTED, PLAIN
 from ..operators import checks as C
 from ..operators import relational as R
 from . import derived as D
@@ -266,14 +265,14 @@ def _with_findings(name: str, tail: str, f: Callable[[DataFrame, DataFrame], Dat
 _ON = "a.file = b.file AND a.key = b.key AND a.locale = b.locale AND a.code = b.code"
 _with_findings("j5_baseline_new", f"SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_ON})", lambda a, b: R.against_baseline(a, b)[0])
 _with_findings("j5_baseline_stale", f"SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE {_ON})", lambda a, b: R.against_baseline(a, b)[1])
-_with_findings("a19_baseline_rows", "SELECT DISTINCT file, key, locale, code FROM a ORDER BY ALL", lambda a, b: a.distinct().orderBy("file", "key", "locale", "code"))
+_with_findings("a19_baseline_rows", "SELECT DISTINCT file, key, locale, code FROM a ORDER BY ALL", lambda a, b: R.baseline_rows(a.union(a)))
 _with_findings(
     "w1_first_per_code",
     "SELECT file, key, locale, code, rank, hidden FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY file, locale, key) AS rank, CAST(greatest(count(*) OVER (PARTITION BY code) - 20, 0) AS BIGINT) AS hidden FROM a) WHERE rank <= 20",
     lambda a, b: R.first_per_code(a),
 )
-_with_findings("a4_severity_totals", "SELECT count(*) FILTER (code = 'markup') AS errors, count(*) FILTER (code <> 'markup') AS warnings FROM a", lambda a, b: a.withColumn("severity", C.severity(F.col("code"))).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings")))
-_with_findings("a17_keys_by_locale", "SELECT locale, string_agg(DISTINCT key, ',' ORDER BY key) AS keys FROM a GROUP BY locale", lambda a, b: a.groupBy("locale").agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("keys")))
+_with_findings("a4_severity_totals", "SELECT count(*) FILTER (code = 'markup') AS errors, count(*) FILTER (code <> 'markup') AS warnings FROM a", lambda a, b: R.severity_totals(a.withColumn("severity", C.severity(F.col("code")))))
+_with_findings("a17_keys_by_locale", "SELECT locale, string_agg(DISTINCT key, ',' ORDER BY key) AS keys FROM a GROUP BY locale", lambda a, b: R.keys_by_locale(a.union(a)).select("locale", F.array_join("keys", ",").alias("keys")))
 _with_findings(
     "a13_first_fix",
     "SELECT key, locale, code FROM (SELECT *, row_number() OVER (PARTITION BY key, locale ORDER BY file, code) AS r FROM a WHERE code = 'whitespace') WHERE r = 1",
@@ -294,29 +293,30 @@ def j6(spark, d):
 
 @query(
     "j7_recall",
-    rf"""WITH m AS (SELECT lang AS locale, substr(text, 1, 30) || ' ' AS source, min(substr(text, 5, 20)) AS text FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL)
-    SELECT 'd' || CAST(d.doc_id AS VARCHAR) AS key, d.lang AS locale, m.text FROM documents d JOIN m ON m.locale = d.lang AND {TRIM.format("m.source")} = {TRIM.format("substr(d.text, 1, 30)")} WHERE d.doc_id % 2 = 0""",
+    rf"""WITH m AS (SELECT lang AS locale, {TRIM.format("text")} AS t, min('T' || lang || CASE WHEN doc_id % 10 = 0 THEN ' %d' ELSE '' END) AS text FROM documents WHERE doc_id % 5 = 0 GROUP BY ALL)
+    SELECT 'd' || CAST(d.doc_id AS VARCHAR) AS key, d.lang AS locale, m.text FROM documents d JOIN m ON m.locale = d.lang AND m.t = {TRIM.format("d.text")} WHERE m.text NOT LIKE '%\%d' ESCAPE '\'""",
 )
 def j7(spark, d):
     docs = _table(spark, d, "documents")
-    m = docs.filter("doc_id % 3 = 0").groupBy(F.col("lang").alias("locale"), F.concat(F.substring("text", 1, 30), F.lit(" ")).alias("source")).agg(F.min(F.substring("text", 5, 20)).alias("text")).withColumn("by", F.lit("human"))
-    return R.recall(docs.filter("doc_id % 2 = 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), F.col("lang").alias("locale"), F.substring("text", 1, 30).alias("source")), m)
+    text = F.concat(F.lit("T"), "lang", F.when(F.col("doc_id") % 10 == 0, " %d").otherwise(""))
+    m = docs.select(F.col("lang").alias("locale"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("source"), text.alias("text"), F.when(F.col("doc_id") % 5 == 0, "human").otherwise("model").alias("by"))
+    return R.recall(docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), F.col("lang").alias("locale"), F.col("text").alias("source")), m)
 
 
 @query(
     "a16_memory_merge",
-    """WITH m AS (SELECT lang AS locale, 'k' || CAST(doc_id % 97 AS VARCHAR) AS source, substr(text, 1, 12) AS text, CASE WHEN doc_id % 5 = 0 THEN 'human' ELSE 'model' END AS "by", doc_id AS seq FROM documents)
+    """WITH m AS (SELECT lang AS locale, 'k' || CAST(doc_id % 97 AS VARCHAR) AS source, text, CASE WHEN doc_id % 5 = 0 THEN 'human' ELSE 'model' END AS "by", doc_id AS seq FROM documents)
     SELECT locale, source, arg_max(text, seq + CASE WHEN "by" = 'human' THEN 1000000000 ELSE 0 END) AS text, max(CASE WHEN "by" = 'human' THEN 1 ELSE 0 END) AS human FROM m WHERE trim(text) <> '' AND text <> source GROUP BY ALL""",
 )
 def a16(spark, d):
-    m = _table(spark, d, "documents").select(F.col("lang").alias("locale"), F.concat(F.lit("k"), (F.col("doc_id") % 97).cast("string")).alias("source"), F.substring("text", 1, 12).alias("text"), F.when(F.col("doc_id") % 5 == 0, "human").otherwise("model").alias("by"), F.col("doc_id").alias("seq"))
+    m = _table(spark, d, "documents").select(F.col("lang").alias("locale"), F.concat(F.lit("k"), (F.col("doc_id") % 97).cast("string")).alias("source"), F.col("text"), F.when(F.col("doc_id") % 5 == 0, "human").otherwise("model").alias("by"), F.col("doc_id").alias("seq"))
     out = R.merge_memory(m.filter("seq % 2 = 0"), m.filter("seq % 2 = 1"))
     return out.select("locale", "source", "text", F.when(F.col("by") == "human", 1).otherwise(0).alias("human"))
 
 
 @query("a15_memory_counts", "SELECT lang AS locale, count(*) FILTER (doc_id % 5 = 0) AS human, count(*) FILTER (doc_id % 5 <> 0) AS model FROM documents GROUP BY lang")
 def a15(spark, d):
-    return _table(spark, d, "documents").groupBy(F.col("lang").alias("locale")).agg(F.count_if(F.col("doc_id") % 5 == 0).alias("human"), F.count_if(F.col("doc_id") % 5 != 0).alias("model"))
+    return R.memory_counts(_table(spark, d, "documents").select(F.col("lang").alias("locale"), F.when(F.col("doc_id") % 5 == 0, "human").otherwise("model").alias("by")))
 
 
 TERMS = """t AS (SELECT 'l' || CAST(l.doc_id AS VARCHAR) || '.' || CAST(line AS VARCHAR) AS key, d.lang AS locale, lower(regexp_extract(l.text, '^([A-Za-z]+ [A-Za-z]+) ([A-Za-z]+)', 1)) AS source,
@@ -348,13 +348,13 @@ TOKENS = r"list_distinct(list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{
     "j8_similar",
     f"""SELECT qid, cid, m / 1000000 AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY m DESC, cid) AS rank FROM (
       SELECT qid, cid, CAST(round((len(list_intersect(qt, ct)) / len(list_distinct(list_concat(qt, ct))) - abs(strlen(qs) - strlen(cs)) / 200) * 1000000) AS BIGINT) AS m
-      FROM (SELECT item_id AS qid, substr(text, 1, 60) AS qs, {TOKENS.format("substr(text, 1, 60)")} AS qt FROM benchmark),
-           (SELECT doc_id AS cid, substr(text, 1, 60) AS cs, {TOKENS.format("substr(text, 1, 60)")} AS ct FROM documents WHERE lang = 'en' AND {TRIM.format("substr(text, 61, 60)")} <> '' AND lower({TRIM.format("substr(text, 1, 60)")}) <> lower({TRIM.format("substr(text, 61, 60)")}))
+      FROM (SELECT item_id AS qid, text AS qs, {TOKENS.format("text")} AS qt FROM benchmark),
+           (SELECT doc_id AS cid, cs, {TOKENS.format("cs")} AS ct FROM (SELECT doc_id, split_part(text, chr(10), 1) AS cs, lang FROM documents) WHERE lower({TRIM.format("cs")}) <> lower(lang))
       WHERE qs <> cs AND len(list_intersect(qt, ct)) > 0)) WHERE rank <= 3""",
 )
 def j8(spark, d):
-    q = _table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("source"))
-    c = _table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("cid"), F.substring("text", 1, 60).alias("source"), F.substring("text", 61, 60).alias("translation"))
+    q = _table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("source"))
+    c = _table(spark, d, "documents").select(F.col("doc_id").alias("cid"), F.split("text", "\n")[0].alias("source"), F.col("lang").alias("translation"))
     return R.similar(q, c)
 
 
@@ -380,7 +380,8 @@ def j10(spark, d):
 
 @query(
     "w3_snippets",
-    """SELECT file, line, sha256(snippet) AS snippet FROM (SELECT file, line, string_agg(substr(text, 1, 200), chr(10)) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS snippet FROM (SELECT doc_id AS file, line, text FROM _lines))""",
+    """SELECT file, line, sha256(snippet) AS snippet FROM (SELECT file, line, string_agg(text, chr(10)) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS snippet
+    FROM (SELECT doc_id AS file, line, CASE WHEN strlen(text) <= 200 THEN text ELSE substr(text, 1, list_max(list_filter(range(50, 201), lambda k: strlen(substr(text, 1, k)) <= 200))) END AS text FROM _lines))""",
 )
 def w3(spark, d):
     return R.snippets(_rel(spark, d, "lines").withColumnRenamed("doc_id", "file")).select("file", "line", F.sha2("snippet", 256).alias("snippet"))
@@ -519,12 +520,17 @@ def t1(spark, d):
 
 @query(
     "a18_preference",
-    "SELECT count(*) FILTER (quality > toxic) AS wins, count(*) FILTER (quality < toxic) AS losses, count(*) FILTER (quality = toxic) AS ties, lang AS locale FROM labels JOIN documents USING (doc_id) GROUP BY lang",
+    """SELECT lang AS locale, count(*) FILTER (v = 'win') AS wins, count(*) FILTER (v = 'loss') AS losses, count(*) FILTER (v IN ('tie', 'same')) AS ties, count(*) FILTER (v = 'same') AS identical
+    FROM (SELECT lang, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN quality = toxic THEN 'same' WHEN doc_id % 7 < 2 THEN 'tie' WHEN quality > toxic THEN 'win' ELSE 'loss' END AS v FROM labels JOIN documents USING (doc_id)) GROUP BY lang""",
 )
 def a18(spark, d):
+    """A judge that prefers the higher label, that calls a tie on one order of every seventh pair, and on another always A."""
     j = _table(spark, d, "labels").join(_table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    q, t = F.col("quality"), F.col("toxic")
-    return j.groupBy(F.col("lang").alias("locale")).agg(F.count_if(q > t).alias("wins"), F.count_if(q < t).alias("losses"), F.count_if(q == t).alias("ties"))
+    q, t, m = F.col("quality"), F.col("toxic"), F.col("doc_id") % 7
+    first = F.when(m == 1, "A").when(q > t, "A").otherwise("B")
+    second = F.when(m == 0, "TIE").when(m == 1, "A").when(q > t, "B").otherwise("A")
+    text = lambda c: F.concat(F.lit(" text "), c.cast("string"), F.lit(" "))
+    return R.preference(j.select(F.col("lang").alias("locale"), text(q).alias("a"), F.when(F.col("doc_id") % 11 == 0, "  ").otherwise(text(t)).alias("b"), first.alias("first"), second.alias("second")))
 
 
 # ---- scalars ---------------------------------------------------------------------------------------------------------
@@ -571,7 +577,7 @@ def f32(spark, d):
 
 @query(
     "f18_pseudo",
-    f"SELECT key, '[%1$s ' || translate(w, '{PLAIN}', '{ACCENTED}') || ' {{{{count}}}}' || repeat('~', CAST(ceil({LETTERS.format('w')} / 3) AS INT)) || ']' AS pseudo FROM (SELECT key, replace(replace(source, '%1$s ', ''), ' {{{{count}}}}', '') AS w FROM _fmt)",
+    f"SELECT key, '[%1$s ' || translate(w, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'áƀçðéƒĝĥíĵķļɱñöþǫŕšţüṽŵẋýžÁƁÇÐÉƑĜĤÍĴĶĻṀÑÖÞǪŔŠŢÜṼŴẊÝŽ') || ' {{{{count}}}} ' || repeat('~', CAST(ceil({LETTERS.format('w')} / 3) AS INT)) || ']' AS pseudo FROM (SELECT key, replace(replace(source, '%1$s ', ''), ' {{{{count}}}}', '') AS w FROM _fmt)",
 )
 def f18(spark, d):
     from ..functions.placeholders import pseudo_udf

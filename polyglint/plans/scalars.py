@@ -8,6 +8,7 @@ from .. import dims
 from ..functions import text as X
 from ..operators import checks as C
 from ..operators import model as M
+from ..operators import relational as R
 from .registry import REQ, _rel, _table, _with_findings, query
 
 
@@ -20,7 +21,7 @@ def f13(spark, d):
 @query("f14_latin_letters", "SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[A-Za-zÀ-ɏ]', '', 'g')) AS INT) AS latin, CAST(length(text) - length(regexp_replace(text, '\\p{L}', '', 'g')) AS INT) AS letters FROM documents")
 def f14(spark, d):
     t = F.col("text")
-    return _table(spark, d, "documents").select("doc_id", (F.length(t) - F.length(F.regexp_replace(t, "[A-Za-zÀ-ɏ]", ""))).alias("latin"), X.letters(t).alias("letters"))
+    return _table(spark, d, "documents").select("doc_id", X.latin_letters(t).alias("latin"), X.letters(t).alias("letters"))
 
 
 @query("f9_required_categories", f"SELECT * FROM (VALUES {REQ}) t(lang, category)")
@@ -52,8 +53,10 @@ def p15(spark, d):
 
 @query("p14_templates", "SELECT DISTINCT lang, 'res/values-' || lang || '-rBR/strings.xml' AS android, 'i18n/' || lang || '-BR.json' AS json FROM documents")
 def p14(spark, d):
+    from ..sources.catalog import expanded
+
     tag = F.concat("lang", F.lit("-BR"))
-    return _table(spark, d, "documents").select("lang", F.replace(F.lit("res/values-{android_locale}/strings.xml"), F.lit("{android_locale}"), X.android_qualifier(tag)).alias("android"), F.replace(F.lit("i18n/{locale}.json"), F.lit("{locale}"), tag).alias("json")).distinct()
+    return _table(spark, d, "documents").select("lang", expanded(F.lit("res/values-{android_locale}/strings.xml"), tag).alias("android"), expanded(F.lit("i18n/{locale}.json"), tag).alias("json")).distinct()
 
 
 @query("p17_touched_catalogs", "SELECT path FROM (SELECT DISTINCT 'src/' || CAST(p_size AS VARCHAR) || CASE p_partkey % 5 WHEN 0 THEN '.json' WHEN 1 THEN '.po' WHEN 2 THEN '.rs' WHEN 3 THEN '.strings' ELSE '.md' END AS path FROM part) WHERE regexp_matches(path, '[.](json|po|strings)$')")
@@ -75,42 +78,35 @@ FLAT = r"'%[0-9]+\$[a-zA-Z@]|\{\{ *[A-Za-z0-9_.-]+ *\}\}|\{[A-Za-z0-9_.-]+\}'"
 
 @query("a10_placeholder_counts", f"SELECT key, token, count(*) AS n FROM (SELECT key, unnest(regexp_extract_all(translation, {FLAT})) AS token FROM _fmt) GROUP BY ALL")
 def a10(spark, d):
-    return _rel(spark, d, "fmt").select("key", F.explode(F.regexp_extract_all("translation", F.lit(X.FLAT_PLACEHOLDER), F.lit(0))).alias("token")).groupBy("key", "token").agg(F.count(F.lit(1)).alias("n"))
+    return R.placeholder_counts(_rel(spark, d, "fmt"), "translation")
 
 
 @query("o7_lost_placeholders", f"SELECT key, token, CAST(a - b AS BIGINT) AS lost FROM (SELECT key, token, sum(s) AS a, sum(t) AS b FROM (SELECT key, unnest(regexp_extract_all(source, {FLAT})) AS token, 1 AS s, 0 AS t FROM _fmt UNION ALL SELECT key, unnest(regexp_extract_all(translation, {FLAT})), 0, 1 FROM _fmt) GROUP BY ALL) WHERE a > b")
 def o7(spark, d):
-    u = _rel(spark, d, "fmt")
-    of = lambda c: u.select("key", F.explode(F.regexp_extract_all(c, F.lit(X.FLAT_PLACEHOLDER), F.lit(0))).alias("token"))
-    return of("source").exceptAll(of("translation")).groupBy("key", "token").agg(F.count(F.lit(1)).alias("lost"))
+    return R.lost_placeholders(_rel(spark, d, "fmt"))
 
 
-@query("o8_lost_links", r"SELECT page_id, link FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]+)\"', 1))) AS link FROM pages) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT page_id AS p, unnest(regexp_extract_all(html, 'href=\"(/[^\"]+)\"', 1)) AS l FROM pages) b WHERE b.p = a.page_id + 1 AND b.l = a.link)")
+@query("o8_lost_links", r"SELECT key, regexp_extract(source, 'https://[a-z0-9./]+[a-z0-9]') AS link FROM (SELECT p_partkey AS key, 'see https://a.example.com/' || CAST(p_size AS VARCHAR) || '.' AS source, p_partkey % 3 AS m FROM part) WHERE m <> 1")
 def o8(spark, d):
-    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]+)"'), F.lit(1)))
-    a = _table(spark, d, "pages").select("page_id", links.alias("here"))
-    b = a.select((F.col("page_id") - 1).alias("page_id"), F.col("here").alias("there"))
-    return a.join(b, "page_id", "left").select("page_id", F.explode(F.array_except("here", F.coalesce("there", F.array().cast("array<string>")))).alias("link"))
+    """Kept, changed and dropped links."""
+    m = F.col("p_partkey") % 3
+    s = F.concat(F.lit("see https://a.example.com/"), F.col("p_size").cast("string"), F.lit("."))
+    t = F.when(m == 0, F.lit("siehe oben")).when(m == 1, F.concat(F.lit("siehe "), s)).otherwise(F.concat(F.lit("siehe https://b.example.com/"), F.col("p_size").cast("string")))
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.explode(X.lost_links(s, t)).alias("link"))
 
 
 @query("a7_plural_groups", "SELECT base, n FROM (SELECT 'k' || CAST(c_custkey % 90 AS VARCHAR) AS base, count(DISTINCT c_custkey % 7) AS n, bool_or(c_custkey % 7 = 0) AS other FROM customer WHERE c_custkey % 7 < 3 GROUP BY 1) WHERE other AND n > 1")
 def a7(spark, d):
     m = F.col("c_custkey") % 7
     keys = _table(spark, d, "customer").filter(m < 3).select(F.concat(F.lit("k"), (F.col("c_custkey") % 90).cast("string"), F.when(m == 0, "_other").when(m == 1, "_one").otherwise("_few")).alias("key"))
-    at = r"^(.*)_(zero|one|two|few|many|other)$"
-    groups = keys.select(F.regexp_extract("key", at, 1).alias("base"), F.regexp_extract("key", at, 2).alias("category")).groupBy("base").agg(F.count_distinct("category").alias("n"), F.max((F.col("category") == "other").cast("int")).alias("other"))
-    return groups.filter("other = 1 and n > 1").select("base", "n")
-
-
-@query("s25_plural_collectors", "SELECT role AS key, CAST(turn AS VARCHAR) AS locale, string_agg(DISTINCT CASE conv_id % 3 WHEN 0 THEN 'one' WHEN 1 THEN 'few' ELSE 'other' END, ',' ORDER BY CASE conv_id % 3 WHEN 0 THEN 'one' WHEN 1 THEN 'few' ELSE 'other' END) AS categories FROM conversations GROUP BY ALL")
-def s25(spark, d):
-    m = F.col("conv_id") % 3
-    return _table(spark, d, "conversations").groupBy(F.col("role").alias("key"), F.col("turn").cast("string").alias("locale")).agg(F.array_join(F.array_sort(F.collect_set(F.when(m == 0, "one").when(m == 1, "few").otherwise("other"))), ",").alias("categories"))
+    return R.plural_groups(keys)
 
 
-@query("o3_category_order", "SELECT category, rank FROM (VALUES ('zero', 0), ('one', 1), ('two', 2), ('few', 3), ('many', 4), ('other', 5)) t(category, rank) ORDER BY rank")
+@query("o3_category_order", "SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN 'other' WHEN 1 THEN 'zero' WHEN 2 THEN 'many' WHEN 3 THEN 'one' WHEN 4 THEN 'few' WHEN 5 THEN 'two' ELSE '=1' END AS category, CASE p_partkey % 7 WHEN 0 THEN 5 WHEN 1 THEN 0 WHEN 2 THEN 4 WHEN 3 THEN 1 WHEN 4 THEN 3 WHEN 5 THEN 2 ELSE 6 END AS rank FROM part")
 def o3(spark, d):
-    return spark.createDataFrame([(c, i) for i, c in enumerate(dims.CATEGORY_ORDER)], "category string, rank int").orderBy("rank")
+    m = F.col("p_partkey") % 7
+    category = F.when(m == 0, "other").when(m == 1, "zero").when(m == 2, "many").when(m == 3, "one").when(m == 4, "few").when(m == 5, "two").otherwise("=1")
+    return R.in_category_order(_table(spark, d, "part").select(F.col("p_partkey").alias("id"), category.alias("category")))
 
 
 _with_findings(
@@ -118,7 +114,7 @@ _with_findings(
     "SELECT DISTINCT locale, key FROM a WHERE code = 'length'",
     lambda a, b: C.fixable(a.withColumn("severity", F.lit("error")).withColumn("fix", F.lit(None).cast("string"))),
 )
-_with_findings("a4_retained", "SELECT code, count(*) AS n FROM a WHERE locale <> 'ja' GROUP BY code", lambda a, b: a.filter("locale <> 'ja'").groupBy("code").agg(F.count(F.lit(1)).alias("n")))
+_with_findings("a4_retained", "SELECT code, count(*) AS n FROM a WHERE locale <> 'ja' GROUP BY code", lambda a, b: R.retained(a, ["de", "fr", "pl"]).groupBy("code").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("m5_flagged_verdicts", "SELECT doc_id, quality + toxic AS score FROM labels WHERE quality + toxic <= 1")
@@ -134,7 +130,7 @@ def m2(spark, d):
 
 @query("t10_forgotten", "SELECT doc_id FROM documents WHERE lang <> 'de'")
 def t10(spark, d):
-    return _table(spark, d, "documents").filter("lang <> 'de'").select("doc_id")
+    return R.forget(_table(spark, d, "documents").withColumnRenamed("lang", "locale"), "de").select("doc_id")
 
 
 @query("s22_admissible_events", "SELECT conv_id, turn FROM conversations WHERE turn % 2 = 0 AND role <> 'assistant'")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import asdict
 
@@ -18,7 +19,7 @@ ENTRIES = "path string, format string, key string, text string, ordinal int, kin
 LAYOUTS = (
     ("xcstrings", r"\.xcstrings$", None),
     ("arb", r"\.arb$", r"_([a-z]{2,3}(?:_[A-Za-z0-9]+)*)\.arb$"),
-    ("po", r"\.po$", r"(?:^|[/])([a-z]{2,3}(?:[-_][A-Za-z0-9]+)*)(?:/LC_MESSAGES/[^/]+)?\.po$"),
+    ("po", r"\.pot?$", r"(?:^|[/])([a-z]{2,3}(?:[-_][A-Za-z0-9]+)*)(?:/LC_MESSAGES/[^/]+)?\.po$"),
     ("resx", r"\.res[xw]$", r"\.([a-z]{2,3}(?:-[A-Za-z0-9]+)*)\.res[xw]$"),
     ("stringsdict", r"\.stringsdict$", r"/([A-Za-z-]+)\.lproj/[^/]+$"),
     ("strings", r"\.strings$", r"/([A-Za-z-]+)\.lproj/[^/]+$"),
@@ -46,13 +47,71 @@ def locale_of(path: Column) -> Column:
     return F.when(path.rlike(r"/values-(?![a-z]{2,3}($|-r[A-Z]{2}/|/)|b\+)"), F.lit(None)).otherwise(tag)
 
 
-def files(spark: SparkSession, root: str, most_bytes: int = 50_000_000) -> DataFrame:
+# Where a layout's path holds its locale; without it, a locale's file and its source's have one name.
+_TAG = r"[a-z]{2,3}(?:[-_][A-Za-z0-9]+)*"
+SET_OF = (
+    ("arb", r"_[a-z]{2,3}(?:_[A-Za-z0-9]+)*(\.arb)$", "$1"),
+    ("po", rf"(^|/){_TAG}((?:/LC_MESSAGES/[^/]+)?\.po)$", "$1$2"),
+    ("resx", r"\.[a-z]{2,3}(?:-[A-Za-z0-9]+)*(\.res[xw])$", "$1"),
+    ("stringsdict", r"/[A-Za-z-]+(\.lproj/[^/]+)$", "/$1"),
+    ("strings", r"/[A-Za-z-]+(\.lproj/[^/]+)$", "/$1"),
+    ("android", r"/values-[^/]+/", "/values/"),
+    ("json", rf"(^|/){_TAG}((?:/[^/]+)?\.json)$", "$1$2"),
+)
+
+
+def file_set(path: Column) -> Column:
+    """What a catalog's source file and its locales' files have in common."""
+    out = path
+    for name, at, by in SET_OF:
+        out = F.when(format_of(path) == name, F.regexp_replace(path, at, by)).otherwise(out)
+    return out
+
+
+def files(spark: SparkSession, root: str) -> DataFrame:
     """path, format, layout_locale, content of the catalog files below a folder of any file system Spark reads."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = rows.filter(F.col("length") <= most_bytes).select("path", "content")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
     return rows.select("path", format_of(F.col("path")).alias("format"), locale_of(F.col("path")).alias("layout_locale"), "content").filter("format is not null")
 
 
+def expanded(template: Column, locale: Column) -> Column:
+    """A path template with its locale, as a tag or in Android's spelling."""
+    from ..functions.text import android_qualifier
+
+    return F.replace(F.replace(template, F.lit("{locale}"), locale), F.lit("{android_locale}"), android_qualifier(locale))
+
+
+def locale_pattern(template: str) -> str:
+    """Regular expression of the end of the paths that a template names; its group is the locale as the path spells it."""
+    out = "".join("((?:b\\+)?[A-Za-z]{2,3}(?:[-_+][A-Za-z0-9]+)*)" if x in ("{locale}", "{android_locale}") else re.escape(x) for x in re.split(r"(\{locale\}|\{android_locale\})", template))
+    return f"(?:^|/){out}$"
+
+
+def attached(entries: DataFrame, specs: list[dict] | None = None) -> DataFrame:
+    """Entries with their file_set and the locale of their file. specs: the configuration's [[files]] (path, format,
+    locale_path); a file that none of them names belongs to no set and is left out. Without specs, sets follow layouts.
+
+    A set that stands for the source has no locale: its entries' own locale, if they have one, stays.
+    """
+    path = F.col("path")
+    if not specs:
+        return entries.withColumn("file_set", file_set(path)).withColumn("locale", F.coalesce("locale", F.nullif(locale_of(path), F.lit("Base"))))
+    which, where, kind = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for spec in reversed(specs):
+        if spec.get("locale_path"):
+            at = locale_pattern(spec["locale_path"])
+            hit = path.rlike(at)
+            which, kind = F.when(hit, spec["path"]).otherwise(which), F.when(hit, spec["format"]).otherwise(kind)
+            where = F.when(hit, F.regexp_extract(path, at, 1)).otherwise(where)
+    for spec in reversed(specs):
+        hit = path.rlike("(?:^|/)" + re.escape(spec["path"]) + "$")
+        which, kind = F.when(hit, spec["path"]).otherwise(which), F.when(hit, spec["format"]).otherwise(kind)
+        where = F.when(hit, F.lit(None).cast("string")).otherwise(where)
+    tag = F.regexp_replace(F.regexp_replace(where, r"^b\+", ""), r"[+_]|-r(?=[A-Z]{2}$)", "-")
+    out = entries.withColumn("file_set", which).withColumn("locale", F.coalesce("locale", tag)).withColumn("_kind", kind)
+    return out.filter(F.col("file_set").isNotNull() & (F.col("_kind") == F.col("format"))).drop("_kind")
+
+
 def scan(spark: SparkSession, found: DataFrame) -> DataFrame:
     """Entries of files (path, format, content); a file that can't be read gives one row with its error and line."""
     ship(spark)
@@ -74,26 +133,95 @@ def scan(spark: SparkSession, found: DataFrame) -> DataFrame:
     return found.select("path", "format", "content").mapInPandas(run, ENTRIES)
 
 
-def units(entries: DataFrame, source_locale: str, layout: DataFrame | None = None) -> DataFrame:
-    """key, locale, source, translation, comment: source entries beside each target locale's values.
+def unit_key() -> Column:
+    """An entry's key with its plural category or its place in an array."""
+    return F.concat("key", F.when(F.col("category").isNotNull(), F.concat(F.lit("#plural."), "category")).when(F.col("index").isNotNull(), F.concat(F.lit("#array."), F.col("index").cast("string"))).otherwise(""))
+
+
+def values(entries: DataFrame, source_locale: str) -> DataFrame:
+    """file_set, key, locale, text, comment, ordinal, format of entries that attached() placed; later duplicates win."""
+    ok = entries.filter("error is null and kind <> 'header'")
+    return ok.select("file_set", unit_key().alias("key"), F.coalesce("locale", F.lit(source_locale)).alias("locale"), "text", "comment", "ordinal", "format")
+
+
+def named(placed: DataFrame, root: str, source_locale: str) -> DataFrame:
+    """Placed entries whose sets are called by their source file's path below the root, as a configuration would."""
+    path = F.regexp_replace("path", "^(?:[a-z]+:/*)?" + re.escape(re.sub("^[a-z]+:/*", "", root).strip("/")) + "/", "")
+    path = F.regexp_replace(path, "^/+", "")
+    own = F.when(F.coalesce("locale", F.lit(source_locale)) == source_locale, path)
+    names = placed.groupBy("file_set").agg(F.coalesce(F.min(own), F.min(path)).alias("name"))
+    return placed.join(names, "file_set").drop("file_set").withColumnRenamed("name", "file_set")
 
-    Empty translations count as absent. An empty source text stands for its key.
+
+def units(placed: DataFrame, source_locale: str, locales: list[str] | None = None) -> DataFrame:
+    """file_set, key, locale, source, translation, comment: source entries beside each target locale's values, file set by
+    file set. placed: see attached().
+
+    Empty translations count as absent. Where a source text is missing or empty, its key stands for it in String Catalogs
+    and JSON; in gettext the key without its context is the source. Target locales are those of the configuration, or
+    else those that a file set has.
     """
+    rows = values(placed, source_locale)
+    src = rows.filter(F.col("locale") == source_locale).groupBy("file_set", "key").agg(F.max_by("text", "ordinal").alias("source"), F.max_by("comment", "ordinal").alias("comment"), F.first("format").alias("format"))
+    own = F.when(F.col("format") == "po", F.element_at(F.split(F.regexp_replace("key", "#plural[.][^#]+$", ""), "\u0004"), -1))
+    own = own.when(F.col("format").isin("xcstrings", "json"), F.coalesce(F.nullif("source", F.lit("")), "key")).otherwise(F.col("source"))
+    src = src.select("file_set", "key", own.alias("source"), "comment")
+    found = rows.filter((F.col("locale") != source_locale) & (F.col("text") != "")).groupBy("file_set", "key", "locale").agg(F.max_by("text", "ordinal").alias("translation"))
+    if locales:
+        pairs = src.withColumn("locale", F.explode(F.array(*[F.lit(x) for x in locales])))
+    else:
+        pairs = src.join(rows.filter(F.col("locale") != source_locale).select("file_set", "locale").distinct(), "file_set")
+    return pairs.join(found, ["file_set", "key", "locale"], "left").select("file_set", "key", "locale", "source", "translation", "comment")
+
+
+def prefixed(rows: DataFrame) -> DataFrame:
+    """Keys as `file set:key`, for projects of several sets."""
+    return rows.withColumn("key", F.concat_ws(":", "file_set", "key"))
+
+
+def key_listing(entries: DataFrame) -> DataFrame:
+    """path, kind, key, ordinal in file order; a key that stands twice is listed twice, an entry of several parts once."""
     ok = entries.filter("error is null and kind <> 'header'")
-    full = F.concat("key", F.when(F.col("category").isNotNull(), F.concat(F.lit("#plural."), "category")).when(F.col("index").isNotNull(), F.concat(F.lit("#array."), F.col("index").cast("string"))).otherwise(""))
-    rows = ok.select(full.alias("key"), F.coalesce("locale", locale_of(F.col("path")), F.lit(source_locale)).alias("locale"), "text", "comment", "ordinal", "path")
-    src = rows.filter(F.col("locale") == source_locale).groupBy("key").agg(F.max_by("text", "ordinal").alias("source"), F.max_by("comment", "ordinal").alias("comment"))
-    src = src.withColumn("source", F.coalesce(F.nullif("source", F.lit("")), "key"))
-    values = rows.filter((F.col("locale") != source_locale) & (F.col("text") != "")).groupBy("key", "locale").agg(F.max_by("text", "ordinal").alias("translation"))
-    locales = rows.filter(F.col("locale") != source_locale).select("locale").distinct()
-    return src.crossJoin(locales).join(values, ["key", "locale"], "left").select("key", "locale", "source", "translation", "comment")
+    first = ok.filter("category is null and (index is null or index = 0)").select("path", "kind", "key", "ordinal")
+    plural = ok.filter("category is not null").groupBy("path", "kind", "key").agg(F.min("ordinal").alias("ordinal"))
+    return first.unionByName(plural)
+
+
+def plural_forms(entries: DataFrame, source_locale: str) -> DataFrame:
+    """file_set, key, locale, categories (sorted, distinct) of entries that attached() placed and that have plural forms."""
+    rows = entries.filter("error is null and category is not null").withColumn("locale", F.coalesce("locale", F.lit(source_locale)))
+    return rows.groupBy("file_set", "key", "locale").agg(F.array_sort(F.collect_set("category")).alias("categories"))
 
 
-def write_values(spark: SparkSession, found: DataFrame, edits: DataFrame) -> DataFrame:
+def _applied(text: str, format_: str, edits: list, inserting: bool) -> str:
+    from .writers import insert, xcstrings_set
+
+    at = {(e["key"], e["locale"], e["category"], e["index"]): e["value"] for e in edits}
+    have = {(e.key, e.locale, e.category, e.index) for e in PARSERS[format_](text) if e.start >= 0}
+    text = splice(text, format_, {k: v for k, v in at.items() if k in have})
+    if not inserting:
+        return text
+    new: dict[tuple, object] = {}
+    for (key, locale, category, index), value in at.items():
+        if (key, locale, category, index) in have:
+            continue
+        if category is not None:
+            new.setdefault((key, locale), {})[category] = value
+        elif index is not None:
+            new.setdefault((key, locale), []).append(value)
+        else:
+            new[key, locale] = value
+    for (key, locale), value in new.items():
+        text = xcstrings_set(text, key, locale, value) if format_ == "xcstrings" else insert(text, format_, key, value)
+    return text
+
+
+def write_values(spark: SparkSession, found: DataFrame, edits: DataFrame, inserting: bool = False) -> DataFrame:
     """path, content: the files with edited values (path, key, locale, category, index, value) spliced in, byte for byte
-    as they were elsewhere. Edits are gathered by file, so a file's rows meet in one task."""
+    as they were elsewhere. Edits are gathered by file, so a file's rows meet in one task. Edits of entries that a file
+    doesn't have are left out, or inserted."""
     ship(spark)
-    by_file = edits.groupBy("path").agg(F.collect_list(F.struct("key", "locale", "category", "index", "value")).alias("edits"))
+    by_file = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("key", "locale", "category", "index", "value"))).alias("edits"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -101,7 +229,7 @@ def write_values(spark: SparkSession, found: DataFrame, edits: DataFrame) -> Dat
             for path, format_, content, own in zip(frame.path, frame.format, frame.content, frame.edits, strict=True):
                 data = bytes(content)
                 wide = data[:2] in (b"\xff\xfe", b"\xfe\xff")
-                text = splice(read_text(data), format_, {(e["key"], e["locale"], e["category"], e["index"]): e["value"] for e in own})
+                text = _applied(read_text(data), format_, list(own), inserting)
                 head = data[:2] if wide else b"\xef\xbb\xbf" if data[:3] == b"\xef\xbb\xbf" else b""
                 rows.append((path, head + text.encode(("utf-16-le" if data[:2] == b"\xff\xfe" else "utf-16-be") if wide else "utf-8")))
             yield pd.DataFrame(rows, columns=["path", "content"])
@@ -109,6 +237,30 @@ def write_values(spark: SparkSession, found: DataFrame, edits: DataFrame) -> Dat
     return found.join(by_file, "path").select("path", "format", "content", "edits").mapInPandas(run, "path string, content binary")
 
 
+def upsert(spark: SparkSession, found: DataFrame, edits: DataFrame) -> DataFrame:
+    """write_values() that also inserts entries that a file doesn't have."""
+    return write_values(spark, found, edits, inserting=True)
+
+
+def flush(written: DataFrame) -> None:
+    """Writes path, content back, each file by a temporary one beside it that takes its place. The folder must be shared
+    by the executors; a task that runs twice writes the same bytes."""
+
+    def run(rows: Iterator) -> None:
+        import os
+        import re
+        import uuid
+
+        for r in rows:
+            path = re.sub("^file:/*", "/", r["path"])
+            beside = f"{path}.{uuid.uuid4().hex}"
+            with open(beside, "wb") as f:
+                f.write(bytes(r["content"]))
+            os.replace(beside, path)
+
+    written.select("path", "content").foreachPartition(run)
+
+
 def syntax_findings(entries: DataFrame) -> DataFrame:
     return entries.filter("error is not null").select("path", "line", F.lit("syntax").alias("code"), F.lit("error").alias("severity"), F.col("error").alias("message"))
 

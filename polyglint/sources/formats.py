@@ -9,10 +9,14 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 
 @dataclass
 class Entry:
@@ -400,3 +404,18 @@ def splice(text: str, format_: str, edits: dict[tuple[str, str | None, str | Non
     for a, b, new in sorted(spans, reverse=True):
         text = text[:a] + ENCODERS[format_](new) + text[b:]
     return text
+
+
+# ---- literal codecs as Columns ------------------------------------------------------------------------------------------
+
+
+def _codec(f: Callable[[str], str]):
+    @F.pandas_udf(T.StringType())
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else f(t))
+
+    return run
+
+
+android_text, android_raw = _codec(decode_android), _codec(encode_android)
+c_quoted_udf, c_string_udf = _codec(c_quoted), _codec(c_string)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from .catalog import files, locale_of
 
 # What is read, and what is not.
-CODE = "swift m kt java js jsx ts tsx vue svelte dart py php rb cs html".split()
+CODE = "swift m mm kt kts java dart ts tsx js jsx mjs cjs vue svelte xml".split()
 WEB = "js jsx ts tsx vue svelte html htm astro".split()
-SKIPPED = "node_modules .git build dist target Pods vendor .dart_tool .next .venv venv out coverage DerivedData __pycache__".split()
+SKIPPED = "node_modules Pods build .build DerivedData target dist .next vendor .dart_tool Carthage .gradle out coverage __pycache__".split()
 NOT_COPY = r"(\.(test|spec|stories)\.[a-z]+|\.d\.ts|\.generated\.[a-z]+|/(__tests__|tests?|stories)/.*)$"
 
 

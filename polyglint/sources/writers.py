@@ -5,7 +5,12 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import ship
 from ..dims import CATEGORY_ORDER, GETTEXT_LABELS, GETTEXT_NPLURALS
 from .formats import PARSERS, c_quoted, encode_android
 
@@ -139,7 +144,55 @@ def insert(text: str, format_: str, key: str, value: str | dict[str, str] | list
         return text[:at] + ("" if not at or text[at - 1] == "\n" else "\n") + line + text[at:]
     if format_ == "po":
         return text.rstrip("\n") + "\n" + po_entry(key, value if isinstance(value, (str, dict)) else "")
-    raise ValueError(f"no inserts for {format_}")
+    if format_ == "json":
+        return json_locale(text, text, value if isinstance(value, dict) else {key: str(value)})
+    if format_ == "arb":
+        indent, tail = json_style(text)
+        return json.dumps(json.loads(text) | {key: value}, ensure_ascii=False, indent=indent) + tail
+    raise ValueError(f"{format_} has no inserts without a locale")
 
 
 EMPTY_ANDROID = '<?xml version="1.0" encoding="utf-8"?>\n<resources>\n</resources>\n'
+
+
+# ---- over tables -----------------------------------------------------------------------------------------------------
+
+
+def locale_files(spark: SparkSession, wanted: DataFrame) -> DataFrame:
+    """wanted: path, format (json, arb), locale, source (the source file's text), old (the locale's, or null), values (a map
+    of keys). path, content of the locale's files, in the style of their sources."""
+    ship(spark)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts = [arb_locale(s, loc, dict(v)) if kind == "arb" else json_locale(s, old, dict(v)) for kind, loc, s, old, v in zip(f.format, f.locale, f.source, f.old, f["values"], strict=True)]
+            yield pd.DataFrame({"path": f.path, "content": [t.encode() for t in texts]})
+
+    return wanted.select("path", "format", "locale", "source", "old", "values").mapInPandas(run, "path string, content binary")
+
+
+def rewritten(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """path, content of String Catalogs (path, content) in their editor's style."""
+    ship(spark)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts = [bytes(c).decode("utf-8-sig") for c in f.content]
+            yield pd.DataFrame({"path": f.path, "content": [(xcstrings_text(json.loads(t)) + t[len(t.rstrip()) :]).encode() for t in texts]})
+
+    return found.select("path", "content").mapInPandas(run, "path string, content binary")
+
+
+def templates(spark: SparkSession, wanted: DataFrame) -> DataFrame:
+    """locale, text of new, empty files. wanted: format (po, android, or resx with the source file's text), locale."""
+    ship(spark)
+    if "source" not in wanted.columns:
+        from pyspark.sql import functions as F
+
+        wanted = wanted.withColumn("source", F.lit(None).cast("string"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"locale": f.locale, "text": [po_header(loc) if kind == "po" else EMPTY_ANDROID if kind == "android" else resx_template(s) for kind, loc, s in zip(f.format, f.locale, f.source, strict=True)]})
+
+    return wanted.select("format", "locale", "source").mapInPandas(run, "locale string, text string")

@@ -28,7 +28,7 @@ def test_files_to_units_to_findings_and_back(spark, tmp_path):
     assert at == {"en.json": ("json", "en"), "de.json": ("json", "de"), "fr.json": ("json", "fr"), "strings.xml": ("android", "pt-BR")}
     entries = catalog.scan(spark, found.filter("format = 'json'")).cache()
     assert [r.message for r in catalog.syntax_findings(entries).collect()] == ["unexpected end of file"]
-    units = catalog.units(entries, "en").filter("translation is not null")
+    units = catalog.units(catalog.attached(entries), "en").filter("translation is not null")
     assert sorted((r.key, r.translation) for r in units.collect()) == [("hi", "Hallo {nome}"), ("menu.x", "Offen")]
     bad = checks.placeholder_findings(spark, units).collect()
     assert [(r.key, r.fix) for r in bad] == [("hi", "Hallo {name}")]

@@ -19,21 +19,45 @@ def test_check_a_project(spark, tmp_path):
     r = check.check(spark, str(tmp_path), cfg)
     found = {(x.code, x.key, x.locale) for x in r.findings.collect()}
     for want in (
-        ("placeholders", "hi", "pl"),
-        ("inconsistent", "menu.save3", "pl"),
-        ("orphan", "gone", "pl"),
-        ("duplicate", "gone", "pl"),
-        ("array", "r", "pl"),
-        ("punctuation", "old", "pl"),
-        ("placeholders", "two", "en"),
-        ("escape", "r", "pl"),
+        ("placeholders", "i18n/en.json:hi", "pl"),
+        ("inconsistent", "i18n/en.json:menu.save3", "pl"),
+        ("orphan", "i18n/en.json:gone", "pl"),
+        ("duplicate", "i18n/en.json:gone", "pl"),
+        ("array", "res/values/strings.xml:r", "pl"),
+        ("punctuation", "i18n/en.json:old", "pl"),
+        ("placeholders", "res/values/strings.xml:two", "en"),
+        ("escape", "res/values/strings.xml:r", "pl"),
     ):
         assert want in found, (want, found)
     assert ("syntax", None, None) in found
-    assert {x.fix for x in r.findings.filter("key = 'hi'").collect()} == {"Witaj {name}"}
+    assert {x.fix for x in r.findings.filter("key = 'i18n/en.json:hi'").collect()} == {"Witaj {name}"}
     assert [x.value for x in check.fixes(r).collect()] == ["Witaj {name}"]
 
 
+def test_two_modules_with_one_key(spark, tmp_path):
+    files = {
+        "a/en.json": '{"go": "Save", "stay": "Stay here"}',
+        "a/de.json": '{"go": "Speichern", "stay": "Bleib"}',
+        "b/en.json": '{"go": "Rescue"}',
+        "b/de.json": '{"go": "Retten"}',
+        "c/de.json": '{"go": "Fremd"}',
+    }
+    for name, text in files.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    specs = '[[files]]\nformat = "json"\npath = "{0}/en.json"\nlocale_path = "{0}/{{locale}}.json"\n'
+    cfg = config.load('source_locale = "en"\ntarget_locales = ["de", "fr"]\n' + specs.format("a") + specs.format("b") + '[keys]\nskip = ["b/en.json:none"]\n')
+    terms = spark.createDataFrame([("de", "stay", "verweil")], "locale string, term string, required string")
+    r = check.check(spark, str(tmp_path), cfg, glossary=terms)
+    assert {(u.key, u.locale, u.source, u.translation) for u in r.units.collect()} == {
+        ("a/en.json:go", "de", "Save", "Speichern"), ("a/en.json:go", "fr", "Save", None), ("a/en.json:stay", "de", "Stay here", "Bleib"),
+        ("a/en.json:stay", "fr", "Stay here", None), ("b/en.json:go", "de", "Rescue", "Retten"), ("b/en.json:go", "fr", "Rescue", None),
+    }
+    assert {tuple(c) for c in r.coverage.collect()} == {("de", 3, 3), ("fr", 3, 0)}
+    assert [(x.key, x.locale) for x in r.findings.filter("code = 'glossary'").collect()] == [("a/en.json:stay", "de")]
+
+
 def test_translate_only_what_changed(spark):
     units = spark.createDataFrame([("a", "de", "One {x}", None), ("b", "de", "Two", "Zwei"), ("c", "de", "Three", None)], "key string, locale string, source string, translation string")
     from pyspark.sql import functions as F

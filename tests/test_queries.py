@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from polyglint.plans import more, registry, scalars  # noqa: F401
+from polyglint.plans import catalogs, more, registry, scalars  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
