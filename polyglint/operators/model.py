@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,35 @@ def prompts(requests: DataFrame) -> DataFrame:
     return requests.withColumn("prompt", F.concat_ws("\n", *parts))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared checkpoint folder; where none is set, as on one machine, in memory and on disk."""
+    sc = df.sparkSession.sparkContext
+    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        return df.persist()
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return df.checkpoint()
+
+
+def retrying(ask: Callable[[str], str], tries: int = 3, first_ms: int = 500, fatal: tuple[type[Exception], ...] = (), sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
+    """ask with retries after 500, 1000 ... milliseconds; a fatal error, and the last one, go through."""
+
+    def run(text: str) -> str:
+        for n in range(tries):
+            try:
+                return ask(text)
+            except fatal:
+                raise
+            except Exception:
+                if n == tries - 1:
+                    raise
+                sleep(first_ms * 2**n / 1000)
+        raise ValueError("tries must be positive")
+
+    return run
+
+
 def problems() -> Column:
     """Why a reply can't be used, or null: blank, placeholders, runaway length (3 times and 20 characters)."""
     s, t = X.trimmed(F.col("source")), X.trimmed(F.col("reply"))
@@ -43,7 +73,8 @@ def translate(spark: SparkSession, requests: DataFrame, provider: Provider = moc
         rows = rows.withColumn("mismatch", P.mismatch_udf("source", "reply", "locale", F.lit(None).cast("string")))
         return rows.withColumn("problem", problems()).drop("mismatch")
 
-    first = asked(requests.select("key", "locale", "source"), provider)
+    # first replies are kept: a provider is asked once, and need not answer alike twice
+    first = kept(asked(requests.select("key", "locale", "source"), provider))
     good = first.filter("problem is null").withColumn("state", F.lit("accepted"))
     again = asked(first.filter("problem is not null").select("key", "locale", "source"), second or provider)
     return good.unionByName(again.withColumn("state", F.when(F.col("problem").isNull(), "repaired").otherwise("quarantined")))
@@ -60,7 +91,9 @@ def matched_verdicts(requests: DataFrame, verdicts: DataFrame) -> DataFrame:
     norm = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
     r = requests.withColumn("n", norm(F.col("source")))
     v = verdicts.select("batch", F.col("ordinal").alias("vo"), "name", "score", norm(F.col("name")).alias("vn"))
-    by_key = r.join(v, (r.batch == v.batch) & ((r.key == v.name) | (r.source == v.name))).select(r.batch, r.ordinal, "score", F.lit(1).alias("rank"))
+    # two equality joins: with an OR, only the batch would be left to join on
+    named = [r.join(v, (r.batch == v.batch) & (r[c] == v.name)).select(r.batch, r.ordinal, "score", F.lit(1).alias("rank")) for c in ("key", "source")]
+    by_key = named[0].union(named[1])
     by_place = r.join(v.filter("name is null"), (r.batch == v.batch) & (r.ordinal == v.vo)).select(r.batch, r.ordinal, "score", F.lit(2).alias("rank"))
     fuzzy = r.join(v, (r.batch == v.batch) & (r.n == v.vn)).select(r.batch, r.ordinal, "score")
     fuzzy = fuzzy.groupBy("batch", "ordinal").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n")).filter("n = 1").select("batch", "ordinal", "score", F.lit(3).alias("rank"))

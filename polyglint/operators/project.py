@@ -6,10 +6,13 @@ import json
 import re
 import tomllib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as X
+from ..session import ship
 
 # ---- side tables from files ------------------------------------------------------------------------------------------
 
@@ -193,13 +196,26 @@ def catalog_keys(copy: DataFrame) -> DataFrame:
     return rows.join(shared, "base").select(F.when(F.col("n") > 1, F.concat("base", F.lit("_"), F.substring(F.sha2("text", 256), 1, 6))).otherwise(F.col("base")).alias("key"), "text")
 
 
-def json_object(c: Column) -> Column:
-    """The outermost {...} in a model's reply, as text."""
-    return F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+def outer_object(text: str) -> str | None:
+    """The first {...} in a text that is a JSON object, whatever braces the prose around it has."""
+    at, decoder = text.find("{"), json.JSONDecoder()
+    while at >= 0:
+        try:
+            _, end = decoder.raw_decode(text, at)
+            return text[at:end]
+        except ValueError:
+            at = text.find("{", at + 1)
+    return None
+
+
+@F.pandas_udf(StringType())
+def json_object(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else outer_object(t))
 
 
 def reply_rows(replies: DataFrame) -> DataFrame:
     """batch, reply -> batch, key, translation: from {"translations": [{key, translation}]} or {key: translation}."""
+    ship(replies.sparkSession)
     body = json_object(F.col("reply"))
     full = F.from_json(body, "translations array<struct<key:string,translation:string>>")["translations"]
     short = F.transform(F.map_entries(F.from_json(body, "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("translation")))

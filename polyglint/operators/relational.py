@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ..functions import text as X
+from ..session import ship
 
 #: Rows of a side table that may be broadcast; beyond it, Spark chooses.
 MOST = 100_000
@@ -176,19 +181,39 @@ def snippets(lines: DataFrame, radius: int = 6, clip: int = 200) -> DataFrame:
 # ---- batches, budgets, ranks -----------------------------------------------------------------------------------------
 
 
+def folded(rows: DataFrame, group: str, order: list[str], out: str, kind: str, start: Callable[[], object], step: Callable[[object, tuple], object]) -> DataFrame:
+    """A fold over each group's rows in order that gives every row a value: a state is carried along sorted partitions, so
+    a task holds one state and one batch of rows, whatever a group's size. step(state, row) -> (state, value)."""
+    ship(rows.sparkSession)
+    names = [group, *order]
+    schema = StructType([*[rows.schema[c] for c in names], StructField(out, StringType() if kind == "string" else LongType() if kind == "long" else BooleanType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = object(), None
+        for frame in frames:
+            values = []
+            for row in frame.itertuples(index=False, name=None):
+                if row[0] != at:
+                    at, state = row[0], start()
+                state, value = step(state, row)
+                values.append(value)
+            yield frame[names].assign(**{out: values})
+
+    return rows.repartition(group).sortWithinPartitions(*names).mapInPandas(run, schema)
+
+
 def greedy_batches(rows: DataFrame, group: str, order: str, size: str, most: int = 20, most_chars: int = 2500) -> DataFrame:
     """Cuts each group's rows, in order, into batches of at most `most` rows and most_chars characters: a fold, as every
     cut starts the sums anew."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("z"))))
-    zero = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c"), F.array().cast("array<struct<o:bigint,b:bigint>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        cut = (a["n"] > 0) & ((a["n"] >= most) | (a["c"] + x["z"] > most_chars))
-        b = F.when(cut, a["b"] + 1).otherwise(a["b"])
-        return F.struct(b.alias("b"), F.when(cut, F.lit(1)).otherwise(a["n"] + 1).cast("long").alias("n"), F.when(cut, x["z"]).otherwise(a["c"] + x["z"]).alias("c"), F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), b.alias("b")))).alias("out"))
+    def step(state: tuple, row: tuple) -> tuple:
+        batch, n, chars = state
+        z = int(row[2])
+        if n and (n >= most or chars + z > most_chars):
+            batch, n, chars = batch + 1, 0, 0
+        return (batch, n + 1, chars + z), batch
 
-    folded = rows.groupBy(group).agg(F.aggregate(items, zero, step)["out"].alias("out"))
-    return folded.select(group, F.explode("out").alias("x")).select(group, F.col("x.o").alias(order), F.col("x.b").alias("batch"))
+    return folded(rows.select(group, order, size), group, [order, size], "batch", "long", lambda: (0, 0, 0), step).drop(size)
 
 
 def chunks(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -204,8 +229,10 @@ def within_budget(rows: DataFrame, group: str, order: str, cost: str, budget: in
 def first_per_code(findings: DataFrame, n: int = 20) -> DataFrame:
     """What a text report shows of each code, and how many rows it leaves out."""
     w = Window.partitionBy("code").orderBy("file", "locale", "key")
-    total = F.count(F.lit(1)).over(Window.partitionBy("code"))
-    return findings.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("hidden", F.greatest(total - n, F.lit(0)).cast("long")).filter(F.col("rank") <= n)
+    # the limit is on the rank alone, so that Spark applies it before it shuffles; codes are few
+    first = findings.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("long"))
+    hidden = findings.groupBy("code").agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).cast("long").alias("hidden"))
+    return first.join(small(hidden), "code").select(*findings.columns, "rank", "hidden")
 
 
 def duplicate_keys(entries: DataFrame) -> DataFrame:
@@ -274,16 +301,20 @@ def line_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def limited(events: DataFrame, key: str, time: str, order: str, most: int, window_seconds: int) -> DataFrame:
     """Sliding-window admission, in event order: at most `most` accepted events in any window; rejected ones don't count."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(time).cast("timestamp").alias("t"), F.col(order).alias("o"))))
-    zero = F.struct(F.array().cast("array<timestamp>").alias("live"), F.array().cast("array<struct<o:bigint,ok:boolean>>").alias("out"))
+    from collections import deque
+
+    window = window_seconds * 1_000_000
 
-    def step(a: Column, x: Column) -> Column:
-        live = F.filter(a["live"], lambda t: t > x["t"] - F.expr(f"INTERVAL {window_seconds} SECONDS"))
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.concat(live, F.array(x["t"]))).otherwise(live).alias("live"), F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), ok.alias("ok")))).alias("out"))
+    def step(live: deque, row: tuple) -> tuple:
+        while live and live[0] <= row[1] - window:
+            live.popleft()
+        ok = len(live) < most
+        if ok:
+            live.append(row[1])
+        return live, ok
 
-    folded = events.groupBy(key).agg(F.aggregate(items, zero, step)["out"].alias("out"))
-    return folded.select(key, F.explode("out").alias("x")).select(key, F.col("x.o").alias(order), F.col("x.ok").alias("accepted"))
+    rows = events.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("_at"), order)
+    return folded(rows, key, ["_at", order], "accepted", "boolean", deque, step).drop("_at")
 
 
 # ---- small aggregates ------------------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +15,49 @@ def json_report(findings: DataFrame, coverage: DataFrame | None = None) -> DataF
     return findings.orderBy("file", "locale", "key", "code").select(F.to_json(F.struct("file", "line", "key", "locale", "code", "severity", "message")).alias("json"))
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
+def json_summary(findings: DataFrame, coverage: DataFrame, baseline_known: int | None = None, baseline_stale: int | None = None) -> DataFrame:
+    """One row of JSON with a report's totals: errors, warnings, what was checked, coverage of each locale ([done, total]),
+    and the baseline's counts if there is one. What it gathers is a row for each locale."""
+    totals = findings.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("locale", F.array("done", "total")))))
+    per = coverage.agg(F.coalesce(F.sum("done"), F.lit(0)).alias("checked"), pairs.alias("coverage"))
+    parts = ["errors", "warnings", "checked", "coverage"]
+    out = totals.crossJoin(per)  # one row each
+    if baseline_known is not None:
+        out = out.withColumn("baseline", F.struct(F.lit(baseline_known).alias("known"), F.lit(baseline_stale or 0).alias("stale")))
+        parts.append("baseline")
+    return out.select(F.to_json(F.struct(*parts)).alias("json"))
+
+
+def sarif_log(findings: DataFrame, tool: str = "polyglint") -> DataFrame:
+    """part, text: a SARIF 2.1.0 log as rows to be written in order of part, then of findings: the envelope up to its
+    results, the results with commas between them, and the end. No task holds the whole log."""
+    head = json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": tool, "rules": sarif_rules()}}, "results": []}]}, separators=(",", ":"))
+    spark = findings.sparkSession
+    ends = spark.createDataFrame([(0, "", head[: -len("]}]}")]), (2, "", "]}]}")], "part int, at string, text string")
+    at = F.concat_ws("\u0001", "file", "locale", "key", "code")
+    first = findings.agg(F.min(at).alias("first"))
+    rows = sarif_results(findings.withColumn("_at", at), keep="_at").crossJoin(first)  # one row
+    rows = rows.select(F.lit(1).alias("part"), F.col("_at").alias("at"), F.concat(F.when(F.col("_at") == F.col("first"), "").otherwise(","), "json").alias("text"))
+    return ends.union(rows).orderBy("part", "at").select("part", "text")
+
+
+def job_summary(findings: DataFrame, coverage: DataFrame, rows: int = 100, worst: int = 10) -> DataFrame:
+    """part, place, line: a table of the first findings (keys clipped to 60 characters), and the least covered locales."""
+    clip = F.when(F.length("key") > 60, F.concat(F.left("key", F.lit(59)), F.lit("…"))).otherwise(F.col("key"))
+    order = ["file", "locale", "key", "code"]
+    top = findings.orderBy(*order).limit(rows).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # `rows` rows
+    a = top.select(F.lit(1).alias("part"), "place", F.concat(F.lit("| "), F.concat_ws(" | ", "severity", "code", "locale", clip, "message"), F.lit(" |")).alias("line"))
+    percent = F.floor(100 * F.col("done") / F.greatest("total", F.lit(1)))
+    low = coverage.withColumn("percent", percent).orderBy("percent", "locale").limit(worst).withColumn("place", F.row_number().over(Window.orderBy("percent", "locale")))
+    return a.union(low.select(F.lit(2), "place", F.format_string("| %s | %d/%d | %d%% |", "locale", "done", "total", "percent")))
+
+
+def sarif_results(findings: DataFrame, keep: str | None = None) -> DataFrame:
     """A SARIF 2.1.0 result per finding, with a stable fingerprint."""
     mark = F.concat_ws(":", "file", "key", "locale", "code")
     place = F.array(F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.coalesce("line", F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation")))
-    return findings.select(F.to_json(F.struct(F.col("code").alias("ruleId"), F.col("severity").alias("level"), F.struct(F.concat_ws(" ", F.concat(F.lit("["), "locale", F.lit("]")), "key", "message").alias("text")).alias("message"), place.alias("locations"), F.struct(mark.alias("findingKey")).alias("partialFingerprints"))).alias("json"))
+    return findings.select(F.to_json(F.struct(F.col("code").alias("ruleId"), F.col("severity").alias("level"), F.struct(F.concat_ws(" ", F.concat(F.lit("["), "locale", F.lit("]")), "key", "message").alias("text")).alias("message"), place.alias("locations"), F.struct(mark.alias("findingKey")).alias("partialFingerprints"))).alias("json"), *([keep] if keep else []))
 
 
 def sarif_rules() -> list[dict]:

@@ -500,3 +500,11 @@ def f22(spark, d):
 def _tags(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("lang")
     return _table(spark, d, "documents").select(F.when(m == "en", "en-GB").when(m == "fr", "fr_CA").when(m == "es", "es-419").when(m == "de", "de").otherwise("xx").alias("tag")).distinct()
+
+
+@query("t8_size_guard", "SELECT p_partkey AS id, p_brand AS repository FROM part WHERE p_brand IN (SELECT s FROM (SELECT p_brand AS s, sum(p_size) AS bytes FROM part GROUP BY p_brand) WHERE bytes <= 200)")
+def t8(spark, d):
+    from ..streaming.limiter import within_size
+
+    p = _table(spark, d, "part")
+    return within_size(p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("repository")), p.groupBy(F.col("p_brand").alias("repository")).agg(F.sum("p_size").alias("bytes")), 200)

@@ -166,6 +166,23 @@ report(
     || '}}}],"partialFingerprints":{"findingKey":"' || file || ':' || key || ':' || locale || ':' || code || '"}}' AS json FROM g""",
     render.sarif_results,
 )
+report(
+    "k12_json_summary",
+    """SELECT '{"errors":' || CAST(count(*) FILTER (severity = 'error') AS VARCHAR) || ',"warnings":' || CAST(count(*) FILTER (severity = 'warning') AS VARCHAR) || ',"checked":' || CAST((SELECT count(*) FROM g WHERE line IS NOT NULL) AS VARCHAR)
+    || ',"coverage":{' || (SELECT string_agg('"' || locale || '":[' || CAST(done AS VARCHAR) || ',' || CAST(total AS VARCHAR) || ']', ',' ORDER BY locale) FROM (SELECT locale, count(line) AS done, count(*) AS total FROM g GROUP BY locale)) || '},"baseline":{"known":3,"stale":0}}' AS json FROM g""",
+    lambda f: render.json_summary(f, f.groupBy("locale").agg(F.count("line").alias("done"), F.count(F.lit(1)).alias("total")), 3, 0),
+)
+report(
+    "k13_sarif_log",
+    """SELECT 1 AS part, count(*) AS n, count(*) - 1 AS commas FROM g UNION ALL SELECT 0, 1, 0 UNION ALL SELECT 2, 1, 0""",
+    lambda f: render.sarif_log(f).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").startswith(",")).alias("commas")),
+)
+report(
+    "k14_job_summary",
+    """SELECT 1 AS part, place, '| ' || severity || ' | ' || code || ' | ' || locale || ' | ' || CASE WHEN length(key) > 60 THEN left(key, 59) || '…' ELSE key END || ' | ' || message || ' |' AS line FROM (SELECT *, row_number() OVER (ORDER BY file, locale, key, code) AS place FROM g) WHERE place <= 100
+    UNION ALL SELECT 2, place, '| ' || locale || ' | ' || CAST(done AS VARCHAR) || '/' || CAST(total AS VARCHAR) || ' | ' || CAST(percent AS VARCHAR) || '% |' FROM (SELECT *, row_number() OVER (ORDER BY percent, locale) AS place FROM (SELECT locale, count(line) AS done, count(*) AS total, CAST(floor(100 * count(line) / count(*)) AS BIGINT) AS percent FROM g GROUP BY locale)) WHERE place <= 10""",
+    lambda f: render.job_summary(f, f.groupBy("locale").agg(F.count("line").alias("done"), F.count(F.lit(1)).alias("total"))),
+)
 report("k14_annotations", "SELECT '::' || severity || ' file=' || file || CASE WHEN line IS NULL THEN '' ELSE ',line=' || CAST(line AS VARCHAR) END || ',title=' || code || ' ' || locale || '::' || key || ': ' || replace(message, '%', '%25') AS line FROM g", render.annotations)
 report(
     "k15_review_comments",
@@ -198,7 +215,7 @@ def f28(spark, d):
     key = F.concat(F.lit("k"), F.col("turn").cast("string"))
     full = F.to_json(F.struct(F.array(F.struct(key.alias("key"), F.col("role").alias("translation"))).alias("translations")))
     short = F.to_json(F.create_map(key, F.col("role")))
-    return J.reply_rows(c.select(F.col("conv_id").alias("batch"), F.concat(F.lit("Sure: "), F.when(F.col("turn") % 2 == 0, full).otherwise(short), F.lit(" done.")).alias("reply")))
+    return J.reply_rows(c.select(F.col("conv_id").alias("batch"), F.concat(F.lit("Sure {as asked}: "), F.when(F.col("turn") % 2 == 0, full).otherwise(short), F.lit(" done {x}.")).alias("reply")))
 
 
 @query("j17_verdicts", "SELECT doc_id % 5 AS batch, CAST(doc_id AS INT) AS ordinal, CASE WHEN doc_id % 3 = 0 THEN doc_id % 6 END AS score FROM documents")

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "user_id long, event_id long, accepted boolean"
@@ -50,3 +51,8 @@ def only_requests(raw: DataFrame) -> DataFrame:
     e = raw.select(F.from_json("value", schema).alias("e")).select("e.*")
     wanted = F.col("action").isin("opened", "synchronize", "reopened", "ready_for_review") & ~F.coalesce("pull_request.draft", F.lit(False))
     return e.filter(wanted).select(F.col("installation.id").alias("installation"), F.col("repository.full_name").alias("repository"), F.col("pull_request.number").alias("number"), F.col("pull_request.head.sha").alias("sha"))
+
+
+def within_size(requests: DataFrame, sizes: DataFrame, most_bytes: int = 500_000_000) -> DataFrame:
+    """requests: repository; sizes: repository, bytes. Only repositories of a known size within the limit are reviewed."""
+    return requests.join(sizes.filter(F.col("bytes") <= most_bytes).select("repository").distinct(), "repository", "left_semi")

@@ -45,7 +45,7 @@ def test_plurals():
 
 
 def test_pseudo_keeps_what_is_not_text():
-    assert P.pseudo("Hi %d <b>{x}</b> &amp;") == "[Ĥí %d <b>{x}</b> &amp;~]"
+    assert P.pseudo("Hi %d <b>{x}</b> &amp;") == "[Ĥí %d <b>{x}</b> &amp; ~]"
     assert P.compare("Hi %d {x}", P.pseudo("Hi %d {x}")) is None
 
 
@@ -59,3 +59,16 @@ def test_every_mutation_is_caught_and_no_identity_is():
         gone = r.choice(parts)
         assert P.compare(text, text.replace(gone, "", 1)) is not None
         assert P.compare(text, text + " {extra}") is not None
+
+
+def test_open_braces_take_linear_time():
+    import time
+
+    from polyglint.functions import placeholders as H
+
+    began = time.time()
+    for text in ("{" * (1 << 20), "{ " * (1 << 19), "{a" * (1 << 19), "{a}" * (1 << 18)):
+        H.prose(text)
+        H.extract(text)
+    assert time.time() - began < 20
+    assert [p.canonical for p in H.extract("{a} {{b}} {c {d")] == ["{a}", "{{b}}"] and H.prose("a {b {c}} d {e") == "a  d {e"

@@ -67,3 +67,34 @@ def test_source_trees(spark, tmp_path):
     found = {(r.format, r.template.rsplit("/", 2)[1] + "/" + r.template.rsplit("/", 1)[1]): r.locales for r in trees.layouts(spark, str(tmp_path)).collect()}
     assert found[("json", "i18n/{locale}.json")] == ["de", "en"] and found[("android", "values-{locale}/strings.xml")] == ["de"]
     assert trees.is_remote("https://a.b/c") and trees.is_remote("own/repo") and not trees.is_remote("/tmp")
+
+
+def test_flush_replaces_files(spark, tmp_path):
+    from polyglint.sources import catalog
+
+    (tmp_path / "en.json").write_text('{"a": "x"}')
+    found = catalog.files(spark, str(tmp_path))
+    path = found.first().path
+    edits = spark.createDataFrame([(path, "a", None, None, None, "y"), (path, "b", None, None, None, "z")], "path string, key string, locale string, category string, index int, value string")
+    catalog.flush(catalog.upsert(spark, found, edits))
+    assert (tmp_path / "en.json").read_text() == '{"a": "y", "b": "z"}' and len(list(tmp_path.glob("*json*"))) == 1
+
+
+def test_retries():
+    import pytest
+
+    from polyglint.operators.model import retrying
+
+    slept, calls = [], []
+
+    def ask(text):
+        calls.append(text)
+        if len(calls) < 3:
+            raise OSError
+        return text.upper()
+
+    assert retrying(ask, sleep=slept.append)("a") == "A" and slept == [0.5, 1.0]
+    calls.clear()
+    with pytest.raises(OSError):
+        retrying(ask, fatal=(OSError,), sleep=slept.append)("a")
+    assert len(calls) == 1
