@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 
@@ -108,3 +110,20 @@ def extracted(spark: SparkSession, sources: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "line", "kind", "text", "start", "end", "skipped"])
 
     return sources.select("path", "text").mapInPandas(run, "path string, line int, kind string, text string, start int, end int, skipped string")
+
+
+def rewritten(spark: SparkSession, sources: DataFrame, call: str = "t", importing: str | None = None) -> DataFrame:
+    """path, text of sources (path, text, keys: a map of texts to keys) whose copy is replaced by calls."""
+    ship(spark)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"path": frame.path, "text": [rewrite(t or "", dict(k or {}), call, importing) for t, k in zip(frame.text, frame["keys"], strict=True)]})
+
+    return sources.select("path", "text", "keys").mapInPandas(run, "path string, text string")
+
+
+@F.pandas_udf(T.StringType())
+def interpolated_udf(text: pd.Series) -> pd.Series:
+    """The text with numbered placeholders, and behind a unit separator the expressions."""
+    return text.map(lambda t: None if t is None else "\x1f".join((x := interpolated(t))[:1] + tuple(x[1])))

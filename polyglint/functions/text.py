@@ -253,3 +253,11 @@ def latin_letters(c: Column) -> Column:
 def lost_links(source: Column, translation: Column) -> Column:
     """Links of the source that the translation lacks, each once."""
     return F.array_except(links(source), links(translation))
+
+
+def locale_suffix(stem: Column) -> Column:
+    """prefix, locale of a file's stem: split at the first `_`, `-` or `.` whose tail is a locale; null locale if none."""
+    parts = F.regexp_extract_all(stem, F.lit(r"[_.-]?[^_.-]+"), F.lit(0))
+    at = F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2)))
+    tails = F.transform(at, lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k - 1), "").alias("prefix"), F.regexp_replace(F.array_join(F.slice(parts, k, F.size(parts)), ""), "^[_.-]", "").alias("locale")))
+    return F.coalesce(F.get(F.filter(tails, lambda x: is_locale(x["locale"])), F.lit(0)), F.struct(stem.alias("prefix"), F.lit(None).cast("string").alias("locale")))

@@ -8,11 +8,12 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import markup
 from ..functions import placeholders as H
 from ..functions import text as X
 from ..operators import project as J
 from ..operators import relational as R
-from ..sources import catalog, formats, writers
+from ..sources import catalog, formats, trees, writers
 from .registry import _table, query
 
 ID = F.regexp_extract("path", r"f([0-9]+)/", 1).cast("long").alias("id")
@@ -508,3 +509,83 @@ def t8(spark, d):
 
     p = _table(spark, d, "part")
     return within_size(p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("repository")), p.groupBy(F.col("p_brand").alias("repository")).agg(F.sum("p_size").alias("bytes")), 200)
+
+
+PATHS = "CASE p_partkey % 8 WHEN 0 THEN 'src/' WHEN 1 THEN 'node_modules/a/' WHEN 2 THEN 'app/build/' WHEN 3 THEN 'lib/tests/' ELSE 'lib/' END || replace(p_name, ' ', '_') || CASE p_size % 7 WHEN 0 THEN '.kts' WHEN 1 THEN '.tsx' WHEN 2 THEN '.test.ts' WHEN 3 THEN '.d.ts' WHEN 4 THEN '.html' WHEN 5 THEN '.rs' ELSE '.mm' END"
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    m, n = F.col("p_partkey") % 8, F.col("p_size") % 7
+    folder = F.when(m == 0, "src/").when(m == 1, "node_modules/a/").when(m == 2, "app/build/").when(m == 3, "lib/tests/").otherwise("lib/")
+    tail = F.when(n == 0, ".kts").when(n == 1, ".tsx").when(n == 2, ".test.ts").when(n == 3, ".d.ts").when(n == 4, ".html").when(n == 5, ".rs").otherwise(".mm")
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(folder, F.replace("p_name", F.lit(" "), F.lit("_")), tail).alias("path"))
+
+
+@query("s17_source_paths", f"SELECT p_partkey AS id, {PATHS} AS path FROM part WHERE p_partkey % 8 NOT IN (1, 2) AND p_size % 7 NOT IN (4, 5)")
+def s17(spark, d):
+    return _paths(spark, d).filter(trees.is_source(F.col("path")))
+
+
+@query("s18_web_source_paths", f"SELECT p_partkey AS id, {PATHS} AS path FROM part WHERE p_partkey % 8 NOT IN (1, 2, 3) AND p_size % 7 IN (1, 4)")
+def s18(spark, d):
+    return _paths(spark, d).filter(trees.is_web_source(F.col("path")))
+
+
+@query("p18_remote_addresses", "SELECT p_partkey AS id, p_partkey % 5 < 3 AS remote FROM part")
+def p18(spark, d):
+    m = F.col("p_partkey") % 5
+    address = F.when(m == 0, made("https://git.example.com/a<id>.git")).when(m == 1, made("git@example.com:a/b<id>")).when(m == 2, made("owner/repo<id>")).when(m == 3, made("./folder/<id>")).otherwise(made("folder<id>"))
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("id"), trees.remote(address).alias("remote"))
+
+
+@query("p11_locale_suffixes", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'app' WHEN 1 THEN 'my_app' WHEN 2 THEN 'app_widget' ELSE 'app' END AS prefix, CASE p_size % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'pt_BR' WHEN 2 THEN NULL ELSE 'sr-Latn' END AS locale FROM part")
+def p11(spark, d):
+    m = F.col("p_size") % 4
+    stem = F.when(m == 0, "app_de").when(m == 1, "my_app_pt_BR").when(m == 2, "app_widget").otherwise("app.sr-Latn")
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.locale_suffix(stem).alias("x")).select("id", "x.prefix", "x.locale")
+
+
+@query("f23_interpolations", "SELECT p_partkey AS id, 'Hi {{0}}, ' || p_name || ' costs {{1}}' AS text, 'user.name|p' || CAST(p_size AS VARCHAR) AS expressions FROM part")
+def f23(spark, d):
+    from ..session import ship
+
+    ship(spark)
+    parts = F.split(markup.interpolated_udf(made("Hi ${user.name}, <name> costs {p<size>}")), "\x1f")
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("id"), parts[0].alias("text"), F.array_join(F.slice(parts, 2, 9), "|").alias("expressions"))
+
+
+COMPONENT = '<div>\n  <h1>Buy <name> now</h1>\n  <img alt="Photo of <brand>" src="x.png"/>\n  {/* <p>Not this</p> */}\n  <code>let me be</code>\n</div>\nconst a = { label: "Size <size> only" };\n'
+
+
+@query(
+    "f27_component_copy",
+    rows("kind text line", "'text' ; 'Buy ' || p_name || ' now' ; CAST(2 AS BIGINT)", "'attribute' ; 'Photo of ' || p_brand ; CAST(3 AS BIGINT)", f"'property' ; 'Size ' || {SIZE} || ' only' ; CAST(7 AS BIGINT)"),
+)
+def f27(spark, d):
+    sources = _table(spark, d, "part").select(made("f<id>/x.tsx").alias("path"), made(COMPONENT).alias("text"))
+    return markup.extracted(spark, sources).filter("skipped is null").select(ID, "kind", "text", F.col("line").cast("long").alias("line"))
+
+
+@query("k19_rewritten_sources", """SELECT p_partkey AS id, 'import { t } from "./i18n"' || chr(10) || '<h1>{t("buy")}</h1>' || chr(10) || '<p title={t("hint")}>' || p_brand || ' is good</p>' AS text FROM part""")
+def k19(spark, d):
+    text = made('<h1>Buy <name> now</h1>\n<p title="Look at <size>"><brand> is good</p>')
+    keys = F.create_map(made("Buy <name> now"), F.lit("buy"), made("Look at <size>"), F.lit("hint"))
+    sources = _table(spark, d, "part").select(made("f<id>/x.tsx").alias("path"), text.alias("text"), keys.alias("keys"))
+    return markup.rewritten(spark, sources, importing='import { t } from "./i18n"').select(ID, "text")
+
+
+@query("k22_bulk_values", """SELECT p_partkey AS id, '"a" = "' || p_name || '";' || chr(10) || '"b" = "' || p_brand || '";' || chr(10) || '"c" = "' || CAST(p_size AS VARCHAR) || '";' || chr(10) AS text FROM part""")
+def k22(spark, d):
+    """Three edits of each file, which is parsed and written once."""
+    edits = _edit(spark, d, "a", "<name>", "x").union(_edit(spark, d, "b", "<brand>", "x")).union(_edit(spark, d, "c", "<size>", "x"))
+    return _written(catalog.write_values(spark, found(spark, d, "strings", {"x": '"a" = "1";\n"b" = "2";\n"c" = "3";\n'}), edits))
+
+
+@query("s24_plural_units", "SELECT p_partkey AS id, c AS category, CASE c WHEN 'one' THEN p_name ELSE p_brand END AS source FROM part, (VALUES ('one'), ('few'), ('many'), ('other')) t(c)")
+def s24(spark, d):
+    """Units of an Android plural for a target that needs more forms than its source has: the others take the source's `other`."""
+    text = '<resources><plurals name="n"><item quantity="one"><name></item><item quantity="other"><brand></item></plurals></resources>'
+    e = catalog.scan(spark, found(spark, d, "android", {"values/strings.xml": text}))
+    forms = e.select(F.concat_ws("/", F.regexp_extract("path", "f([0-9]+)/", 1), "key").alias("key"), "category", F.col("text").alias("source"))
+    out = R.plural_units(forms, spark.createDataFrame([("one",), ("few",), ("many",), ("other",)], "category string"))
+    return out.select(F.split("key", "/")[0].cast("long").alias("id"), X.plural_category(F.col("key")).alias("category"), "source")

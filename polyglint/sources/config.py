@@ -44,3 +44,35 @@ def load(text: str) -> Config:
     t = tomllib.loads(text)
     keys = t.get("keys", {})
     return Config(t.get("source_locale", "en"), t.get("target_locales", []), t.get("files", []), float(t.get("length_ratio", 2.5)), int(t.get("batch_size", 20)), keys.get("skip", []), {k: v if isinstance(v, list) else [v] for k, v in keys.get("ignore", {}).items()})
+
+
+def with_locales(text: str, add: list[str] = (), remove: list[str] = ()) -> str:
+    """The configuration with target locales added or removed, everything else, comments too, as it was."""
+    import re
+
+    have = tomllib.loads(text).get("target_locales", [])
+    wanted = [x for x in have if x not in remove] + [x for x in add if x not in have]
+    line = "target_locales = [" + ", ".join(f'"{x}"' for x in wanted) + "]"
+    at = re.compile(r"^target_locales\s*=\s*\[[^\]]*\]", re.MULTILINE)
+    return at.sub(lambda m: line, text, count=1) if at.search(text) else line + "\n" + text
+
+
+def doctor(text: str, root: str) -> list[str]:
+    """What keeps a project from being checked or translated, in words; nothing if it is ready."""
+    from pathlib import Path
+
+    try:
+        c = load(text)
+    except (tomllib.TOMLDecodeError, ValueError) as e:
+        return [f"the configuration doesn't parse: {e}"]
+    out = [*hints(text)]
+    if not c.target_locales:
+        out.append("no target locales")
+    if c.source_locale in c.target_locales:
+        out.append(f"`{c.source_locale}` is both source and target")
+    for f in c.files:
+        if not (Path(root) / f["path"]).is_file():
+            out.append(f"{f['path']} is missing")
+        if f.get("locale_path") and "{locale}" not in f["locale_path"] and "{android_locale}" not in f["locale_path"]:
+            out.append(f"{f['locale_path']} names no locale")
+    return out

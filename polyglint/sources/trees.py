@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import files, locale_of
@@ -14,14 +15,25 @@ from .catalog import files, locale_of
 CODE = "swift m mm kt kts java dart ts tsx js jsx mjs cjs vue svelte xml".split()
 WEB = "js jsx ts tsx vue svelte html htm astro".split()
 SKIPPED = "node_modules Pods build .build DerivedData target dist .next vendor .dart_tool Carthage .gradle out coverage __pycache__".split()
+#: What a locale adds to the path of a catalog: its folder, or a part of the file's name.
+SET = re.compile(r"(?:(?<=/)|^)(?:values(?:-[^/]+)?(?=/)|[A-Za-z-]+(?=\.lproj/)|[a-z]{2,3}(?:[-_][A-Za-z0-9]+)*(?=/|\.(?:json|po)$))|_[a-z]{2,3}(?:_[A-Za-z0-9]+)*(?=\.arb$)|\.[a-z]{2,3}(?:-[A-Za-z0-9]+)*(?=\.res[xw]$)")
 NOT_COPY = r"(\.(test|spec|stories)\.[a-z]+|\.d\.ts|\.generated\.[a-z]+|/(__tests__|tests?|stories)/.*)$"
 
 
+def is_source(path: Column, extensions: list[str] = CODE) -> Column:
+    """A source file outside folders of built or foreign code."""
+    return path.rlike(rf"\.({'|'.join(extensions)})$") & ~path.rlike(rf"(^|/)({'|'.join(s.replace('.', '[.]') for s in SKIPPED)})/")
+
+
+def is_web_source(path: Column) -> Column:
+    """A component source that is neither a test, nor a story, nor declared or generated."""
+    return is_source(path, WEB) & ~path.rlike(NOT_COPY)
+
+
 def sources(spark: SparkSession, root: str, extensions: list[str] = CODE, most_bytes: int = 1_000_000) -> DataFrame:
     """path, text of source files; folders of built or foreign code, and files that are too large, are left out unread."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    keep = F.col("path").rlike(rf"\.({'|'.join(extensions)})$") & ~F.col("path").rlike(rf"/({'|'.join(s.replace('.', '[.]') for s in SKIPPED)})/") & (F.col("length") <= most_bytes)
-    return rows.filter(keep).select("path", F.decode("content", "UTF-8").alias("text"))
+    return rows.filter(is_source(F.col("path"), extensions) & (F.col("length") <= most_bytes)).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def web_sources(spark: SparkSession, root: str) -> DataFrame:
@@ -63,7 +75,22 @@ def mirrored(address: str, cache: str) -> str:
     return str(at)
 
 
-def is_remote(address: str) -> bool:
-    import re
+def remote(address: Column) -> Column:
+    """Whether an address is a git one or `owner/repository`; whether such a folder is there, only the caller can see."""
+    return address.rlike(r"^(?:(?:https?|ssh|git|file)://|git@[^:]+:)|^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$")
 
+
+def single_file(path: str, most_up: int = 4) -> tuple[str, str] | None:
+    """For one catalog file: the folder, at most four parents up, whose layout has a locale beside it, and the file's path
+    below it. None if no parent has one."""
+    file = Path(path)
+    for up in list(file.parents)[: most_up + 1]:
+        name = str(file.relative_to(up))
+        here = SET.sub("", name)
+        if any(SET.sub("", str(other.relative_to(up))) == here and other != file for other in up.rglob(f"*{file.suffix}")):
+            return str(up), name
+    return None
+
+
+def is_remote(address: str) -> bool:
     return bool(re.match(r"(https?|ssh|git|file)://|git@[^:]+:", address) or re.fullmatch(r"[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+", address) and not Path(address).exists())

@@ -56,3 +56,18 @@ def only_requests(raw: DataFrame) -> DataFrame:
 def within_size(requests: DataFrame, sizes: DataFrame, most_bytes: int = 500_000_000) -> DataFrame:
     """requests: repository; sizes: repository, bytes. Only repositories of a known size within the limit are reviewed."""
     return requests.join(sizes.filter(F.col("bytes") <= most_bytes).select("repository").distinct(), "repository", "left_semi")
+
+
+def signed(bodies: DataFrame, secret: str) -> DataFrame:
+    """bodies: body, signature (`sha256=` and lowercase hex). Those that the secret signs."""
+    import hashlib
+    import hmac
+
+    key = secret.encode()
+
+    @F.pandas_udf("boolean")
+    def genuine(body: pd.Series, signature: pd.Series) -> pd.Series:
+        want = ["sha256=" + hmac.new(key, (b or "").encode(), hashlib.sha256).hexdigest() for b in body]
+        return pd.Series([hmac.compare_digest(w, s or "") for w, s in zip(want, signature, strict=True)])
+
+    return bodies.filter(genuine("body", "signature"))

@@ -77,3 +77,35 @@ def test_translate_only_what_changed(spark):
 def test_config_hints():
     assert config.hints('source_locales = "en"\nzzz = 1') == ["unknown key `source_locales`; did you mean `source_locale`?", "unknown key `zzz`"]
     assert relational.MOST > 0
+
+
+def test_configuration_edits_and_readiness(tmp_path):
+    text = '# ours\nsource_locale = "en"\ntarget_locales = ["de"] # more soon\n[[files]]\nformat = "json"\npath = "en.json"\nlocale_path = "x.json"\n'
+    more = config.with_locales(text, ["fr"], ["de"])
+    assert more == text.replace('["de"]', '["fr"]') and config.load(more).target_locales == ["fr"]
+    assert config.with_locales("# x\n", ["de"]) == 'target_locales = ["de"]\n# x\n'
+    assert config.doctor(text, str(tmp_path)) == ["en.json is missing", "x.json names no locale"]
+    (tmp_path / "en.json").write_text("{}")
+    assert config.doctor(text.replace("x.json", "{locale}.json"), str(tmp_path)) == []
+    assert config.doctor("a = [", ".")[0].startswith("the configuration doesn't parse")
+
+
+def test_one_file_finds_its_layout(tmp_path):
+    from polyglint.sources import trees
+
+    for name in ("app/i18n/en/common.json", "app/i18n/de/common.json", "app/other/alone.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    assert trees.single_file(str(tmp_path / "app/i18n/en/common.json")) == (str(tmp_path / "app/i18n"), "en/common.json")
+    assert trees.single_file(str(tmp_path / "app/other/alone.json")) is None
+
+
+def test_signed_bodies(spark):
+    import hashlib
+    import hmac
+
+    from polyglint.streaming.limiter import signed
+
+    good = "sha256=" + hmac.new(b"k", b"{}", hashlib.sha256).hexdigest()
+    rows = spark.createDataFrame([("{}", good), ("{ }", good), ("{}", None), (None, good)], "body string, signature string")
+    assert [r.body for r in signed(rows, "k").collect()] == ["{}"]
