@@ -104,8 +104,7 @@ def translate(spark: SparkSession, units: DataFrame, keys: DataFrame, locales: D
     todo = R.work(states)
     recalled = R.recall(todo.select("key", "locale", "source"), memory).withColumnRenamed("text", "reply")
     asked = M.translate(spark, todo.join(recalled.select("key", "locale"), ["key", "locale"], "left_anti"), provider)
-    numbered = asked.withColumn("ordinal", F.xxhash64("key")).withColumn("size", F.length("source"))
-    batches = R.greedy_batches(numbered, "locale", "ordinal", "size", batch_size)
+    batches = R.greedy_batches(asked.withColumn("size", F.length("source")), "locale", "key", "size", batch_size)
     done = asked.filter("state <> 'quarantined'").select("key", "locale", "reply").union(recalled.select("key", "locale", "reply"))
     return Translation(recalled, asked, batches, R.record(locales.select("key", "locale", "hash"), done.select("key", "locale", X.content_hash(F.col("reply")).alias("hash")), units))
 
