@@ -16,7 +16,11 @@ from ..operators import relational as R
 from ..sources import catalog, formats, trees, writers
 from .registry import _table, query
 
-ID = F.regexp_extract("path", r"f([0-9]+)/", 1).cast("long").alias("id")
+
+
+def part_id() -> Column:
+    """The part that a file was made of."""
+    return F.regexp_extract("path", r"f([0-9]+)/", 1).cast("long").alias("id")
 
 
 def made(template: str) -> Column:
@@ -36,7 +40,7 @@ def found(spark: SparkSession, d: str, format_: str, texts: dict[str, str], wher
 
 
 def scanned(spark: SparkSession, d: str, format_: str, text: str, name: str = "x") -> DataFrame:
-    return catalog.scan(spark, found(spark, d, format_, {name: text})).withColumn("id", ID)
+    return catalog.scan(spark, found(spark, d, format_, {name: text})).withColumn("id", part_id())
 
 
 def rows(columns: str, *cells: str) -> str:
@@ -65,7 +69,7 @@ def s1(spark, d):
     content = F.when(m == 0, F.concat(mark("FFFE"), F.encode(text, "UTF-16LE"))).when(m == 1, F.concat(mark("FEFF"), F.encode(text, "UTF-16BE"))).when(m == 2, F.concat(mark("EFBBBF"), F.encode(text, "UTF-8")))
     content = content.when(m == 3, F.encode(text, "UTF-8")).otherwise(F.concat(F.encode(F.lit("/* é */\n"), "UTF-8"), F.encode(text, "ISO-8859-1")))
     files = _table(spark, d, "part").select(made("f<id>/x.strings").alias("path"), F.lit("strings").alias("format"), content.alias("content"))
-    return catalog.scan(spark, files).select(ID, "text", "error", F.col("line").cast("long").alias("line"))
+    return catalog.scan(spark, files).select(part_id(), "text", "error", F.col("line").cast("long").alias("line"))
 
 
 JSON = '{\n  "title": "<name>",\n  "menu": {"open": "Open \\"<brand>\\"", "list": ["a <size>", "\\u00e9"]},\n  "n": 5,\n  "title": ""\n}'
@@ -248,7 +252,7 @@ def j1(spark, d):
 
 @query("s26_key_listing", rows("key ordinal", f"'a ' || {SIZE} ; {L.format(0)}", f"'bare' ; {L.format(1)}", f"'a ' || {SIZE} ; {L.format(2)}"))
 def s26(spark, d):
-    return catalog.key_listing(scanned(spark, d, "strings", STRINGS)).select(ID, "key", F.col("ordinal").cast("long").alias("ordinal"))
+    return catalog.key_listing(scanned(spark, d, "strings", STRINGS)).select(part_id(), "key", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 @query("s25_plural_collectors", rows("key locale categories", "p_name || ' %lld' ; 'pl' ; 'one,other'"))
@@ -308,7 +312,7 @@ def c1(spark, d):
     m = F.col("p_partkey") % 3
     text = F.when(m == 0, made('{\n "a": "<name>",\n "b": "<size>"')).when(m == 1, made('{\n "a" "<name>"}')).otherwise(made('{"a": "<name>"}'))
     files = _table(spark, d, "part").select(made("f<id>/x.json").alias("path"), F.lit("json").alias("format"), F.encode(text, "UTF-8").alias("content"))
-    return catalog.syntax_findings(catalog.scan(spark, files)).select(ID, F.col("line").cast("long").alias("line"), "code", "severity")
+    return catalog.syntax_findings(catalog.scan(spark, files)).select(part_id(), F.col("line").cast("long").alias("line"), "code", "severity")
 
 
 @query("c6_gettext_header", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 2 THEN 'warning' ELSE 'error' END AS severity FROM part WHERE p_size % 4 IN (1, 2)")
@@ -318,17 +322,17 @@ def c6(spark, d):
     body = F.when(m == 3, made('msgid "<name>"\nmsgstr "x"\n')).otherwise(made('msgid "<name>"\nmsgid_plural "<name>s"\nmsgstr[0] "x"\n'))
     text = F.concat(F.lit('msgid ""\nmsgstr "'), head, F.lit('\\n"\n\n'), body)
     files = _table(spark, d, "part").select(made("f<id>/pl.po").alias("path"), F.lit("po").alias("format"), F.encode(text, "UTF-8").alias("content"))
-    return catalog.gettext_header_findings(catalog.scan(spark, files)).select(ID, "severity")
+    return catalog.gettext_header_findings(catalog.scan(spark, files)).select(part_id(), "severity")
 
 
 @query("c19_fuzzy", rows("key code", "'menu' || chr(4) || 'Open ' || p_name ; 'fuzzy'"))
 def c19(spark, d):
-    return catalog.flagged_findings(scanned(spark, d, "po", GETTEXT, "pl.po")).select(ID, "key", "code")
+    return catalog.flagged_findings(scanned(spark, d, "po", GETTEXT, "pl.po")).select(part_id(), "key", "code")
 
 
 @query("c20_state", rows("key locale code", "p_name || ' %lld' ; 'pl' ; 'state'"))
 def c20(spark, d):
-    return catalog.flagged_findings(scanned(spark, d, "xcstrings", STRING_CATALOG)).select(ID, "key", "locale", "code")
+    return catalog.flagged_findings(scanned(spark, d, "xcstrings", STRING_CATALOG)).select(part_id(), "key", "locale", "code")
 
 
 # ---- writers ---------------------------------------------------------------------------------------------------------
@@ -341,7 +345,7 @@ def _edit(spark: SparkSession, d: str, key: str, value: str, name: str, category
 
 
 def _written(out: DataFrame) -> DataFrame:
-    return out.select(ID, F.decode("content", "UTF-8").alias("text"))
+    return out.select(part_id(), F.decode("content", "UTF-8").alias("text"))
 
 
 @query("k1_spliced_json", """SELECT p_partkey AS id, '{' || chr(10) || '  "title": "' || p_name || '",' || chr(10) || '  "menu": {"open": "Auf \\"' || p_brand || '\\" é", "list": ["a ' || CAST(p_size AS VARCHAR) || '", "\\u00e9"]},' || chr(10) || '  "n": 5,' || chr(10) || '  "title": ""' || chr(10) || '}' AS text FROM part""")
@@ -357,7 +361,7 @@ def k1_android(spark, d):
 
 @query("k2_string_catalog_text", """SELECT p_partkey AS id, '{' || chr(10) || '  "sourceLanguage" : "en",' || chr(10) || '  "strings" : {' || chr(10) || '    "' || p_name || '" : {' || chr(10) || chr(10) || '    }' || chr(10) || '  },' || chr(10) || '  "version" : "1.0"' || chr(10) || '}' AS text FROM part""")
 def k2(spark, d):
-    return writers.rewritten(spark, found(spark, d, "xcstrings", {"x": '{"sourceLanguage": "en", "strings": {"<name>": {}}, "version": "1.0"}'})).select(ID, F.decode("content", "UTF-8").alias("text"))
+    return writers.rewritten(spark, found(spark, d, "xcstrings", {"x": '{"sourceLanguage": "en", "strings": {"<name>": {}}, "version": "1.0"}'})).select(part_id(), F.decode("content", "UTF-8").alias("text"))
 
 
 @query("k7_string_catalog_setters", """SELECT p_partkey AS id, '{' || chr(10) || '  "sourceLanguage" : "en",' || chr(10) || '  "strings" : {' || chr(10) || '    "k" : {' || chr(10) || '      "localizations" : {' || chr(10) || '        "de" : {' || chr(10) || '          "stringUnit" : {' || chr(10) || '            "state" : "translated",' || chr(10) || '            "value" : "' || p_name || '"' || chr(10) || '          }' || chr(10) || '        }' || chr(10) || '      }' || chr(10) || '    }' || chr(10) || '  }' || chr(10) || '}' AS text FROM part""")
@@ -389,7 +393,7 @@ def k6(spark, d):
     }
     out = None
     for f, text in texts.items():
-        one = catalog.upsert(spark, found(spark, d, f, {f: text}), _edit(spark, d, "b", "<name>", f)).select(ID, F.lit(f).alias("format"), F.decode("content", "UTF-8").alias("text"))
+        one = catalog.upsert(spark, found(spark, d, f, {f: text}), _edit(spark, d, "b", "<name>", f)).select(part_id(), F.lit(f).alias("format"), F.decode("content", "UTF-8").alias("text"))
         out = one if out is None else out.union(one)
     return out
 
@@ -399,7 +403,7 @@ def k3(spark, d):
     p = _table(spark, d, "part")
     source, old = '{\n    "t": "Title",\n    "n_one": "one",\n    "n_other": "many",\n    "gone": "?"\n}\n', '{"own": "nur hier", "n_other": "viele", "n_one": "eins"}'
     wanted = p.select(made("f<id>/de.json").alias("path"), F.lit("json").alias("format"), F.lit("de").alias("locale"), F.lit(source).alias("source"), F.lit(old).alias("old"), F.create_map(F.lit("t"), F.col("p_name"), F.lit("n_few"), F.col("p_size").cast("string")).alias("values"))
-    return writers.locale_files(spark, wanted).select(ID, F.decode("content", "UTF-8").alias("text"))
+    return writers.locale_files(spark, wanted).select(part_id(), F.decode("content", "UTF-8").alias("text"))
 
 
 @query("k4_styles", """SELECT p_partkey AS id, '{' || chr(10) || repeat(' ', CAST(1 + p_size % 4 AS BIGINT)) || '"a": "' || p_name || '"' || chr(10) || '}' || CASE WHEN p_size % 2 = 0 THEN chr(10) ELSE '' END AS text FROM part""")
@@ -407,7 +411,7 @@ def k4(spark, d):
     p = _table(spark, d, "part")
     source = F.concat(F.lit("{\n"), F.repeat(F.lit(" "), (1 + F.col("p_size") % 4).cast("int")), F.lit('"a": "A"\n}'), F.when(F.col("p_size") % 2 == 0, "\n").otherwise(""))
     wanted = p.select(made("f<id>/de.json").alias("path"), F.lit("json").alias("format"), F.lit("de").alias("locale"), source.alias("source"), F.lit(None).cast("string").alias("old"), F.create_map(F.lit("a"), F.col("p_name")).alias("values"))
-    return writers.locale_files(spark, wanted).select(ID, F.decode("content", "UTF-8").alias("text"))
+    return writers.locale_files(spark, wanted).select(part_id(), F.decode("content", "UTF-8").alias("text"))
 
 
 @query("k5_arb_locale", """SELECT p_partkey AS id, '{' || chr(10) || '  "@@locale": "de",' || chr(10) || '  "b": "' || p_name || '",' || chr(10) || '  "a": "' || CAST(p_size AS VARCHAR) || '"' || chr(10) || '}' AS text FROM part""")
@@ -415,7 +419,7 @@ def k5(spark, d):
     p = _table(spark, d, "part")
     source = '{\n  "b": "B",\n  "@b": {"description": "d"},\n  "a": "A",\n  "c": "C"\n}'
     wanted = p.select(made("f<id>/app_de.arb").alias("path"), F.lit("arb").alias("format"), F.lit("de").alias("locale"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("old"), F.create_map(F.lit("a"), F.col("p_size").cast("string"), F.lit("b"), F.col("p_name")).alias("values"))
-    return writers.locale_files(spark, wanted).select(ID, F.decode("content", "UTF-8").alias("text"))
+    return writers.locale_files(spark, wanted).select(part_id(), F.decode("content", "UTF-8").alias("text"))
 
 
 @query("k8_templates", """SELECT DISTINCT lang, 'msgid ""' || chr(10) || 'msgstr ""' || chr(10) || '"Language: ' || lang || '\\n"' || chr(10) || '"MIME-Version: 1.0\\n"' || chr(10) || '"Content-Type: text/plain; charset=UTF-8\\n"' || chr(10) || '"Plural-Forms: nplurals=2; plural=' || '(n ' || CASE lang WHEN 'fr' THEN '!=' ELSE '!=' END || ' 1);\\n"' || chr(10) AS text FROM documents""")
@@ -430,7 +434,7 @@ def k24(spark, d):
     p = _table(spark, d, "part")
     content = F.concat(F.unhex(F.lit("FFFE")), F.encode(made('"k" = "<name>";\n'), "UTF-16LE"))
     files = p.select(made("f<id>/x.strings").alias("path"), F.lit("strings").alias("format"), content.alias("content"))
-    return catalog.write_values(spark, files, _edit(spark, d, "k", "z", "x.strings")).select(ID, F.lower(F.hex("content")).alias("hex"))
+    return catalog.write_values(spark, files, _edit(spark, d, "k", "z", "x.strings")).select(part_id(), F.lower(F.hex("content")).alias("hex"))
 
 
 # ---- the placeholder grammar -----------------------------------------------------------------------------------------
@@ -563,7 +567,7 @@ COMPONENT = '<div>\n  <h1>Buy <name> now</h1>\n  <img alt="Photo of <brand>" src
 )
 def f27(spark, d):
     sources = _table(spark, d, "part").select(made("f<id>/x.tsx").alias("path"), made(COMPONENT).alias("text"))
-    return markup.extracted(spark, sources).filter("skipped is null").select(ID, "kind", "text", F.col("line").cast("long").alias("line"))
+    return markup.extracted(spark, sources).filter("skipped is null").select(part_id(), "kind", "text", F.col("line").cast("long").alias("line"))
 
 
 @query("k19_rewritten_sources", """SELECT p_partkey AS id, 'import { t } from "./i18n"' || chr(10) || '<h1>{t("buy")}</h1>' || chr(10) || '<p title={t("hint")}>' || p_brand || ' is good</p>' AS text FROM part""")
@@ -571,7 +575,7 @@ def k19(spark, d):
     text = made('<h1>Buy <name> now</h1>\n<p title="Look at <size>"><brand> is good</p>')
     keys = F.create_map(made("Buy <name> now"), F.lit("buy"), made("Look at <size>"), F.lit("hint"))
     sources = _table(spark, d, "part").select(made("f<id>/x.tsx").alias("path"), text.alias("text"), keys.alias("keys"))
-    return markup.rewritten(spark, sources, importing='import { t } from "./i18n"').select(ID, "text")
+    return markup.rewritten(spark, sources, importing='import { t } from "./i18n"').select(part_id(), "text")
 
 
 @query("k22_bulk_values", """SELECT p_partkey AS id, '"a" = "' || p_name || '";' || chr(10) || '"b" = "' || p_brand || '";' || chr(10) || '"c" = "' || CAST(p_size AS VARCHAR) || '";' || chr(10) AS text FROM part""")
