@@ -30,7 +30,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        base = "/tmp/checkpoints"
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = "/tmp/checkpoints"  # one machine: it is shared
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base
@@ -66,6 +68,17 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, mb: int = 32) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def lookup(rows: DataFrame, found: DataFrame, key: str, weight: str, most: int = 200_000) -> DataFrame:
+    """rows joined with found, a saved table of unique keys, without its weight: how many rows a key has. The keys of most
+    rows are broadcast, `most` at most; only rows of rarer keys, if there are any, are shuffled, so no hot key meets in one
+    task."""
+    if found.count() <= most:
+        return rows.join(F.broadcast(found.drop(weight)), key)
+    hot = saved(rows.sparkSession, found.orderBy(F.desc(weight), key).limit(most).drop(weight), "hot-keys")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found.drop(weight), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only. lower() does the same, and faster, where every character is one byte."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

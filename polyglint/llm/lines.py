@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, inputs, saved
+from .common import SPACE_CHARS, ascii_lower, inputs, lookup, saved
 
 #: Keys that are broadcast at most.
 MOST = 200_000
@@ -30,16 +30,6 @@ def dropped_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     return per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
 
 
-def _with_keeper(lines: DataFrame, frequent: DataFrame, most: int) -> DataFrame:
-    """lines joined with frequent keys by broadcasting those of the most documents; the rest, being rare, by shuffling."""
-    keys = frequent.select("key", "keeper")
-    if frequent.count() <= most:
-        return lines.join(F.broadcast(keys), "key")
-    hot = saved(lines.sparkSession, frequent.orderBy(F.desc("n_docs"), "key").limit(most).select("key", "keeper"), "hot-lines")
-    cold = lines.join(F.broadcast(hot), "key", "left_anti").join(keys, "key")
-    return lines.join(F.broadcast(hot), "key").unionByName(cold)
-
-
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: tuple[str, ...] = (), most: int = MOST) -> DataFrame:
     """doc_id, kept (the remaining text), n_lines, n_dropped, and carried: a struct of the columns in carry."""
     texts = inputs(docs).withColumn("lines", F.split("text", "\n", -1))
@@ -53,7 +43,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry:
     long = long.select("doc_id", digest(ascii_lower(F.col("line"))).alias("key"))
     long = saved(docs.sparkSession, long, "long-lines")
     frequent = saved(docs.sparkSession, dropped_keys(long, min_docs), "frequent-lines")
-    gone = _with_keeper(long, frequent, most).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    gone = lookup(long, frequent, "key", "n_docs", most).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
     joined = whole.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     # only documents that lose a line take their lines apart again

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, inputs, saved
+from .common import arrow_batches, dropped, inputs, lookup, saved
 from .components import components
 
 RADIUS = 3
@@ -175,18 +175,21 @@ def link(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     return done.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, most: int = 200_000) -> DataFrame:
     """doc_id, fp, component_id for every row of docs. Null text: no words, fingerprint zero.
 
     Copies meet in one distinct fingerprint, counted with map-side combination before any comparison. component_id is
-    the least doc_id of the component; rows without doc_id belong to one but never name it.
+    the least doc_id of the component; rows without doc_id belong to one but never name it. Fingerprints of many rows and
+    components of many fingerprints are broadcast, `most` at most.
     """
     fps = saved(spark, fingerprints(spark, docs), "fingerprints")
-    nodes = saved(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(spark, link(spark, nodes.select("fp")))
-    joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(joined.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    nodes = saved(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
+    roots = saved(spark, components(spark, link(spark, nodes.select("fp"))), "roots")
+    joined = saved(spark, nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")), "rooted")
+    names = saved(spark, joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "names")
+    named = saved(spark, lookup(joined, names, "root", "size", most).select("fp", "copies", "component_id"), "named")
+    dropped(spark, nodes, roots, joined, names, shuffles=False)
+    return lookup(fps, named, "fp", "copies", most).select("doc_id", "fp", "component_id")
 
 
 def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:
