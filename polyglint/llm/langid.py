@@ -123,11 +123,18 @@ def _remainder():
 
 
 def sample(docs: DataFrame, per_language: int, sample_chars: int) -> list[tuple[str, str]]:
-    """At most about per_language rows (in expectation; never over twice that times the languages) of each language."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_remainder() != 2) & F.length("text").between(1, sample_chars))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    """At most about per_language rows (in expectation; never over twice that times the languages) of each language. Rows
+    over sample_chars are left out, but for languages that have no other: those give a piece of each row, at a place that
+    the row's hash picks. This bounds the fit alone; predictions read whole texts."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_remainder() != 2) & (F.length("text") > 0))
+    n = {(r[0], r[1]): r[2] for r in rows.groupBy("lang", (F.length("text") <= sample_chars).alias("short")).count().collect()}
+    counts = {lang: n.get((lang, True)) or n[lang, False] for lang, _ in n}
     if not counts:
         return []
+    short = sorted({lang for lang, s in n if s})
+    begin = F.pmod(F.xxhash64("doc_id"), F.length("text") - sample_chars + 1).cast("int") + 1
+    rows = rows.filter((F.length("text") <= sample_chars) | ~F.col("lang").isin(short))
+    rows = rows.withColumn("text", F.when(F.length("text") <= sample_chars, F.col("text")).otherwise(F.substr(F.col("text"), begin, F.lit(sample_chars))))
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(per_language / n))])
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = rows.filter(place < share[F.col("lang")]).select("lang", "text").limit(2 * per_language * len(counts)).collect()
