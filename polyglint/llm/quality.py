@@ -36,7 +36,8 @@ def rules() -> dict[str, Column]:
         "lines": _vote(_per("n_dup_lines", "n_lines") <= 0.05, _per("n_dup_lines", "n_lines") > 0.3),
         "word_length": _vote(_per("word_chars", "n_words").between(3.5, 9.5), ~_per("word_chars", "n_words").between(2.5, 14)),
         "letters": _vote(_per("n_other", "word_chars") <= 0.08, _per("n_other", "word_chars") > 0.3),
-        "variety": _vote(_per("n_distinct", "n_words") >= 0.4, (_per("n_distinct", "n_words") < 0.15) & (F.col("n_words") < 5000)),
+        # distinct words grow with the root of a text's length
+        "variety": _vote(F.col("n_distinct") >= 4 * F.sqrt("n_words"), F.col("n_distinct") < 2 * F.sqrt("n_words")),
     }
 
 
@@ -85,8 +86,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     t = t.withColumn("at", F.when(F.size("maybe") > 0, F.array_sort(_neighbours(F.col("same"), lambda x, y: x["w"] == y["w"], lambda x: x["i"]))))
     gaps = F.zip_with("at", F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
     repeated = F.when(F.size("maybe") > 0, F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)).otherwise(F.lit(0).cast("long"))
-    # a column that isn't deterministic: filters on votes stop here, where they would copy all these expressions
-    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"), "n_lines", "n_other", "n_distinct", F.monotonically_increasing_id().alias("row_order"))
+    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"), "n_lines", "n_other", "n_distinct")
 
 
 def with_votes(m: DataFrame) -> DataFrame:
@@ -156,6 +156,13 @@ def judge(spark: SparkSession, voted: DataFrame, threshold: float = 0.5) -> Data
     return voted.withColumn("p_good", p).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
+def good_rows(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The rows of docs, in these columns, that are kept. Measures cost more than a copy of the texts: rows and their votes
+    are written once, counted, and filtered as they are read back. Every row is judged for itself, whatever its id."""
+    rows = docs.select(F.struct(*columns).alias("row"), "text")
+    return judge(spark, saved(spark, with_votes(measures(rows, id_col="row")), "voted-rows")).filter("kept").select("doc_id.*")
+
+
 def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:
     voted = saved(spark, with_votes(measures(docs)), "votes")
     return judge(spark, voted).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
