@@ -86,7 +86,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     t = t.withColumn("at", F.when(F.size("maybe") > 0, F.array_sort(_neighbours(F.col("same"), lambda x, y: x["w"] == y["w"], lambda x: x["i"]))))
     gaps = F.zip_with("at", F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
     repeated = F.when(F.size("maybe") > 0, F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)).otherwise(F.lit(0).cast("long"))
-    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"), "n_lines", "n_other", "n_distinct")
+    # a column that isn't deterministic: filters on votes stop here, where they would copy all these expressions
+    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"), "n_lines", "n_other", "n_distinct", F.monotonically_increasing_id().alias("row_order"))
 
 
 def with_votes(m: DataFrame) -> DataFrame:
@@ -157,10 +158,11 @@ def judge(spark: SparkSession, voted: DataFrame, threshold: float = 0.5) -> Data
 
 
 def good_rows(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The rows of docs, in these columns, that are kept. Measures cost more than a copy of the texts: rows and their votes
-    are written once, counted, and filtered as they are read back. Every row is judged for itself, whatever its id."""
+    """The rows of docs, in these columns, that are kept. Measures are taken twice, to count votes and to decide: a row
+    travels with its measures, and no copy of the texts is written. Every row is judged for itself, whatever its id."""
     rows = docs.select(F.struct(*columns).alias("row"), "text")
-    return judge(spark, saved(spark, with_votes(measures(rows, id_col="row")), "voted-rows")).filter("kept").select("doc_id.*")
+    voted = judge(spark, with_votes(measures(rows, id_col="row")))
+    return voted.filter(F.col("kept") & (F.col("row_order") >= 0)).select("doc_id.*")
 
 
 def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:
