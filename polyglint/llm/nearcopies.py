@@ -11,7 +11,8 @@ Texts of one component need no comparison with each other, so components are mer
 2. twice, in buckets that still hold several components, a forest of the pairs of components that may be similar;
 3. of the buckets that are left, every pair of different components that may be similar.
 May be similar: sizes, places and the parities of the sets by 256 remainders, compared by XOR and bit counts in blocks,
-allow 0.8. Candidates are then held against parities by 1024 remainders, and what passes against the sets themselves.
+allow 0.8. Candidates are then held against parities by as many remainders as a set has elements, 1024 at least (fewer tell
+nothing of a long text), and what passes against the sets themselves, in batches, so that few sets lie on disk at a time.
 A bucket over MOST_TOGETHER texts is compared in pairs of blocks, so that no task holds it; no bucket is capped.
 """
 
@@ -36,6 +37,8 @@ SAMPLE, COMMON, HELD = 4000, 3, 50_000
 MOST = 100_000
 #: Texts of a bucket that are compared in one task.
 MOST_TOGETHER = 4096
+#: Shingles that the sets of a batch of candidates have together, if a quarter of all shingles is less.
+ROOM = 1 << 22
 
 
 def shingles(text: str) -> np.ndarray:
@@ -53,6 +56,19 @@ def prefix_size(n: int) -> int:
     return n - -(-a * n // b) + 1
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """Of a set, for each remainder by a power of two, len(h) and 1024 at least, whether an odd number has it: longs."""
+    bits = max(1024, 1 << (len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _halved(x: Column) -> Column:
+    """Parities by half as many remainders."""
+    k = F.floor(F.size(x) / 2).cast("int")
+    return F.zip_with(F.slice(x, F.lit(1), k), F.slice(x, k + 1, k), lambda p, q: p.bitwiseXOR(q))
+
+
 def _alike(common: Column, n: Column, m: Column) -> Column:
     """Whether sets of n and m elements with so many in common are similar: common / (n + m - common) >= a / b."""
     a, b = SIMILAR
@@ -85,7 +101,8 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, text_key, node (the set's hash), fp (its SimHash), n (its size), its prefix and its parities (16 longs)."""
+    """doc_id, text_key, node (the set's hash), fp (its SimHash), n (its size), its prefix, its parities, and those by
+    256 remainders (4 longs)."""
     at = np.argsort(common)
     known = common[at]
 
@@ -94,40 +111,54 @@ def _prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            node, fp, size, prefix, parity = [], [], [], [], []
+            node, fp, size, prefix, parity, short = [], [], [], [], [], []
             for t in batch.column(2).to_pandas():
                 every = shingle_hashes(t, WORDS)
                 fp.append(fingerprint(every))
                 h = _as_set(every)
                 node.append(xxh64_intdigest(h.tobytes()))
                 size.append(len(h))
-                odd = np.bincount((h & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
-                parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+                parity.append(parities(h))
+                short.append(np.bitwise_xor.reduce(parity[-1].reshape(-1, 4), axis=0))
                 if len(known):
                     k = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[k] == h, at[k] + 1, 0), kind="stable")]
                 prefix.append(h[: prefix_size(len(h))].view(np.int64))
-            columns = [batch.column(0), batch.column(1), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)], pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "fp", "n", "prefix", "parity"])
+            columns = [batch.column(0), batch.column(1), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)], pa.array(size, pa.int32()), *[pa.array(x, pa.list_(pa.int64())) for x in (prefix, parity, short)]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "fp", "n", "prefix", "parity", "short"])
 
-    return texts.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, node long, fp long, n int, prefix array<long>, parity array<long>")
+    return texts.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, node long, fp long, n int, prefix array<long>, parity array<long>, short array<long>")
 
 
 def _similar(spark: SparkSession, texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs a, b of nodes those whose sets are similar."""
+    """Of pairs a, b of nodes those whose sets are similar. Sets are compared in batches of pairs: as many that the sets of
+    a batch have a quarter of all shingles, or ROOM, which bounds what lies on disk."""
     a, b = SIMILAR
     marks = nodes.select("node", "n", "parity")
     marked = pairs.distinct().join(marks.toDF("a", "n", "x"), "a").join(marks.toDF("b", "m", "y"), "b")
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    pairs = saved(spark, marked.filter((a + b) * differ <= (b - a) * (F.col("n") + F.col("m"))).select("a", "b"), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = saved(spark, nodes.select("node", "text_key").join(wanted, "node", "left_semi"), "wanted")
-    held = texts.join(_small(wanted.select("text_key").distinct()), "text_key", "left_semi").dropDuplicates(["text_key"])
-    held = saved(spark, wanted.join(_sets(held), "text_key").select("node", "shingles"), "sets")
+    marked = marked.filter(b * F.least("n", "m") >= a * F.greatest("n", "m"))  # so parities are of one length, or one's is twice the other's
+    x, y = (F.when(F.size(p) > F.size(q), _halved(F.col(p))).otherwise(F.col(p)) for p, q in ("xy", "yx"))
+    differ = F.aggregate(F.zip_with(x, y, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    total = F.col("n") + F.col("m")
+    pairs = saved(spark, marked.filter((a + b) * differ <= (b - a) * total).select("a", "b", total.alias("size")), "candidates")
     dropped(spark)
-    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
-    out = saved(spark, both.filter(_alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "similar")
-    dropped(spark, pairs, wanted, held)
+    sizes, every = pairs.agg(F.sum("size")).first()[0], nodes.agg(F.sum("n")).first()[0]
+    if not sizes:
+        return pairs.select("a", "b")
+    batches = -(-sizes // max(ROOM, every // 4))
+    out = None
+    for k in range(batches):
+        some = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(batches)) == k).select("a", "b")
+        wanted = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
+        wanted = saved(spark, nodes.select("node", "text_key").join(wanted, "node", "left_semi"), "wanted")
+        held = texts.join(_small(wanted.select("text_key").distinct()), "text_key", "left_semi").dropDuplicates(["text_key"])
+        held = saved(spark, wanted.join(_sets(held), "text_key").select("node", "shingles"), "sets")
+        dropped(spark)
+        both = some.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+        found = saved(spark, both.filter(_alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "similar")
+        out = found if out is None else out.union(found)
+        dropped(spark, wanted, held)
+    dropped(spark, pairs, shuffles=False)
     return out
 
 
@@ -204,8 +235,7 @@ def _meet(bucket: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray,
 
 def _candidates(spark: SparkSession, met: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
     """a, b (a < b). met: shingle, texts (in the bucket), node, pos, root."""
-    word = lambda k: F.expr(f"parity[{k}] ^ parity[{k + 4}] ^ parity[{k + 8}] ^ parity[{k + 12}]").alias(f"s{k}")
-    rows = met.join(nodes.select("node", "n", *map(word, range(4))), "node")
+    rows = met.join(nodes.select("node", "n", *[F.col("short")[k].alias(f"s{k}") for k in range(4)]), "node")
     blocks = F.ceil(F.col("texts") / MOST_TOGETHER).cast("int")
     own = F.pmod(F.hash("node"), F.col("blocks"))
     rows = rows.withColumn("blocks", blocks).withColumn("own", own)
@@ -247,7 +277,7 @@ def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     arrow_batches(spark)
     texts = inputs(docs).withColumn("text_key", F.xxhash64("text"))
     rows = saved(spark, _prefixes(texts, common_shingles(texts)), "prefixes")
-    nodes = rows.groupBy("node").agg(F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix", "parity")])
+    nodes = rows.groupBy("node").agg(F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix", "parity", "short")])
     nodes = saved(spark, nodes, "nodes")
     ids = saved(spark, rows.select("doc_id", "text_key", "node"), "ids")
     dropped(spark, rows)

@@ -699,3 +699,36 @@ def test_near_dedup_drops_texts_that_fingerprints_keep(spark):
     assert (a ^ b).bit_count() > simhash.RADIUS
     out = C.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
     assert {r.doc_id for r in out} == {1, 3}
+
+
+def test_sets_are_read_only_of_pairs_that_may_be_similar(spark, monkeypatch):
+    from polyglint.llm import nearcopies
+
+    r = np.random.default_rng(6)
+    texts = []
+    for k in range(6):
+        words = [f"v{x}" for x in r.integers(0, 4000, 3000)]
+        texts += [" ".join(words), " ".join(words[:2600]), " ".join([*words[:1500], *(f"e{k}x{x}" for x in range(1500))])]
+    texts += ["", "a b c d e f g"]
+    keyed = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, text_key long, text string")
+    nodes = nearcopies.saved(spark, nearcopies._prefixes(keyed, np.zeros(0, np.uint64)), "nodes")
+    node = {x.doc_id: x.node for x in nodes.collect()}
+    pairs = [(node[i], node[j]) for i in range(len(texts)) for j in range(i)]
+    want = {(node[k + 1], node[k]) for k in range(0, 18, 3)}
+    save, counts = nearcopies.saved, []
+
+    def counted(spark, df, purpose):
+        out = save(spark, df, purpose)
+        if purpose in ("candidates", "wanted"):
+            counts.append((purpose, out.count()))
+        return out
+
+    monkeypatch.setattr(nearcopies, "saved", counted)
+    for room in (1 << 22, 12_000):
+        monkeypatch.setattr(nearcopies, "ROOM", room)
+        counts.clear()
+        got = nearcopies._similar(spark, keyed, nodes, spark.createDataFrame(pairs, "a long, b long"))
+        assert {tuple(x) for x in got.collect()} == want
+        assert counts[0] == ("candidates", len(want))
+        assert sum(n for what, n in counts if what == "wanted") == 2 * len(want)
+        assert (len(counts) > 2) == (room < 1 << 22)
