@@ -3,8 +3,9 @@ r"""Near copies: SimHash links first, then all that the exact similarity of word
 Two texts are near copies if the sets of their five-word shingles (as in simhash.shingle_hashes; 64-bit hashes) have a
 Jaccard similarity of 0.8 at least. A fingerprint's distance only estimates that: what SimHash links is a candidate, and a
 prefix filter, which loses none, gives the others: in any order of all shingles, two similar sets have their first common
-shingle among the first n - ceil(0.8 n) + 1 of each. Its places also bound what they can have in common. The order puts
-shingles last that are common in a sample; the sample decides what the join costs, never what it finds.
+shingle among the first n - ceil(0.8 n) + 1 of each. Its places also bound what they can have in common. Rarer shingles come
+first, by counts over all texts; hashes that share their first bits are counted together, which can put a rare shingle later.
+The order decides what the join costs, never what it finds.
 
 Texts of one component need no comparison with each other, so components are merged in rounds:
 1. candidates of SimHash, and each text with the least text of the prefix shingle buckets that it shares most of;
@@ -31,8 +32,8 @@ from .simhash import fingerprint, link, shingle_hashes
 WORDS = 5
 #: The least similarity, as a fraction: 4 / 5.
 SIMILAR = (4, 5)
-#: Texts from which common shingles are learned, how many of them make a shingle common, and how many shingles are kept.
-SAMPLE, COMMON, HELD = 4000, 3, 50_000
+#: Counts are taken by so many first bits of a hash, least and most; about so many characters fall to one count until then.
+BITS, CHARS = (16, 24), 48
 #: Rows of a table that may be broadcast: two longs each.
 MOST = 100_000
 #: Texts of a bucket that are compared in one task.
@@ -92,19 +93,49 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("text_key", "text").mapInArrow(run, "text_key long, shingles array<long>")
 
 
-def common_shingles(texts: DataFrame) -> np.ndarray:
-    """Of a sample, the shingles of several texts, rarest first: HELD at most, which reach the driver."""
-    every = max(1, texts.count() // SAMPLE)
-    some = texts.filter(F.pmod("text_key", F.lit(every)) == 0).dropDuplicates(["text_key"])
-    counted = _sets(some).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
-    return np.array([r[0] for r in counted.orderBy(F.desc("n"), "shingle").limit(HELD).collect()][::-1], np.int64).view(np.uint64)
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """For each value of the first bits of a hash, in how many sets of all texts its shingles stand, as eighths of the binary
+    logarithm: a byte each, 16 MB at most, which reach the driver. Two bytes of each shingle are shuffled."""
+    chars = texts.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    low, high = BITS
+    bits = min(max((chars // CHARS).bit_length(), low), high)
+    rest = bits - 8
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column(0).to_pandas()]
+            if not sets:
+                continue
+            cells = np.sort((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.uint32))
+            ends = np.searchsorted(cells, np.arange(257, dtype=np.int64) << rest)
+            own = (cells & np.uint32((1 << rest) - 1)).astype("<u2")
+            parts = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([own[ends[k] : ends[k + 1]].tobytes() for k in parts], pa.binary())], ["part", "cells"])
+
+    def total(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def _prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, text_key, node (the set's hash), fp (its SimHash), n (its size), its prefix, its parities, and those by
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts = held.setdefault(part, np.zeros(1 << rest, np.int64))
+                counts += np.bincount(np.frombuffer(cells.as_buffer(), "<u2"), minlength=1 << rest)
+        steps = [np.minimum(np.round(8 * np.log2(1 + c)), 255).astype(np.uint8).tobytes() for c in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(steps, pa.binary())], ["part", "steps"])
+
+    counted = texts.select("text").mapInArrow(run, "part int, cells binary").repartition("part").mapInArrow(total, "part int, steps binary")
+    out = np.zeros((256, 1 << rest), np.uint8)
+    for part, steps in counted.collect():
+        out[part] = np.frombuffer(steps, np.uint8)
+    return out.ravel()
+
+
+def _prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """counts: of shingle_counts, or none. doc_id, text_key, node (the set's hash), fp (its SimHash), n (its size), its prefix, its parities, and those by
     256 remainders (4 longs)."""
-    at = np.argsort(common)
-    known = common[at]
+    first = np.uint64(65 - len(counts).bit_length())
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -120,9 +151,8 @@ def _prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 size.append(len(h))
                 parity.append(parities(h))
                 short.append(np.bitwise_xor.reduce(parity[-1].reshape(-1, 4), axis=0))
-                if len(known):
-                    k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.argsort(np.where(known[k] == h, at[k] + 1, 0), kind="stable")]
+                if len(counts):
+                    h = h[np.argsort(counts[h >> first], kind="stable")]
                 prefix.append(h[: prefix_size(len(h))].view(np.int64))
             columns = [batch.column(0), batch.column(1), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)], pa.array(size, pa.int32()), *[pa.array(x, pa.list_(pa.int64())) for x in (prefix, parity, short)]]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "fp", "n", "prefix", "parity", "short"])
@@ -276,7 +306,9 @@ def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     arrow_batches(spark)
     texts = inputs(docs).withColumn("text_key", F.xxhash64("text"))
-    rows = saved(spark, _prefixes(texts, common_shingles(texts)), "prefixes")
+    counts = shingle_counts(texts)
+    dropped(spark)
+    rows = saved(spark, _prefixes(texts, counts), "prefixes")
     nodes = rows.groupBy("node").agg(F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix", "parity", "short")])
     nodes = saved(spark, nodes, "nodes")
     ids = saved(spark, rows.select("doc_id", "text_key", "node"), "ids")

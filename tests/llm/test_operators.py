@@ -732,3 +732,29 @@ def test_sets_are_read_only_of_pairs_that_may_be_similar(spark, monkeypatch):
         assert counts[0] == ("candidates", len(want))
         assert sum(n for what, n in counts if what == "wanted") == 2 * len(want)
         assert (len(counts) > 2) == (room < 1 << 22)
+
+
+def test_rare_shingles_of_all_texts_come_first(spark, monkeypatch):
+    from polyglint.llm import nearcopies
+
+    texts = [" ".join([*(f"o{i}x{j}" for j in range(200)), *(f"s{i // 2}x{j}" for j in range(60))]) for i in range(60)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts = nearcopies.shingle_counts(nearcopies.inputs(docs))
+    bits = len(counts).bit_length() - 1
+    plain = Counter(int(h) >> (64 - bits) for t in texts for h in nearcopies.shingles(t or ""))
+    assert len(counts) == 1 << bits and {k: counts[k] for k in np.flatnonzero(counts).tolist()} == {k: round(8 * np.log2(1 + n)) for k, n in plain.items()}
+
+    class Stop(Exception):
+        pass
+
+    def until_shared(spark, df, purpose, save=nearcopies.saved):
+        out = save(spark, df, purpose)
+        if purpose == "shared":
+            raise Stop(out.count())
+        return out
+
+    # shingles of two texts are no part of a prefix while a text has enough of its own; the two without words are one set
+    monkeypatch.setattr(nearcopies, "saved", until_shared)
+    with pytest.raises(Stop, match="^0$"):
+        nearcopies.near_copies(spark, docs)
+    assert nearcopies.shingle_counts(nearcopies.inputs(docs).limit(0)).max() == 0
