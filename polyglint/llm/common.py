@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
@@ -68,6 +69,17 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, mb: int = 32) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def give_back() -> None:
+    """In a Python worker: returns to the system what this process holds free. Workers live on from task to task and from
+    stage to stage, and would keep it beside what their next task takes."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def lookup(rows: DataFrame, found: DataFrame, key: str, weight: str, most: int = 200_000) -> DataFrame:
     """rows joined with found, a saved table of unique keys, without its weight: how many rows a key has. The keys of most
     rows are broadcast, `most` at most; only rows of rarer keys, if there are any, are shuffled, so no hot key meets in one

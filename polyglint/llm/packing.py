@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_batches, inputs
+from .common import arrow_batches, give_back, inputs
 
 TIERS = (2048, 1024, 512, 256)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
@@ -118,11 +118,12 @@ def steps(windows: list[tuple[int, list]], step_tokens: int) -> list[int]:
     return out
 
 
-def op8(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, buffer_ids: int = 1 << 20, step_tokens: int = 1 << 16) -> DataFrame:
+def op8(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, buffer_ids: int = 1 << 20, step_tokens: int = 1 << 16, chars: int = 16_000_000) -> DataFrame:
     """A row per piece. tiers: powers of two, longest first. Texts: null counts as empty; such a document is its end id.
 
     sequence_id and step_id are unique over the corpus: the task's number in the upper bits, a counter in the lower.
-    Repeated rows are packed as often as they occur; a null doc_id stays null.
+    Repeated rows are packed as often as they occur; a null doc_id stays null. chars: that a worker encodes at a time, which
+    changes no row; fewer take less memory and more time.
     """
     arrow_batches(spark)
 
@@ -134,6 +135,7 @@ def op8(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, t
 
         from .tokens import encoder
 
+        give_back()  # what an earlier stage left in this process
         enc, end = encoder(tokenizer, True), int(end_id).to_bytes(4, "little")
         high = TaskContext.get().partitionId() << 32
         next_seq = next_step = 0
@@ -158,7 +160,7 @@ def op8(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, t
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
         size = 0
-        for doc_id, ids in enc.stream(batches):
+        for doc_id, ids in enc.stream(batches, chars):
             ids = ids + end
             held.append((doc_id, 0, ids, len(ids) // 4))
             size += len(ids) // 4
@@ -166,5 +168,6 @@ def op8(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, t
                 yield flush(False)
                 size = sum(len(h[2]) // 4 for h in held)
         yield flush(True)
+        give_back()
 
     return inputs(docs).mapInArrow(run, PIECES)

@@ -458,6 +458,49 @@ def test_packing(spark, docs, empty, odd):
     assert sum(r.length for r in packing.op8(spark, odd, path).collect()) == sum(len(x) for x in whole_ids("byte_bpe_50k.json", [BASE, BASE, BASE, "other", None]))
 
 
+#: Runs a packing task of the pipeline in a process of its own; prints the MB that 20 million characters need beyond a short text.
+PACKING_ALONE = """
+import random, re
+from types import SimpleNamespace
+import pyarrow as pa
+import pyspark
+import corpus_pipeline
+from polyglint.llm import packing
+
+packing.arrow_batches = lambda spark: None
+packing.inputs = lambda docs: SimpleNamespace(mapInArrow=lambda run, schema: run)
+pyspark.TaskContext.get = lambda: SimpleNamespace(partitionId=lambda: 0)
+run = corpus_pipeline.pack(None, None, "")
+r = random.Random(1)
+words = ["".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(5000)]
+batch = lambda k, n: pa.RecordBatch.from_pydict({"doc_id": [k], "text": [" ".join(r.choices(words, k=n))]})
+most = lambda: int(re.search("VmHWM:\\s+([0-9]+)", open("/proc/self/status").read())[1]) >> 10
+list(run(iter([batch(0, 20000)])))
+before, n = most(), 0
+for out in run(batch(k, 3500) for k in range(1000)):
+    n += sum(out.column(2).to_pylist())
+assert n > 3500 * 1000
+print(most() - before)
+"""
+
+
+def test_a_packing_task_holds_little_text():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    done = subprocess.run([sys.executable, "-c", PACKING_ALONE], cwd=Path(packing.__file__).parents[2], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 120
+
+
+def test_packing_is_the_same_by_any_amount_of_text(spark, docs):
+    path = registry.vocabulary("byte_bpe_50k.json")
+    got = packing.op8(spark, docs, path, buffer_ids=500, chars=300).collect()
+    pieces_are_whole(got, TEXTS)
+    assert Counter(got) == Counter(packing.op8(spark, docs, path, buffer_ids=500).collect())
+
+
 def test_windows_are_full_and_steps_even():
     lengths = np.random.default_rng(3).integers(1, 5000, 400).tolist()
     windows, spare = packing.pack(lengths, last=False)
