@@ -168,10 +168,12 @@ def clipped(text: Column, most: int) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.substr(text, F.lit(1), longest))
 
 
-def snippets(lines: DataFrame, radius: int = 6, clip: int = 200) -> DataFrame:
-    """Lines around each line, each cut to `clip` bytes, without their common indent."""
+def snippets(lines: DataFrame, radius: int = 6, clip: int = 200, dedent: bool = True) -> DataFrame:
+    """Lines around each line, each cut to `clip` bytes, without their common indent, or as they stand."""
     w = Window.partitionBy("file").orderBy("line").rowsBetween(-radius, radius)
     own = lines.select("file", "line", clipped(F.col("text"), clip).alias("text"))
+    if not dedent:
+        return own.select("file", "line", F.array_join(F.collect_list("text").over(w), "\n").alias("snippet"))
     indent = F.when(X.trimmed(F.col("text")) != "", F.length(F.regexp_extract("text", r"^\s*", 0)))
     rows = own.select("file", "line", F.collect_list("text").over(w).alias("near"), F.coalesce(F.min(indent).over(w), F.lit(0)).alias("indent"))
     short = lambda x: F.when(F.length(x) >= F.col("indent"), F.substr(x, F.col("indent") + 1)).otherwise(F.ltrim(x))
