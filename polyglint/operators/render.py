@@ -112,7 +112,8 @@ def merged_catalog(existing: DataFrame, extracted: DataFrame) -> DataFrame:
 def insert_positions(new: DataFrame, existing: DataFrame) -> DataFrame:
     """For each new key (file, key, ordinal) the nearest existing key before it in the source's order, else the one after."""
     both = existing.select("file", "key", "ordinal", F.lit(True).alias("old")).union(new.select("file", "key", "ordinal", F.lit(False)))
-    w = Window.partitionBy("file").orderBy("ordinal", F.desc("old"))
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # two frames that end at the row, each carried on: one that reaches ahead would be read again for every row
+    back = Window.partitionBy("file").orderBy("ordinal", F.desc("old"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("file").orderBy(F.desc("ordinal"), "old", F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
     own = F.when(F.col("old"), F.col("key"))
-    return both.select("file", "key", "old", F.last(own, True).over(back).alias("after"), F.first(own, True).over(ahead).alias("before")).filter("not old").drop("old")
+    return both.select("file", "key", "old", F.last(own, True).over(back).alias("after"), F.last(own, True).over(ahead).alias("before")).filter("not old").drop("old")

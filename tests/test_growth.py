@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from polyglint.operators import relational
+from polyglint.operators import relational, render
 from polyglint.plans import catalogs, more, registry, scalars  # noqa: F401
 
 
@@ -28,3 +28,13 @@ def test_snippets_lose_their_common_indent(spark):
     lines = spark.createDataFrame([("f", 1, "  a"), ("f", 2, ""), ("f", 3, "    b"), ("f", 4, " ")], "file string, line int, text string")
     got = relational.snippets(lines, 1).orderBy("line").select("snippet").collect()
     assert [r[0] for r in got] == ["a\n", "a\n\n  b", "\nb\n", "b\n"]
+
+
+def test_insert_positions_read_each_row_once(spark):
+    new = spark.createDataFrame([("f", "n1", 0), ("f", "n2", 5), ("f", "n3", 9), ("g", "n4", 1)], "file string, key string, ordinal long")
+    old = spark.createDataFrame([("f", "a", 3), ("f", "b", 5), ("f", "c", 5), ("f", "d", 7)], "file string, key string, ordinal long")
+    out = render.insert_positions(new, old)
+    got = {r.key: (r.after, r.before) for r in out.collect()}
+    assert got == {"n1": (None, "a"), "n2": ("c", "d"), "n3": ("d", None), "n4": (None, None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan and plan.count("specifiedwindowframe(RowFrame, unboundedpreceding") == 2
