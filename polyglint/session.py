@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,3 +25,10 @@ def ship(spark: SparkSession) -> None:
     Path(path).write_bytes(data.getvalue())
     sc.addPyFile(path)
     sc._polyglint_shipped = True
+
+
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt out by columns before Python works on them: one row group of a table is read by one task, however many
+    rows it has. The number of partitions is fixed, as adaptive execution would join them by their bytes, not their work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)

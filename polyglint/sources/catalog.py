@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import asdict
+from operator import attrgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .formats import PARSERS, Broken, read_text, splice
+from ..session import dealt, ship
+from .formats import PARSERS, Broken, Entry, read_text, splice
 
 ENTRIES = "path string, format string, key string, text string, ordinal int, kind string, locale string, category string, index int, comment string, state string, start int, end int, line int, flags array<string>, error string"
 
@@ -112,25 +113,38 @@ def attached(entries: DataFrame, specs: list[dict] | None = None) -> DataFrame:
     return out.filter(F.col("file_set").isNotNull() & (F.col("_kind") == F.col("format"))).drop("_kind")
 
 
+# Entries that a task holds as Python objects before it gives them on.
+_ROWS = 10_000
+
+
 def scan(spark: SparkSession, found: DataFrame) -> DataFrame:
-    """Entries of files (path, format, content); a file that can't be read gives one row with its error and line."""
+    """Entries of files (path, format, content); a file that can't be read gives one row with its error and line. Files are
+    dealt out by path, so that a table of many small ones is parsed by all tasks."""
     ship(spark)
+    names, kinds = zip(*[c.split(" ") for c in ENTRIES.split(", ")], strict=True)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, format_, content in zip(frame.path, frame.format, frame.content, strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [{"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}[k] for k in kinds]
+        cells = attrgetter(*names[2:-1])  # of an Entry
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], list(names))
+
+        for got in batches:
+            rows: list[tuple] = []
+            for path, format_, content in zip(*got.columns, strict=True):
+                path, format_ = path.as_py(), format_.as_py()
                 try:
-                    rows += [{"path": path, "format": format_, **asdict(e), "error": None} for e in PARSERS[format_](read_text(bytes(content)))]
+                    rows += [(path, format_, *cells(e), None) for e in PARSERS[format_](read_text(content.as_py()))]
                 except Broken as e:
-                    rows.append({"path": path, "format": format_, "key": "", "text": "", "ordinal": 0, "kind": "error", "start": -1, "end": -1, "line": e.line, "flags": [], "error": e.message})
-            columns = [c.strip().split(" ")[0] for c in ENTRIES.split(", ")]
-            out = pd.DataFrame(rows, columns=columns)
-            for c in ("ordinal", "index", "start", "end", "line"):
-                out[c] = out[c].astype("Int32")
-            yield out.astype({c: object for c in columns if c not in ("ordinal", "index", "start", "end", "line")}).where(lambda x: x.notna(), None)
-
-    return found.select("path", "format", "content").mapInPandas(run, ENTRIES)
+                    rows.append((path, format_, *cells(Entry("", "", kind="error", line=e.line)), e.message))
+                if len(rows) >= _ROWS:
+                    yield batch(rows)
+                    rows = []
+            yield batch(rows)
+
+    return dealt(found.select("path", "format", "content"), "path").mapInArrow(run, ENTRIES)
 
 
 def unit_key() -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from polyglint.operators import relational, render
 from polyglint.plans import catalogs, more, registry, scalars  # noqa: F401
+from polyglint.sources import catalog, formats
 
 
 def twin(root, name):
@@ -38,3 +39,23 @@ def test_insert_positions_read_each_row_once(spark):
     assert got == {"n1": (None, "a"), "n2": ("c", "d"), "n3": ("d", None), "n4": (None, None)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "unboundedfollowing" not in plan and plan.count("specifiedwindowframe(RowFrame, unboundedpreceding") == 2
+
+
+def tasks(df):
+    """How many tasks its rows come from."""
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_files_of_one_partition_are_parsed_by_all_tasks(spark):
+    files = spark.range(200).coalesce(1).select(F.format_string("f%d/x.json", "id").alias("path"), F.lit("json").alias("format"), F.lit(b'{"a": "b", "c": {"d": "e"}}').alias("content"))
+    entries = catalog.scan(spark, files)
+    assert tasks(entries) >= spark.sparkContext.defaultParallelism
+    assert entries.count() == 400 and {(r.key, r.text, r["index"], tuple(r.flags), r.error) for r in entries.collect()} == {("a", "b", None, (), None), ("c.d", "e", None, (), None)}
+
+
+def test_files_of_many_and_of_deep_entries():
+    deep = formats.parse_json('{"a":' * 3000 + '"x"' + "}" * 3000)
+    assert [(e.text, e.key.count("."), e.line) for e in deep] == [("x", 2999, 1)]
+    many = "<root>\n" + "".join(f'<data name="k{i}"><value>é{i}</value>\n<comment>c</comment></data>\n' for i in range(3000)) + "</root>"
+    e = formats.parse_resx(many)
+    assert len(e) == 3000 and all(many[x.start : x.end] == x.text == f"é{i}" and x.line == 2 * i + 2 for i, x in enumerate(e))
