@@ -281,9 +281,10 @@ def syntax_findings(entries: DataFrame) -> DataFrame:
 
 def flagged_findings(entries: DataFrame) -> DataFrame:
     """fuzzy gettext entries, and catalog units left in a state that isn't final."""
-    fuzzy = entries.filter(F.array_contains("flags", "fuzzy")).select("path", "line", "key", "locale", F.lit("fuzzy").alias("code"))
-    state = entries.filter(F.col("state").isin("needs_review", "stale", "new") | F.array_contains("flags", "stale")).select("path", "line", "key", "locale", F.lit("state").alias("code"))
-    return fuzzy.union(state).withColumn("severity", F.lit("warning"))
+    fuzzy = F.when(F.array_contains("flags", "fuzzy"), "fuzzy")
+    state = F.when(F.col("state").isin("needs_review", "stale", "new") | F.array_contains("flags", "stale"), "state")
+    found = entries.select("path", "line", "key", "locale", F.explode(F.array_compact(F.array(fuzzy, state))).alias("code"))  # entries are parsed once
+    return found.withColumn("severity", F.lit("warning"))
 
 
 def gettext_header_findings(entries: DataFrame) -> DataFrame:

@@ -59,3 +59,16 @@ def test_files_of_many_and_of_deep_entries():
     many = "<root>\n" + "".join(f'<data name="k{i}"><value>é{i}</value>\n<comment>c</comment></data>\n' for i in range(3000)) + "</root>"
     e = formats.parse_resx(many)
     assert len(e) == 3000 and all(many[x.start : x.end] == x.text == f"é{i}" and x.line == 2 * i + 2 for i, x in enumerate(e))
+
+
+def parses(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") + df._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas")
+
+
+def test_flagged_entries_are_parsed_once(spark):
+    po = '#, fuzzy\nmsgid "a"\nmsgstr "b"\n\nmsgid "c"\nmsgstr "d"\n'
+    xc = '{"sourceLanguage": "en", "strings": {"k": {"extractionState": "stale", "localizations": {"de": {"stringUnit": {"state": "new", "value": "v"}}}}}}'
+    files = spark.createDataFrame([("po/pl.po", "po", po.encode()), ("x.xcstrings", "xcstrings", xc.encode())], "path string, format string, content binary")
+    found = catalog.flagged_findings(catalog.scan(spark, files))
+    assert parses(found) == 1
+    assert sorted((r.path, r.key, r.locale or "", r.code, r.severity) for r in found.collect()) == [("po/pl.po", "a", "", "fuzzy", "warning"), ("x.xcstrings", "k", "de", "state", "warning"), ("x.xcstrings", "k", "en", "state", "warning")]
