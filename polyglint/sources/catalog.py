@@ -175,17 +175,27 @@ def units(placed: DataFrame, source_locale: str, locales: list[str] | None = Non
     and JSON; in gettext the key without its context is the source. Target locales are those of the configuration, or
     else those that a file set has.
     """
-    rows = values(placed, source_locale)
-    src = rows.filter(F.col("locale") == source_locale).groupBy("file_set", "key").agg(F.max_by("text", "ordinal").alias("source"), F.max_by("comment", "ordinal").alias("comment"), F.first("format").alias("format"))
-    own = F.when(F.col("format") == "po", F.element_at(F.split(F.regexp_replace("key", "#plural[.][^#]+$", ""), "\u0004"), -1))
-    own = own.when(F.col("format").isin("xcstrings", "json"), F.coalesce(F.nullif("source", F.lit("")), "key")).otherwise(F.col("source"))
-    src = src.select("file_set", "key", own.alias("source"), "comment")
-    found = rows.filter((F.col("locale") != source_locale) & (F.col("text") != "")).groupBy("file_set", "key", "locale").agg(F.max_by("text", "ordinal").alias("translation"))
+    # one row for each key with all that its files say, under columns that no later step prunes: both sides of the join
+    # below read the same shuffle, and files are parsed once
+    said = F.collect_list(F.struct("locale", "ordinal", "text", "comment", "format"))
+    keys = values(placed, source_locale).groupBy("file_set", "key").agg(said.alias("said"))
+    others = F.filter("said", lambda x: x["locale"] != source_locale)
+    src = F.array_max(F.transform(F.filter("said", lambda x: x["locale"] == source_locale), lambda x: F.struct(x["ordinal"], x["text"], x["comment"], x["format"])))
+    texts = F.array_sort(F.transform(F.filter(others, lambda x: x["text"] != ""), lambda x: F.struct(x["locale"], x["ordinal"], x["text"])))
+    rows = keys.withColumn("src", src).filter("src is not null").withColumn("texts", texts)
+    last = F.filter("texts", lambda x, i: F.coalesce(F.get("texts", i + 1)["locale"] != x["locale"], F.lit(True)))
+    rows = rows.withColumn("texts", F.map_from_entries(F.transform(last, lambda x: F.struct(x["locale"], x["text"]))))
+    source, format_ = F.col("src.text"), F.col("src.format")
+    own = F.when(format_ == "po", F.element_at(F.split(F.regexp_replace("key", "#plural[.][^#]+$", ""), "\u0004"), -1))
+    own = own.when(format_.isin("xcstrings", "json"), F.coalesce(F.nullif(source, F.lit("")), "key")).otherwise(source)
+    rows = rows.select("file_set", "key", own.alias("source"), F.col("src.comment").alias("comment"), "texts")
     if locales:
-        pairs = src.withColumn("locale", F.explode(F.array(*[F.lit(x) for x in locales])))
+        pairs = rows.withColumn("locales", F.array(*[F.lit(x) for x in locales]))
     else:
-        pairs = src.join(rows.filter(F.col("locale") != source_locale).select("file_set", "locale").distinct(), "file_set")
-    return pairs.join(found, ["file_set", "key", "locale"], "left").select("file_set", "key", "locale", "source", "translation", "comment")
+        have = keys.select("file_set", F.explode(F.array_distinct(F.transform(others, lambda x: x["locale"]))).alias("locale"))
+        pairs = rows.join(have.groupBy("file_set").agg(F.collect_set("locale").alias("locales")), "file_set")
+    pairs = pairs.withColumn("locale", F.explode("locales"))
+    return pairs.select("file_set", "key", "locale", "source", F.col("texts")[F.col("locale")].alias("translation"), "comment")
 
 
 def prefixed(rows: DataFrame) -> DataFrame:

@@ -72,3 +72,19 @@ def test_flagged_entries_are_parsed_once(spark):
     found = catalog.flagged_findings(catalog.scan(spark, files))
     assert parses(found) == 1
     assert sorted((r.path, r.key, r.locale or "", r.code, r.severity) for r in found.collect()) == [("po/pl.po", "a", "", "fuzzy", "warning"), ("x.xcstrings", "k", "de", "state", "warning"), ("x.xcstrings", "k", "en", "state", "warning")]
+
+
+def test_units_are_gathered_in_one_pass(spark):
+    texts = {"en.json": '{"a": "A", "b": "", "c": "C", "a": "A2"}', "de.json": '{"a": "x", "a": "y", "b": "z", "lost": "l"}', "fr.json": '{"c": ""}', "m/en.json": '{"a": "M"}', "m/de.json": '{"b": "n"}'}
+    files = spark.createDataFrame([(k, "json", v.encode()) for k, v in texts.items()], "path string, format string, content binary")
+    placed = catalog.attached(catalog.scan(spark, files))
+    units = catalog.units(placed, "en")
+    row = lambda r: (r.file_set, r.key, r.locale, r.source, r.translation)
+    want = [(".json", "a", "de", "A2", "y"), (".json", "a", "fr", "A2", None), (".json", "b", "de", "b", "z"), (".json", "b", "fr", "b", None), (".json", "c", "de", "C", None), (".json", "c", "fr", "C", None), ("m/.json", "a", "de", "M", None)]
+    assert sorted(map(row, units.collect()), key=str) == sorted(want, key=str)
+    plan = units._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and "ReusedExchange" in plan
+    fixed = catalog.units(placed, "en", ["de", "pl"])
+    assert parses(fixed) == 1
+    want = [(s, k, loc, src, t if loc == "de" else None) for s, k, _, src, t in [w for w in want if w[2] == "de"] for loc in ("de", "pl")]
+    assert sorted(map(row, fixed.collect()), key=str) == sorted(want, key=str)
