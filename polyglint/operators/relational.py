@@ -262,9 +262,14 @@ def plural_gaps(forms: DataFrame, required: DataFrame, default: tuple[str, ...]
 def plural_units(forms: DataFrame, needed: DataFrame) -> DataFrame:
     """forms: key, category, source; needed: category (distinct). A unit per category; a missing source text falls back
     to `other`, else to the last category."""
-    last = forms.groupBy("key").agg(F.coalesce(F.max(F.when(F.col("category") == "other", F.col("source"))), F.max_by("source", "category")).alias("fallback"))
-    wanted = forms.select("key").distinct().crossJoin(small(needed)).unionByName(forms.filter(F.col("category").isin("zero") | F.col("category").startswith("=")).select("key", "category")).distinct()
-    return wanted.join(forms, ["key", "category"], "left").join(last, "key").select(F.concat("key", F.lit("#plural."), "category").alias("key"), F.coalesce("source", "fallback").alias("source"))
+    fallback = F.coalesce(F.max(F.when(F.col("category") == "other", F.col("source"))), F.max_by("source", "category"))
+    keys = forms.filter("key is not null").groupBy("key").agg(fallback.alias("fallback"), F.collect_list(F.struct("category", "source")).alias("forms"))  # forms are read once
+    own = F.filter(F.transform("forms", lambda x: x["category"]), lambda c: (c == "zero") | F.startswith(c, F.lit("=")))
+    rows = keys.crossJoin(F.broadcast(needed.agg(F.collect_set("category").alias("needed"))))  # one row
+    rows = rows.select("key", "fallback", "forms", F.explode(F.array_union("needed", own)).alias("category"))
+    texts = F.transform(F.filter("forms", lambda x: x["category"] == F.col("category")), lambda x: x["source"])
+    rows = rows.select("key", "category", "fallback", F.explode(F.when(F.size(texts) > 0, texts).otherwise(F.array(F.lit(None).cast("string")))).alias("source"))
+    return rows.select(F.concat("key", F.lit("#plural."), "category").alias("key"), F.coalesce("source", "fallback").alias("source"))
 
 
 def array_units(arrays: DataFrame) -> DataFrame:

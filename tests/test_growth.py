@@ -88,3 +88,14 @@ def test_units_are_gathered_in_one_pass(spark):
     assert parses(fixed) == 1
     want = [(s, k, loc, src, t if loc == "de" else None) for s, k, _, src, t in [w for w in want if w[2] == "de"] for loc in ("de", "pl")]
     assert sorted(map(row, fixed.collect()), key=str) == sorted(want, key=str)
+
+
+def test_plural_units_read_their_forms_once(spark):
+    xml = '<resources><plurals name="n"><item quantity="one">1</item><item quantity="other">o</item><item quantity="zero">z</item></plurals><plurals name="m"><item quantity="few">f</item><item quantity="few">g</item></plurals></resources>'
+    files = spark.createDataFrame([("values/s.xml", "android", xml.encode())], "path string, format string, content binary")
+    forms = catalog.scan(spark, files).select("key", "category", F.col("text").alias("source"))
+    out = relational.plural_units(forms, spark.createDataFrame([("one",), ("few",)], "category string"))
+    assert parses(out) == 1
+    got = sorted(map(tuple, out.collect()))
+    assert [g for g in got if g[0][0] == "n"] == [("n#plural.few", "o"), ("n#plural.one", "1"), ("n#plural.zero", "z")]
+    assert [g[0] for g in got if g[0][0] == "m"] == ["m#plural.few", "m#plural.few", "m#plural.one"] and {g[1] for g in got if g[0] == "m#plural.few"} == {"f", "g"}
