@@ -224,5 +224,6 @@ def reply_rows(replies: DataFrame) -> DataFrame:
 
 def review_queue(states: DataFrame, locks: DataFrame) -> DataFrame:
     """What people look at: quarantined rows, and up-to-date ones that a model wrote."""
-    machine = locks.filter(F.col("provider") != "human").select("key", "locale").distinct()
-    return states.filter("state = 'needs-review'").select("key", "locale", "state").union(states.filter("state = 'up-to-date'").join(machine, ["key", "locale"], "left_semi").select("key", "locale", "state"))
+    machine = locks.filter(F.col("provider") != "human").select("key", "locale").distinct().withColumn("_machine", F.lit(True))
+    own = states.filter(F.col("state").isin("needs-review", "up-to-date")).select("key", "locale", "state")  # states are read once
+    return own.join(machine, ["key", "locale"], "left").filter("state = 'needs-review' or _machine").select("key", "locale", "state")

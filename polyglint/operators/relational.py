@@ -27,9 +27,11 @@ def small(df: DataFrame, most: int = MOST) -> DataFrame:
 def status(units: DataFrame, keys: DataFrame, locales: DataFrame, reviews: DataFrame) -> DataFrame:
     """units: key, locale, source, translation; keys: key, source_hash; locales: key, locale, hash; reviews: key, locale,
     review_hash. Adds state; the first condition that holds decides."""
-    j = units.join(keys, "key", "left").join(locales, ["key", "locale"], "left").join(reviews, ["key", "locale"], "left")
+    # hashes are taken before the rows are shuffled, so that texts travel only to a caller who asks for them
     has = F.coalesce(F.col("translation") != "", F.lit(False))
-    source, target = X.content_hash(F.col("source")), X.content_hash(F.col("translation"))
+    u = units.select(*units.columns, has.alias("_has"), X.content_hash(F.col("source")).alias("_source"), X.content_hash(F.col("translation")).alias("_target"))
+    j = u.join(keys, "key", "left").join(locales, ["key", "locale"], "left").join(reviews, ["key", "locale"], "left")
+    has, source, target = F.col("_has"), F.col("_source"), F.col("_target")
     state = (
         F.when(F.col("source_hash").isNull(), F.when(has, "edited").otherwise("new"))
         .when(F.col("hash").isNull() & ~has, F.when(F.col("review_hash") == source, "needs-review").otherwise("new"))

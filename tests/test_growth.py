@@ -1,9 +1,12 @@
 """Odd and larger inputs of catalog queries: results as the twins give them, and plans that grow with their input."""
 
+import re
+
 import duckdb
 from pyspark.sql import functions as F
 
-from polyglint.operators import relational, render
+from polyglint.functions import text as X
+from polyglint.operators import project, relational, render
 from polyglint.plans import catalogs, more, registry, scalars  # noqa: F401
 from polyglint.sources import catalog, formats
 
@@ -99,3 +102,26 @@ def test_plural_units_read_their_forms_once(spark):
     got = sorted(map(tuple, out.collect()))
     assert [g for g in got if g[0][0] == "n"] == [("n#plural.few", "o"), ("n#plural.one", "1"), ("n#plural.zero", "z")]
     assert [g[0] for g in got if g[0][0] == "m"] == ["m#plural.few", "m#plural.few", "m#plural.one"] and {g[1] for g in got if g[0] == "m#plural.few"} == {"f", "g"}
+
+
+def nodes(plan):
+    children = plan.children()
+    return [plan] + [n for i in range(children.size()) for n in nodes(children.apply(i))]
+
+
+def test_states_are_told_without_shuffling_texts(spark):
+    units = spark.createDataFrame([("a", "de", "A", "x"), ("b", "de", "B", None), ("c", "fr", "C", "z"), ("d", None, "D", "")], "key string, locale string, source string, translation string")
+    of = lambda c: X.content_hash(F.col(c))
+    keys = units.select("key", of("source").alias("source_hash"))
+    locales = units.filter("key in ('a', 'c')").select("key", "locale", of("translation").alias("hash"))
+    reviews = units.filter("key = 'b'").select("key", "locale", of("source").alias("review_hash"))
+    states = relational.status(units, keys, locales, reviews)
+    assert states.columns == [*units.columns, "state"]
+    assert {(r.key, r.translation, r.state) for r in states.collect()} == {("a", "x", "up-to-date"), ("b", None, "needs-review"), ("c", "z", "up-to-date"), ("d", "", "new")}
+    joins = [n for n in nodes(states.select("key", "locale", "state")._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join"]
+    assert joins and not [n for n in joins if re.search(r"\b(source|translation)#", n.output().toString())]
+    told = spark.createDataFrame([("a", "de", "up-to-date"), ("b", "de", "needs-review"), ("c", None, "up-to-date"), ("d", None, "needs-review"), ("e", "de", "up-to-date")], "key string, locale string, state string")
+    locks = spark.createDataFrame([("a", "de", "model"), ("a", "de", "other"), ("c", None, "model"), ("e", "de", "human"), ("b", "de", "model")], "key string, locale string, provider string")
+    out = project.review_queue(told, locks)
+    assert sorted(map(tuple, out.collect())) == [("a", "de", "up-to-date"), ("b", "de", "needs-review"), ("d", None, "needs-review")]
+    assert len([n for n in nodes(out._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "LogicalRDD"]) == 2
