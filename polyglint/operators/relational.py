@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ..functions import text as X
-from ..session import ship
+from ..session import dealt, ship
 
 #: Rows of a side table that may be broadcast; beyond it, Spark chooses.
 MOST = 100_000
@@ -137,17 +137,27 @@ def inconsistent(units: DataFrame) -> DataFrame:
 def similar(queries: DataFrame, candidates: DataFrame, k: int = 3) -> DataFrame:
     """queries: qid, source; candidates: cid, source, translation. The k most similar candidates that share a token.
 
-    Pairs come from an equality join on tokens, each pair once; the k best are kept while they are gathered.
+    Pairs come from an equality join on tokens; what two rows share is counted over short rows, which hold no text. Few
+    queries are broadcast: a candidate's counts are then made in its task, and only the best of a task are shuffled.
     """
-    q = queries.select("qid", F.col("source").alias("qs"), X.tokens(F.col("source")).alias("qt"))
-    c = candidates.filter(X.trimmed(F.col("translation")) != "").filter(F.lower(X.trimmed(F.col("source"))) != F.lower(X.trimmed(F.col("translation"))))
-    c = c.select("cid", F.col("source").alias("cs"), X.tokens(F.col("source")).alias("ct"))
-    pairs = q.select("qid", F.explode("qt").alias("token")).join(c.select("cid", F.explode("ct").alias("token")), "token").select("qid", "cid").distinct()
-    rated = pairs.join(q, "qid").join(c, "cid").filter("qs <> cs")
-    rated = rated.select("qid", "cid", F.round(X.similarity(F.col("qs"), F.col("cs"), F.col("qt"), F.col("ct")) * 1_000_000).cast("long").alias("millionths"))
+
+    def words(rows: DataFrame, side: str) -> DataFrame:
+        """A row for each token of a source. Rows that share an id are told apart."""
+        own = rows.select(f"{side}id", F.monotonically_increasing_id().alias(f"{side}row"), F.octet_length("source").alias(f"{side}bytes"), F.unhex(F.sha2("source", 256)).alias(f"{side}hash"), X.tokens(F.col("source")).alias("tokens"))
+        return own.withColumn(f"{side}n", F.size("tokens")).withColumn("token", F.explode("tokens")).drop("tokens")
+
+    q = words(queries, "q")
+    few = q.count() <= MOST
+    c = candidates.filter(X.trimmed(F.col("translation")) != "").filter(F.lower(X.trimmed(F.col("source"))) != F.lower(X.trimmed(F.col("translation")))).select("cid", "source")
+    c = words(dealt(c, "cid") if few else c, "c")
+    hits = c.join(F.broadcast(q) if few else q, "token").filter("qhash <> chash")
+    pairs = hits.groupBy("cid", "crow", "cbytes", "cn", "qid", "qrow", "qbytes", "qn").agg(F.count(F.lit(1)).alias("both"))
+    score = F.col("both") / (F.col("qn") + F.col("cn") - F.col("both")) - F.abs(F.col("qbytes") - F.col("cbytes")) / 200
+    rated = pairs.select("qid", "cid", F.round(score * 1_000_000).cast("long").alias("millionths"))
     w = Window.partitionBy("qid").orderBy(F.desc("millionths"), "cid")  # whole numbers: ties are ties
-    best = rated.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-    return best.select("qid", "cid", (F.col("millionths") / 1_000_000).alias("score"), "rank")
+    # the limit is on the rank alone, so that Spark applies it before it shuffles
+    best = rated.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.select("qid", "cid", (F.col("millionths") / 1_000_000).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def usages(lines: DataFrame, needles: DataFrame) -> DataFrame:

@@ -125,3 +125,15 @@ def test_states_are_told_without_shuffling_texts(spark):
     out = project.review_queue(told, locks)
     assert sorted(map(tuple, out.collect())) == [("a", "de", "up-to-date"), ("b", "de", "needs-review"), ("d", None, "needs-review")]
     assert len([n for n in nodes(out._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "LogicalRDD"]) == 2
+
+
+def test_similar_rows_are_counted_without_shuffling_pairs(spark, monkeypatch):
+    q = spark.createDataFrame([(1, "red green blue"), (2, "red green blue"), (3, "nothing shared")], "qid long, source string")
+    c = spark.createDataFrame([(1, "red green blue", "x"), (2, "red green", "x"), (2, "red green", "x"), (2, "blue sky", "x"), (3, "red", ""), (4, "red", "red"), (5, None, "x")], "cid long, source string, translation string")
+    want = [(q, 2, round(2 / 3 - 5 / 200, 6), r) for q in (1, 2) for r in (1, 2)] + [(q, 2, round(1 / 4 - 6 / 200, 6), 3) for q in (1, 2)]
+    out = relational.similar(q, c)
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 2  # candidates, and the best of each task
+    monkeypatch.setattr(relational, "MOST", 0)
+    assert sorted(map(tuple, relational.similar(q, c).collect())) == sorted(want)
